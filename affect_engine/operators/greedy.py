@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .scan import ordered_scan
 
 CHUNK_ITEMS = 2048
@@ -53,13 +54,18 @@ def first_beyond(
         keys,
         ["__v", "__k", "__r"],
         F.floor(F.col("__v") / F.lit(width)).cast("long"),
-        carry={"__next": F.when(F.col("__k") == 1, F.col("__i"))},
+        carry={"__beyond": F.when(F.col("__k") == 1, F.col("__i"))},
     ).where("__k = 0")
-    picked = found.select(*keys, F.col("__i").alias(index), "__next")
+    picked = found.select(*keys, F.col("__i").alias(index), "__beyond")
     return (
         df.join(picked, [*keys, index], "left")
-        .withColumn(out, F.greatest(F.col("__next"), F.col(index) + 1))
-        .drop("__next")
+        .withColumn(
+            out,
+            F.when(
+                F.col("__beyond").isNotNull(), F.greatest(F.col("__beyond"), F.col(index) + 1)
+            ),
+        )
+        .drop("__beyond")
     )
 
 
@@ -149,6 +155,7 @@ def mark_starts(
         F.coalesce(F.col(following).cast("long"), far).alias(following),
     ).withColumn("__c", number).withColumn("__last", (F.col("__c") + 1) * chunk - 1)
 
+    items = materialize(items, "greedy-items")
     crossing = items.where(
         (F.col(following) > F.col("__last")) & (F.col(following) < far)
     ).select(*keys, F.col(following).alias(index))

@@ -91,19 +91,22 @@ def flag_significant(
     ranks = value_ranks(df, keys, value, chunk_of(F.col(value), SCORE_CHUNK))
     limits = thresholds(df, keys, value, method)
     totals = df.groupBy(*keys).agg(F.count(value).alias("__n"))
-    per_group = limits.join(totals, list(keys))
-    placed = df.join(ranks.select(*keys, value, "n_below"), [*keys, value], "left")
-    scored = F.col(value).isNotNull()
-    return placed.join(per_group, list(keys), "left").select(
-        *df.columns,
-        F.coalesce(F.col(value) > F.col("threshold"), F.lit(False)).alias(
-            "is_emotionally_significant"
-        ),
-        F.when(scored, F.col("threshold")).alias("threshold_used"),
-        F.when(scored, F.bround(F.col("n_below") * 100.0 / F.col("__n"), 1)).alias(
-            "arousal_percentile"
-        ),
+    per_value = ranks.join(limits.join(totals, list(keys)), list(keys)).select(
+        *keys,
+        value,
+        (F.col(value) > F.col("threshold")).alias("is_emotionally_significant"),
+        F.col("threshold").alias("threshold_used"),
+        F.bround(F.col("n_below") * 100.0 / F.col("__n"), 1).alias("arousal_percentile"),
+    )
+    # Rows without a score stay out of the join: they would share one null key.
+    scored = df.where(F.col(value).isNotNull()).join(per_value, [*keys, value])
+    unscored = df.where(F.col(value).isNull()).select(
+        "*",
+        F.lit(False).alias("is_emotionally_significant"),
+        F.lit(None).cast("double").alias("threshold_used"),
+        F.lit(None).cast("double").alias("arousal_percentile"),
     )
+    return scored.select(unscored.columns).unionByName(unscored)
 
 
 def score_statistics(

@@ -78,9 +78,13 @@ def score_distinct(
     prepared = F.col(text) if transform is None else transform(F.col(text))
     wanted = F.lit(True) if where is None else where
     rows = df.withColumn("__text", F.when(wanted, prepared))
-    texts = rows.where(F.col("__text").isNotNull()).select("__text").distinct()
-    scored = texts.withColumn(out, scorer(F.col("__text")))
-    return rows.join(scored, "__text", "left").drop("__text")
+    asked = rows.where(F.col("__text").isNotNull())
+    scored = asked.select("__text").distinct().withColumn(out, scorer(F.col("__text")))
+    # Skipped rows stay out of the join: they would share one null key.
+    skipped = rows.where(F.col("__text").isNull()).withColumn(
+        out, F.lit(None).cast(scored.schema[out].dataType)
+    )
+    return asked.join(scored, "__text").unionByName(skipped).drop("__text")
 
 
 def lexicon_va(texts: Sequence[str]) -> list[tuple[float, float]]:

@@ -19,6 +19,12 @@ def class_at(index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in EMOTION_CLASSES]), (index + 1).cast("int"))
 
 
+def epoch_seconds(ts: str) -> Column:
+    """Whole seconds since 1970 of a timestamp without time zone."""
+    days = F.unix_date(F.to_date(ts)).cast("long")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 SQL_CLASSES = "[" + ", ".join(f"'{c}'" for c in EMOTION_CLASSES) + "]"
 
 # Turns per chunk of a recording; seconds per chunk of an event stream.
@@ -204,7 +210,7 @@ class Tables:
         e = self.read("events").select(
             F.col("user_id").alias("video_id"),
             "event_id",
-            F.floor(F.unix_micros("ts") / 1000000).cast("long").alias("sec"),
+            epoch_seconds("ts").alias("sec"),
         )
         first = e.groupBy("video_id").agg(F.min("sec").alias("first_sec"))
         timed = e.join(first, "video_id").withColumn("offset", F.col("sec") - F.col("first_sec"))
@@ -212,7 +218,7 @@ class Tables:
             timed,
             ["video_id"],
             ["sec", "event_id"],
-            chunk_of(F.col("sec"), TIME_CHUNK * 30),
+            chunk_of(F.col("sec"), TIME_CHUNK),
             position="pos",
             leads={"next_offset": F.col("offset")},
         )
@@ -234,7 +240,7 @@ class Tables:
             e,
             ["track"],
             ["ts", "event_id"],
-            chunk_of(F.floor(F.unix_micros("ts") / 1000000), TIME_CHUNK * 30),
+            chunk_of(epoch_seconds("ts"), TIME_CHUNK),
             position="pos",
         ).select("track", (F.col("pos") - 1).alias("i"), "rms")
 
