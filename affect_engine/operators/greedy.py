@@ -96,19 +96,21 @@ def _exits(batches: Iterator[pd.DataFrame], keys, index, following) -> Iterator[
         yield pd.DataFrame(kept, columns=[*keys, index, following])
 
 
-def _walk_entries(keys, index, following):
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        jump = dict(zip(pdf[index], pdf[following]))
-        here, seen = pdf[index].min(), []
-        while here in jump:
-            seen.append(here)
-            here = jump[here]
-        out = pd.DataFrame({index: seen})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, index]]
-
-    return walk
+def _follow(batches: Iterator[pd.DataFrame], keys, index, following) -> Iterator[pd.DataFrame]:
+    # Rows of a group arrive in order; the first is entered, then each exit in turn.
+    group, target = None, None
+    for batch in batches:
+        kept = []
+        rows = zip(
+            zip(*[batch[k] for k in keys]), batch[index].tolist(), batch[following].tolist()
+        )
+        for here, i, nxt in rows:
+            if here != group:
+                group, target = here, i
+            if i == target:
+                kept.append((*here, i))
+                target = nxt
+        yield pd.DataFrame(kept, columns=[*keys, index])
 
 
 def _mark(batches: Iterator[pd.DataFrame], keys, index, following, out) -> Iterator[pd.DataFrame]:
@@ -171,8 +173,11 @@ def mark_starts(
         f"{heading}, `{index}` long, `{following}` long",
     )
     visited = (
-        exits.groupBy(*keys)
-        .applyInPandas(_walk_entries(keys, index, following), f"{heading}, `{index}` long")
+        exits.repartition(*keys)
+        .sortWithinPartitions(*keys, index)
+        .mapInPandas(
+            lambda it: _follow(it, keys, index, following), f"{heading}, `{index}` long"
+        )
         .withColumn("__c", number)
         .withColumn("__visited", F.lit(True))
     )
