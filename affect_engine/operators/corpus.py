@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import collapse_by_priority, parse_annotations
+from ..functions.labels import collapse_by_priority, literal_map, parse_annotations
 from ..functions.text import clean_early, clean_late, clean_text, let, words
 from ..functions.vocab import EMOTION_CLASSES
 from .intensity import correlation
@@ -106,9 +106,8 @@ def build_multilabel(
     """Deduplicate, remove labels, drop unlabelled rows, collapse by priority."""
     first = keep_first(df.withColumn("__labels", labels), [text], order)
     kept = F.filter("__labels", lambda x: ~x.isin(list(dropped)))
-    mapped = kept
-    for old, new in renamed.items():
-        mapped = F.transform(mapped, lambda x, o=old, n=new: F.when(x == o, n).otherwise(x))
+    table = literal_map(dict(renamed))
+    mapped = F.transform(kept, lambda x: F.coalesce(table[x], x)) if renamed else kept
     return (
         first.withColumn("__labels", mapped)
         .where(F.size("__labels") > 0)
@@ -265,10 +264,9 @@ def text_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def pattern_counts(df: DataFrame, patterns: Mapping[str, Column]) -> DataFrame:
     """Rows matching each named condition, in one pass."""
-    counted = df.agg(*[F.count_if(c).alias(n) for n, c in patterns.items()])
-    return counted.select(
-        F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in patterns]))
-    )
+    counted = df.agg(*[F.count_if(c).alias(f"__c{i}") for i, c in enumerate(patterns.values())])
+    rows = [F.struct(F.lit(n).alias("name"), F.col(f"__c{i}").alias("n")) for i, n in enumerate(patterns)]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def script_profile(df: DataFrame) -> DataFrame:
@@ -288,11 +286,13 @@ def script_profile(df: DataFrame) -> DataFrame:
 
 def recleaned_rows(df: DataFrame, placeholders: Sequence[str]) -> DataFrame:
     """Rows a second cleaning changes, by the placeholder they hold."""
-    once = df.select(clean_text(F.col("text")).alias("once"))
-    changed = once.where(clean_text(F.col("once")) != F.col("once"))
-    return pattern_counts(
-        changed, {"all": F.lit(True), **{p: F.contains("once", F.lit(p)) for p in placeholders}}
+    passes = let(
+        clean_text(F.col("text")),
+        lambda o: F.struct(o.alias("once"), (clean_text(o) != o).alias("changed")),
     )
+    seen = df.select(passes.alias("__p")).select("__p.once", "__p.changed")
+    marks = {p: F.col("changed") & F.contains("once", F.lit(p)) for p in placeholders}
+    return pattern_counts(seen, {"all": F.col("changed"), **marks})
 
 
 def stored_against_counted(df: DataFrame, stored: str) -> DataFrame:
@@ -399,7 +399,9 @@ def pair_quality(en: Column, ru: Column) -> Column:
     )
 
 
-def pair_report(pairs: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+def pair_report(
+    pairs: DataFrame, key: str, threshold: float = 0.5, low: int = 66, high: int = 313
+) -> DataFrame:
     """Pairs tagged kept, duplicate or filtered; duplicates fall before the filters."""
     blank = (F.trim("en") == "") | (F.trim("ru") == "")
     full = pairs.where(~blank)
@@ -407,7 +409,7 @@ def pair_report(pairs: DataFrame, key: str, threshold: float = 0.5) -> DataFrame
     groups = full.groupBy(F.lower("en").alias("__e"), F.lower("ru").alias("__r")).agg(
         F.count(F.lit(1)).alias("n"), F.min_by(F.struct("en", "ru"), key).alias("p")
     )
-    ok = pair_lengths_ok(F.col("p.en"), F.col("p.ru")) & (
+    ok = pair_lengths_ok(F.col("p.en"), F.col("p.ru"), low, high) & (
         pair_quality(F.col("p.en"), F.col("p.ru")) >= threshold
     )
     tallied = groups.withColumn("__ok", ok).agg(
