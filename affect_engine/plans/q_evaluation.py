@@ -10,7 +10,9 @@ from .catalog import query
 from .derived import SQL_CLASSES, SQL_VIEWS
 from .q_text import words_sql
 
-HIT = F.col("true_label") == F.col("pred_label")
+def hit():
+    return F.col("true_label") == F.col("pred_label")
+
 SIX = ("precision", "recall", "f1")
 
 
@@ -81,7 +83,7 @@ def _(t):
 SELECT true_label = pred_label AS hit, count(*) AS n, round(avg(length(text)), 6) AS mean_chars, round(avg(len({words_sql('text')})), 6) AS mean_words,
   quantile_cont(len({words_sql('text')}), 0.5) AS median_words FROM evals GROUP BY 1""")
 def _(t):
-    return r6(E.length_effects(t.evals, "text", HIT), "mean_chars", "mean_words")
+    return r6(E.length_effects(t.evals, "text", hit()), "mean_chars", "mean_words")
 
 
 def effects_sql(gate):
@@ -93,13 +95,13 @@ FROM (SELECT *, true_label = pred_label AS hit FROM evals)"""
 
 @query("x5_confidence_effects", effects_sql(0.4))
 def _(t):
-    e = E.confidence_effects(t.evals, "confidence", HIT, 0.4)
+    e = E.confidence_effects(t.evals, "confidence", hit(), 0.4)
     return r6(e, *e.columns)
 
 
 @query("x9_gate_effect", effects_sql(0.25))
 def _(t):
-    e = E.confidence_effects(t.evals, "confidence", HIT)
+    e = E.confidence_effects(t.evals, "confidence", hit())
     return r6(e, *e.columns)
 
 
@@ -109,7 +111,7 @@ SELECT g AS threshold, round(avg((confidence >= g)::INT), 6) AS coverage, round(
   round(count(*) FILTER (hit AND confidence < g)::DOUBLE / count(*) FILTER (hit), 6) AS correct_removed
 FROM (SELECT *, true_label = pred_label AS hit, unnest([0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]::DOUBLE[]) AS g FROM evals) GROUP BY g""")
 def _(t):
-    return r6(E.threshold_sweep(t.evals, "confidence", HIT), "coverage", "accuracy_kept", "errors_removed", "correct_removed")
+    return r6(E.threshold_sweep(t.evals, "confidence", hit()), "coverage", "accuracy_kept", "errors_removed", "correct_removed")
 
 
 @query("x7_error_rate_by_marker", """
@@ -119,7 +121,7 @@ def _(t):
     from .q_text import marked
     cleaned = marked(t).select("doc_id", F.contains(X.clean_text(F.col("text")), F.lit("[CAPS]")).alias("caps"))
     both = t.evals.select("doc_id", "true_label", "pred_label").join(cleaned, "doc_id")
-    return r6(E.error_rate_by(both, F.col("caps"), HIT), "error_rate")
+    return r6(E.error_rate_by(both, F.col("caps"), hit()), "error_rate")
 
 
 SQL_VIEWS["evals_b"] = """
