@@ -56,13 +56,19 @@ def normalize_quotes(text: Column) -> Column:
 
 
 def normalize_placeholders(text: Column) -> Column:
-    for canonical, spellings in vocab.PLACEHOLDERS.items():
-        text = F.regexp_replace(text, rf"(?iu)\[(?:{'|'.join(spellings)})\]", f"[{canonical}]")
-    return text
+    def rewrite(t: Column) -> Column:
+        for canonical, spellings in vocab.PLACEHOLDERS.items():
+            t = F.regexp_replace(t, rf"(?iu)\[(?:{'|'.join(spellings)})\]", f"[{canonical}]")
+        return t
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("[")), rewrite(t)).otherwise(t))
 
 
 def strip_emoji(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, EMOJI, ""), EMOTICONS, "")
+    # The look-ahead names every first character, so most positions fail at once.
+    return F.regexp_replace(
+        F.regexp_replace(text, EMOJI, ""), rf"(?=[:;<xXD>=8BoO^T-])(?:{EMOTICONS})", ""
+    )
 
 
 def _slang_lookup(key: Column) -> Column:
@@ -81,23 +87,28 @@ def _slang_lookup(key: Column) -> Column:
 
 def expand_slang(text: Column) -> Column:
     def expand(word: Column) -> Column:
-        return F.coalesce(_slang_lookup(F.btrim(F.lower(word), F.lit(WORD_EDGE))), word)
+        key = F.btrim(F.lower(word), F.lit(WORD_EDGE))
+        return F.coalesce(let(key, _slang_lookup), word)
 
     return _rejoin(F.transform(words(text), expand))
 
 
 def mask_entities(text: Column) -> Column:
-    def either(entries) -> str:
-        return "|".join(entries)
+    def either(entries, both_cases: bool = False) -> str:
+        # First letters ahead of the boundary test: it is the dearer of the two.
+        initials = {e[0] for e in entries}
+        if both_cases:
+            initials |= {x for c in initials for x in (c.lower(), c.upper())}
+        return rf"(?=[{''.join(sorted(initials))}])\b(?:{'|'.join(entries)})\b"
 
     for pattern, marker in (
         (rf"https?://{_NOT_SPACE}+|www\.{_NOT_SPACE}+", "[URL]"),
         (r"(?U)@\w+", "[TAG]"),
         (r"(?U)#\w+", "[TAG]"),
-        (r"(?U)\b\d+\.?\d*\b", "[NUM]"),
-        (rf"(?U)\b(?:{either(vocab.NAMES)})\b", "[NAME]"),
-        (rf"(?iU)\b(?:{either(vocab.RELIGIONS)})\b", "[RELIGION]"),
-        (rf"(?U)\b(?:{either(vocab.CITIES)})\b", "[CITY]"),
+        (r"(?U)(?=\d)\b\d+\.?\d*\b", "[NUM]"),
+        (f"(?U){either(vocab.NAMES)}", "[NAME]"),
+        (f"(?iU){either(vocab.RELIGIONS, both_cases=True)}", "[RELIGION]"),
+        (f"(?U){either(vocab.CITIES)}", "[CITY]"),
     ):
         text = F.regexp_replace(text, pattern, marker)
     return text
@@ -111,21 +122,22 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def is_shouted(word: Column) -> Column:
-    bare = F.btrim(word, F.lit(".,!?;:'\""))
-    return (
-        bare.rlike(r"^\p{L}{2,}$")
-        & (F.upper(bare) == bare)
+    return let(
+        F.btrim(word, F.lit(".,!?;:'\"")),
+        lambda bare: (F.upper(bare) == bare)
         & (F.lower(bare) != bare)
+        & bare.rlike(r"^\p{L}{2,}$"),
     )
 
 
 def mark_shouting(text: Column) -> Column:
     def mark(word: Column) -> Column:
-        lowered = F.lower(word)
-        return (
-            F.when(_is_placeholder(word), word)
+        # Most words are lower-case already and need no further look.
+        return let(
+            F.lower(word),
+            lambda lowered: F.when((lowered == word) | _is_placeholder(word), word)
             .when(is_shouted(word), F.concat(F.lit("[CAPS] "), lowered))
-            .otherwise(lowered)
+            .otherwise(lowered),
         )
 
     return _rejoin(F.transform(words(text), mark))
@@ -158,7 +170,12 @@ def squeeze_repeats(text: Column) -> Column:
             F.regexp_replace(word, r"(.)\1{2,}", "$1$1")
         )
 
-    return _rejoin(F.transform(words(text), squeeze))
+    return let(
+        text,
+        lambda t: F.when(
+            t.rlike(r"(.)\1{2}"), _rejoin(F.transform(words(t), squeeze))
+        ).otherwise(_rejoin(words(t))),
+    )
 
 
 def drop_repeated_placeholders(text: Column) -> Column:
