@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, StringIndexer, VectorAssembler, Word2Vec
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sentences import dot, norm
@@ -175,41 +175,28 @@ def embedding_statistics(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, block: str) -> DataFrame:
-    """Cosine of every pair inside small blocks, each pair once.
-
-    Meant for probe sets; ``block`` must keep a block small by construction.
-    """
-    a = df.select(block, F.col(key).alias("a"), F.col(vector).alias("va"))
-    b = df.select(block, F.col(key).alias("b"), F.col(vector).alias("vb"))
-    return a.join(b, block).where(F.col("a") < F.col("b")).select(
-        "a", "b", (dot(F.col("va"), F.col("vb")) / (norm(F.col("va")) * norm(F.col("vb")))).alias("cosine")
-    )
+MAX_PROBES = 256
 
 
 def nearest(probes: DataFrame, table: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The k nearest rows of ``table`` for each of a fixed, small set of probes.
+    """The k rows of ``table`` most similar to each of a few probes.
 
-    Each task scores its rows against all probes and only the best k per probe
-    leave it, so the shuffle does not grow with the table.
+    The probe set is small by contract and its size is checked before it is
+    broadcast. The rank limit is applied before the shuffle, so at most k rows
+    per probe leave a task however large the table is.
     """
+    if probes.limit(MAX_PROBES + 1).count() > MAX_PROBES:
+        raise ValueError(f"at most {MAX_PROBES} probes; join larger sets in parts")
     p = probes.select(F.col(key).alias("probe"), F.col(vector).alias("__pv"))
     scored = table.join(F.broadcast(p), F.col(key) != F.col("probe")).select(
         "probe",
-        F.struct(
-            (-dot(F.col(vector), F.col("__pv")) / (norm(F.col(vector)) * norm(F.col("__pv")))).alias("d"),
-            F.col(key).alias("key"),
-        ).alias("hit"),
-    )
-    partial = scored.groupBy("probe", F.pmod(F.hash("hit.key"), F.lit(256)).alias("__b")).agg(
-        F.slice(F.array_sort(F.collect_list("hit")), 1, k).alias("best")
-    )
-    return (
-        partial.groupBy("probe")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-        .select("probe", F.posexplode("best").alias("rank", "hit"))
-        .select("probe", (F.col("rank") + 1).alias("rank"), F.col("hit.key").alias("neighbour"), (-F.col("hit.d")).alias("cosine"))
+        F.col(key).alias("neighbour"),
+        F.try_divide(
+            dot(F.col(vector), F.col("__pv")), norm(F.col(vector)) * norm(F.col("__pv"))
+        ).alias("cosine"),
     )
+    order = Window.partitionBy("probe").orderBy(F.desc("cosine"), "neighbour")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def class_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
