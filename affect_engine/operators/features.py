@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sentences import dot, norm
-from ..functions.text import text_counters, words
+from ..functions.text import let, text_counters, words
+from ..session import materialize
 from .corpus import hash_chunk
 from .scan import chunk_of, ordered_scan
 
@@ -20,14 +21,15 @@ RESERVED_TOKENS = 8
 def ngrams(tokens: Column, sizes: Sequence[int]) -> Column:
     """All runs of the given lengths as space-joined strings."""
 
-    def runs(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    def runs(words: Column, n: int) -> Column:
+        starts = F.when(
+            F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))
+        ).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-    parts = [tokens if n == 1 else runs(n) for n in sizes]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    if list(sizes) == [1]:
+        return tokens
+    return let(tokens, lambda w: F.concat(*[w if n == 1 else runs(w, n) for n in sizes]))
 
 
 def term_counts(df: DataFrame, key: str, tokens: Column, sizes: Sequence[int] = (1,)) -> DataFrame:
@@ -55,6 +57,8 @@ def tf_idf(
     number; it joins back by term, where adaptive skew handling splits a
     frequent term's rows.
     """
+    # Read three times below; the counts are far smaller than the texts.
+    counts = materialize(counts, "term-counts")
     documents = counts.agg(F.count_distinct(key).alias("__n"))
     totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("__all"))
     # One row.
@@ -263,7 +267,8 @@ def train_classifier(df: DataFrame, text: str, label: str, kind: str = "logistic
         return gather.transform(counter.transform(tokens))
 
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(df)
-    model = kinds[kind]().fit(prepare(index.transform(df)))
+    ready = materialize(prepare(index.transform(df)).select("__y", "__x"), "training-rows")
+    model = kinds[kind]().fit(ready)
     names = F.array(*[F.lit(x) for x in index.labels])
 
     def predict(rows: DataFrame) -> DataFrame:
