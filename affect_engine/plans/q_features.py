@@ -145,16 +145,16 @@ def _(t):
 
 
 SQL_VIEWS["lexicon"] = """
-SELECT word, (n % 21 - 10)/10.0::DOUBLE AS polarity FROM (SELECT word, count(*) AS n FROM (SELECT lower(word) AS word FROM words) WHERE word <> '' GROUP BY word) WHERE n > 3"""
+SELECT word, n % 21 - 10 AS polarity FROM (SELECT word, count(*) AS n FROM (SELECT lower(word) AS word FROM words) WHERE word <> '' GROUP BY word) WHERE n > 3"""
 
 
 @query("m10_polarity", f"""
-SELECT doc_id, round(coalesce(p, 0), 6) AS polarity FROM documents LEFT JOIN (
+SELECT doc_id, coalesce(p, 0) AS polarity FROM documents LEFT JOIN (
   SELECT doc_id, avg(polarity) AS p FROM (SELECT doc_id, unnest({words_sql('lower(text)')}) AS word FROM documents) JOIN lexicon USING (word) GROUP BY doc_id) USING (doc_id)""")
 def _(t):
     counts = t.words.select(F.lower("word").alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    lexicon = counts.where("n > 3").select("word", ((F.col("n") % 21 - 10) / 10.0).alias("polarity"))
-    return r6(M.polarity(t.documents.select("doc_id", "text"), "doc_id", "text", lexicon), "polarity")
+    lexicon = counts.where("n > 3").select("word", (F.col("n") % 21 - 10).alias("polarity"))
+    return M.polarity(t.documents.select("doc_id", "text"), "doc_id", "text", lexicon)
 
 
 @query("g10_minority_oversampling", """
