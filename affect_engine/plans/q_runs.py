@@ -168,8 +168,7 @@ def _(t):
     rows = t.segments.select("video_id", "segment_id", "start", "end", "has_speech", "text")
     path = scratch_path(t.spark, "documents")
     SK.as_documents(rows.withColumn("video", F.col("video_id")), "video_id", "segment_id").select("value").write.text(path)
-    from pyspark.sql.types import StructType
-    row = StructType.fromDDL("segment_id long, start double, `end` double, has_speech boolean, text string, video long")
+    row = "segment_id long, start double, `end` double, has_speech boolean, text string, video long"
     back = RD.stage_documents(t.spark, path, row, "segments", multi_line=False)
     return back.select(F.col("video").alias("video_id"), "segment_id", "start", "end", "has_speech", "text")
 

@@ -1,54 +1,52 @@
-"""Row schemas of the stored tables."""
+"""Row schemas of the stored tables, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-CORPUS = StructType.fromDDL(
+CORPUS = (
     "text string, label string, source string, labels_source string, token_count int"
 )
-CORPUS_RU = StructType.fromDDL("text string, label string, source string")
-VA_CORPUS = StructType.fromDDL("text string, lang string, valence double, arousal double")
-PAIRS = StructType.fromDDL("en string, ru string, score double")
-SHOTS = StructType.fromDDL(
+CORPUS_RU = ("text string, label string, source string")
+VA_CORPUS = ("text string, lang string, valence double, arousal double")
+PAIRS = ("en string, ru string, score double")
+SHOTS = (
     "video_id string, scene_id long, start double, `end` double, duration double, "
     "transition_type string, difference_score double"
 )
-WORDS = StructType.fromDDL(
+WORDS = (
     "video_id string, segment_id long, i long, word string, start double, `end` double, probability double"
 )
-TRANSCRIPT_SEGMENTS = StructType.fromDDL(
+TRANSCRIPT_SEGMENTS = (
     "id long, start double, `end` double, text string, avg_logprob double, compression_ratio double, "
     "no_speech_prob double, words array<struct<word: string, start: double, `end`: double, probability: double>>"
 )
-GLOBAL_SCENES = StructType.fromDDL(
+GLOBAL_SCENES = (
     "video_id string, global_scene_id long, start double, `end` double, duration double, "
     "shot_count long, first_shot long, last_shot long"
 )
-SEGMENTS = StructType.fromDDL(
+SEGMENTS = (
     "video_id string, local_segment_id long, global_scene_id long, start double, `end` double, "
     "duration double, text string, sentence_count long, word_count long, has_speech boolean, "
     "confidence_average double"
 )
-VA_PREDICTIONS = StructType.fromDDL(
+VA_PREDICTIONS = (
     "video_id string, segment_id long, valence double, arousal double, has_prediction boolean, "
     "reason string, is_advertisement boolean, is_emotionally_significant boolean, "
     "threshold_used double, arousal_percentile double"
 )
-EMOTION_PREDICTIONS = StructType.fromDDL(
+EMOTION_PREDICTIONS = (
     "video_id string, segment_id long, predicted_emotion string, confidence double, "
     "probabilities map<string, double>, classification_method string"
 )
-VIDEOS = StructType.fromDDL(
+VIDEOS = (
     "video_id string, url string, title string, uploader string, duration double, fps double, "
     "width int, height int, upload_date string, view_count long, like_count long, download_date string, "
     "file_paths struct<video: string, audio: string>, file_sizes struct<video_mb: double, audio_mb: double>"
 )
-AUDIO_QUALITY = StructType.fromDDL(
+AUDIO_QUALITY = (
     "video_id string, silence_regions array<struct<start: double, `end`: double>>, quality_flags array<string>"
 )
-EXPERIMENTS = StructType.fromDDL(
+EXPERIMENTS = (
     "iteration_id long, model_type string, model_name string, f1_macro double, f1_weighted double, "
     "accuracy double, training_time double, notes string, date_run string"
 )
-JOB_LOG = StructType.fromDDL("job_id long, line_no long, ts timestamp, line string")
+JOB_LOG = ("job_id long, line_no long, ts timestamp, line string")

@@ -6,19 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schemas import CORPUS
 
 
-def stage_documents(spark: SparkSession, path: str, row: T.StructType, field: str, multi_line: bool = True) -> DataFrame:
+def stage_documents(
+    spark: SparkSession, path: str, row: str, field: str, multi_line: bool = True
+) -> DataFrame:
     """Rows of the list ``field`` of JSON documents, with the file they came from."""
-    schema = T.StructType(
-        [
-            T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
-            T.StructField(field, T.ArrayType(row)),
-        ]
-    )
+    schema = f"metadata map<string, string>, `{field}` array<struct<{row}>>"
     documents = spark.read.schema(schema).json(path, multiLine=multi_line)
     return documents.select("metadata", F.col("_metadata.file_path").alias("path"), F.inline(field))
 
@@ -36,7 +32,7 @@ def describe_artefact(path: Column) -> dict[str, Column]:
     }
 
 
-def corpus_csv(spark: SparkSession, path: str, schema: T.StructType = CORPUS) -> DataFrame:
+def corpus_csv(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
     """Corpus as CSV, compressed or not; texts may hold quotes and line breaks."""
     return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
 
@@ -56,7 +52,7 @@ def table(
     suffix: str,
     required: Sequence[str],
     text: str = "text",
-    schema: T.StructType | None = None,
+    schema: str | None = None,
     limit: int | None = None,
     at_least: int = 1,
 ) -> DataFrame:
