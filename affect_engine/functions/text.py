@@ -37,9 +37,9 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def words(text: Column) -> Column:
-    """Array of whitespace-separated words."""
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+def words(text: Column, collapsed: bool = False) -> Column:
+    """Array of whitespace-separated words; ``collapsed`` text has single blanks only."""
+    return F.filter(F.split(text, " " if collapsed else SPACE + "+"), lambda w: w != "")
 
 
 def _rejoin(array: Column) -> Column:
@@ -85,12 +85,12 @@ def _slang_lookup(key: Column) -> Column:
     )
 
 
-def expand_slang(text: Column) -> Column:
+def expand_slang(text: Column, collapsed: bool = False) -> Column:
     def expand(word: Column) -> Column:
         key = F.btrim(F.lower(word), F.lit(WORD_EDGE))
         return F.coalesce(let(key, _slang_lookup), word)
 
-    return _rejoin(F.transform(words(text), expand))
+    return _rejoin(F.transform(words(text, collapsed), expand))
 
 
 def mask_entities(text: Column) -> Column:
@@ -130,7 +130,7 @@ def is_shouted(word: Column) -> Column:
     )
 
 
-def mark_shouting(text: Column) -> Column:
+def mark_shouting(text: Column, collapsed: bool = False) -> Column:
     def mark(word: Column) -> Column:
         # Most words are lower-case already and need no further look.
         return let(
@@ -140,7 +140,7 @@ def mark_shouting(text: Column) -> Column:
             .otherwise(lowered),
         )
 
-    return _rejoin(F.transform(words(text), mark))
+    return _rejoin(F.transform(words(text, collapsed), mark))
 
 
 def normalize_punctuation(text: Column) -> Column:
@@ -164,7 +164,7 @@ def normalize_punctuation(text: Column) -> Column:
     return F.regexp_replace(text, SPACE + r"+([.,!?;:])", "$1")
 
 
-def squeeze_repeats(text: Column) -> Column:
+def squeeze_repeats(text: Column, collapsed: bool = False) -> Column:
     def squeeze(word: Column) -> Column:
         return F.when(_is_placeholder(word), word).otherwise(
             F.regexp_replace(word, r"(.)\1{2,}", "$1$1")
@@ -173,19 +173,19 @@ def squeeze_repeats(text: Column) -> Column:
     return let(
         text,
         lambda t: F.when(
-            t.rlike(r"(.)\1{2}"), _rejoin(F.transform(words(t), squeeze))
-        ).otherwise(_rejoin(words(t))),
+            t.rlike(r"(.)\1{2}"), _rejoin(F.transform(words(t, collapsed), squeeze))
+        ).otherwise(t if collapsed else _rejoin(words(t))),
     )
 
 
-def drop_repeated_placeholders(text: Column) -> Column:
+def drop_repeated_placeholders(text: Column, collapsed: bool = False) -> Column:
     def kept(tokens: Column) -> Column:
         return F.filter(
             tokens,
             lambda w, i: ~(_is_placeholder(w) & (i > 0) & (w == F.get(tokens, i - 1))),
         )
 
-    return _rejoin(let(words(text), kept))
+    return _rejoin(let(words(text, collapsed), kept))
 
 
 BEFORE_DEDUPE = (
@@ -198,11 +198,31 @@ BEFORE_DEDUPE = (
 )
 AFTER_DEDUPE = (mark_shouting, collapse_whitespace, normalize_punctuation, squeeze_repeats)
 FINALLY = (drop_repeated_placeholders, collapse_whitespace)
+PIPELINE = BEFORE_DEDUPE + AFTER_DEDUPE + FINALLY
+
+
+# Steps that leave single blanks between words, and steps that keep them so.
+_COLLAPSING = (
+    expand_slang,
+    collapse_whitespace,
+    mark_shouting,
+    squeeze_repeats,
+    drop_repeated_placeholders,
+)
+_KEEPING = (mask_entities, normalize_punctuation)
 
 
 def _chain(text: Column, steps) -> Column:
+    """Apply the steps in order, leaving out whitespace work already done."""
+    collapsed = False
     for step in steps:
-        text = step(text)
+        if step is collapse_whitespace:
+            text = text if collapsed else step(text)
+        elif step in _COLLAPSING:
+            text = step(text, collapsed)
+        else:
+            text = step(text)
+        collapsed = step in _COLLAPSING or (collapsed and step in _KEEPING)
     return text
 
 
@@ -219,7 +239,7 @@ def tidy(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    return tidy(clean_late(clean_early(text)))
+    return _chain(text, PIPELINE)
 
 
 TRANSFORMS = {"clean_text": clean_text, "clean_early": clean_early, None: lambda c: c}

@@ -351,6 +351,23 @@ def annotation_violations(df: DataFrame) -> DataFrame:
     )
 
 
+def audit(df: DataFrame, expected: DataFrame) -> DataFrame:
+    """All problems of a corpus in one table: kind, name and size; empty when clean."""
+    counts = count_violations(df, "label", expected).select(
+        F.lit("class_count").alias("kind"), "name", F.abs(F.col("got") - F.col("expected")).alias("n")
+    )
+    rules = annotation_violations(df).where(F.col("name") != "annotated_disgust").select(
+        F.lit("rule").alias("kind"), "name", "n"
+    )
+    nulls = null_counts(df, ["text", "label", "source", "labels_source", "token_count"]).select(
+        F.lit("null").alias("kind"), "name", F.col("nulls").alias("n")
+    )
+    conflicts = label_conflicts(df, "disgust").select(
+        F.lit("conflict").alias("kind"), F.lit("conflicting_texts").alias("name"), F.col("conflicting_texts").alias("n")
+    )
+    return counts.unionByName(rules).unionByName(nulls).unionByName(conflicts).where("n > 0")
+
+
 # --- parallel pairs ----------------------------------------------------------
 
 

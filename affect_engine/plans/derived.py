@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import EMOTION_CLASSES
+from ..session import spread
 from ..operators.scan import chunk_of, ordered_scan
 
 
@@ -41,6 +42,11 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents on all cores, for costly text work."""
+        return spread(self.read("documents"))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

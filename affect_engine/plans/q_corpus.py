@@ -7,6 +7,7 @@ from ..functions import pairs as PT
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import splits as P
+from ..session import spread
 from .catalog import query
 from .derived import SQL_CLASSES, SQL_VIEWS
 from .q_text import WS, chain_sql, EARLY, LATE, TIDY, marked, q, rx, words_sql
@@ -31,7 +32,7 @@ def _(t):
 @query("s6_keep_first_cleaned", """
 SELECT min(doc_id) AS doc_id, count(*) AS copies FROM docs_early GROUP BY text""")
 def _(t):
-    return t.documents.groupBy(X.clean_early(F.col("text")).alias("early")).agg(
+    return t.texts.groupBy(X.clean_early(F.col("text")).alias("early")).agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("early")
 
 
@@ -98,7 +99,7 @@ SELECT position, step, removed::BIGINT AS removed, (total - sum(removed) OVER (O
   FROM (SELECT (SELECT count(*) FROM loved WHERE source = 'src3') AS outside, (SELECT count(*) FROM loved) AS total,
     sum(n - 1)::BIGINT AS copies, count(*) FILTER ({N_WORDS} < 20) AS short, count(*) FILTER ({N_WORDS} >= 20 AND label = 'love') AS love FROM src_late))""")
 def _(t):
-    return C.build_funnel(loved(t), F.col("source") != "src3", "love", 20)
+    return C.build_funnel(spread(loved(t)), F.col("source") != "src3", "love", 20)
 
 
 @query("g4_multilabel_build", f"""
@@ -161,7 +162,7 @@ def _(t):
 
 @query("a17_clean_share", "SELECT round(avg((c.text = d.text)::INT), 6) AS clean_share FROM docs_clean c JOIN documents d USING (doc_id)")
 def _(t):
-    return C.clean_share(t.documents).select(F.round("clean_share", 6).alias("clean_share"))
+    return C.clean_share(t.texts).select(F.round("clean_share", 6).alias("clean_share"))
 
 
 @query("a18_labels_per_row", f"SELECT len({ANN}) AS n_labels, count(*) AS n FROM corpus GROUP BY ALL")
@@ -366,3 +367,18 @@ def _(t):
     from ..functions.vocab import EMOTION_CLASSES
     expected = t.spark.createDataFrame([(c,) for c in EMOTION_CLASSES], "label string")
     return set_difference(loved(t).where("label <> 'fear'").select("label"), expected, "label")
+
+
+AUDIT_SQL = f"""
+SELECT 'class_count' AS kind, coalesce(l, e) AS name, abs(coalesce(got, 0) - coalesce(expected, 0)) AS n
+FROM (SELECT label AS l, count(*) AS got FROM loved GROUP BY label) FULL JOIN (SELECT unnest(['anger','joy','grief']) AS e, unnest([143, 130, 5]) AS expected) ON l = e WHERE coalesce(got, 0) <> coalesce(expected, 0)
+UNION ALL SELECT 'rule', name, n FROM (SELECT unnest(['disgust_without_annotation','overridden_not_neutral','unknown_label']) AS name,
+  unnest([count(*) FILTER (label = 'disgust' AND NOT d), count(*) FILTER (d AND label NOT IN ('disgust','neutral')), count(*) FILTER (label NOT IN {CLASSES})]) AS n
+  FROM (SELECT *, list_contains({ANN}, 'disgust') AS d FROM loved)) WHERE n > 0
+UNION ALL SELECT 'conflict', 'conflicting_texts', count(*) FROM (SELECT text FROM loved GROUP BY text HAVING count(DISTINCT CASE WHEN label <> 'love' THEN label END) > 1) HAVING count(*) > 0"""
+
+
+@query("g9_corpus_audit", AUDIT_SQL)
+def _(t):
+    expected = t.spark.createDataFrame([("anger", 143), ("joy", 130), ("grief", 5)], "name string, expected long")
+    return C.audit(loved(t), expected)

@@ -23,7 +23,7 @@ SQL_VIEWS["kept_terms"] = "SELECT * FROM term_df WHERE df >= 2 AND df <= n * 0.9
 
 
 def terms(t):
-    return M.term_counts(t.documents, "doc_id", X.emotion_tokens(F.col("text")), (1, 2))
+    return M.term_counts(t.texts, "doc_id", X.emotion_tokens(F.col("text")), (1, 2))
 
 
 @query("m1_tf_idf", """
@@ -170,7 +170,7 @@ SQL_VIEWS["token_counts"] = f"SELECT token, count(*) AS n FROM (SELECT unnest({t
 @query("a22_vocabulary", """
 SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 7 AS id FROM token_counts ORDER BY n DESC, token LIMIT 992""")
 def _(t):
-    return M.vocabulary(t.documents, X.emotion_tokens(F.col("text")), 1000)
+    return M.vocabulary(t.texts, X.emotion_tokens(F.col("text")), 1000)
 
 
 @query("a23_vocabulary_coverage", """

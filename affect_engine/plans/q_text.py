@@ -135,7 +135,7 @@ SQL_VIEWS["marked"] = (
 
 def marked(t):
     marks = F.array(*[F.lit(m) for m in MARKS])
-    return t.documents.select(
+    return t.texts.select(
         "doc_id", "lang", "source",
         F.concat_ws(
             " ",
@@ -190,7 +190,7 @@ def sentences_sql(x):
 @query("t12_split_sentences", f"""
 SELECT doc_id, unnest({sentences_sql('text')}) AS sentence FROM documents""")
 def _(t):
-    return t.documents.select("doc_id", F.explode(sentences.split_sentences(F.col("text"))).alias("sentence"))
+    return t.texts.select("doc_id", F.explode(sentences.split_sentences(F.col("text"))).alias("sentence"))
 
 
 def overlap_sql(x):
