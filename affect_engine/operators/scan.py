@@ -25,6 +25,12 @@ def chunk_of(column: Column, width: float) -> Column:
     return F.floor(column / F.lit(width)).cast("long")
 
 
+def nested_chunk(major: Column, minor: Column, width: int) -> Column:
+    """Chunk along two whole-number order columns: one per ``major`` value and
+    ``width`` steps of ``minor``, so that neither can pile up in one chunk."""
+    return (major * (1 << 24) + F.floor(minor / width)).cast("long")
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],

@@ -15,7 +15,7 @@ from ..functions.sentences import CAPITAL, jaccard, overlap_words
 from ..functions.text import words as split_words
 from ..session import materialize
 from .greedy import first_beyond, mark_starts
-from .scan import chunk_of, exact_quantiles, ordered_scan
+from .scan import chunk_of, exact_quantiles, nested_chunk, ordered_scan
 
 SCENE = ["video_id", "global_scene_id"]
 WORD_CHUNK = 4096
@@ -37,7 +37,7 @@ def number_words(words: DataFrame) -> DataFrame:
         kept,
         SCENE,
         ["segment_id", "i"],
-        chunk_of(F.col("segment_id"), 64),
+        nested_chunk(F.col("segment_id"), F.col("i"), WORD_CHUNK),
         position="__pos",
     ).withColumn("w", F.col("__pos") - 1).drop("__pos")
 
@@ -300,7 +300,7 @@ def local_segments(
         spoken.unionByName(silent),
         ["video_id"],
         ["global_scene_id", "seg"],
-        chunk_of(F.col("global_scene_id"), 64),
+        nested_chunk(F.col("global_scene_id"), F.col("seg"), WORD_CHUNK),
         position="__pos",
     ).select(
         "video_id",

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         TABLE_QUERIES[name] = build
         if sql is not None:
-            SQL_TEXT[name] = with_views(sql)
+            SQL_TEXT[name] = sql
         return build
 
     return register

@@ -30,7 +30,7 @@ SQL_CLASSES = "[" + ", ".join(f"'{c}'" for c in EMOTION_CLASSES) + "]"
 
 # Turns per chunk of a recording; seconds per chunk of an event stream.
 TURN_CHUNK = 1024
-TIME_CHUNK = 86400
+TIME_CHUNK = 3600
 
 
 class Tables:
