@@ -117,11 +117,11 @@ def build_multilabel(
 
 
 def balance_multilabel(
-    df: DataFrame, key: str, labels: str, target: int, rounds: int = 4, seed: str = "42"
+    df: DataFrame, key: str, labels: str, target: int, seed: str = "42"
 ) -> DataFrame:
     """Rows chosen so that every label reaches ``target`` where supply allows.
 
-    The one-by-one greedy pick is replaced by a few whole-table rounds: each
+    The one-by-one greedy pick is replaced by two whole-table rounds: each
     round ranks the unused rows of each label that still lacks rows, in a
     seeded order, and takes as many as are missing. A row is claimed through
     its scarcest missing label, so one round rarely overshoots another label.

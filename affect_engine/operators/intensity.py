@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import chunk_of, exact_quantiles, value_ranks
+from ..session import materialize
+from .scan import chunk_of, exact_quantiles, quantiles_of_ranks, value_ranks
 
 # Scores lie in [0, 1]; a value chunk of 1/1024 keeps each chunk small.
 SCORE_CHUNK = 1 / 1024
@@ -88,9 +89,15 @@ def flag_significant(
     The rank comes from counts per distinct value, so a group of any size is
     spread over tasks; rows join it by value.
     """
-    ranks = value_ranks(df, keys, value, chunk_of(F.col(value), SCORE_CHUNK))
-    limits = thresholds(df, keys, value, method)
-    totals = df.groupBy(*keys).agg(F.count(value).alias("__n"))
+    ranks = materialize(
+        value_ranks(df, keys, value, chunk_of(F.col(value), SCORE_CHUNK)), "score-ranks"
+    )
+    if method in ("mean", "mad"):
+        limits = thresholds(df, keys, value, method)
+    else:
+        p = 0.6 if method == "percentile_60" else 0.5
+        limits = quantiles_of_ranks(ranks, keys, value, {"threshold": p})
+    totals = ranks.groupBy(*keys).agg(F.sum("n_equal").alias("__n"))
     per_value = ranks.join(limits.join(totals, list(keys)), list(keys)).select(
         *keys,
         value,

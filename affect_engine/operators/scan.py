@@ -142,20 +142,23 @@ def exact_quantiles(
     group = list(keys)
     if not group:
         df, group = df.withColumn(_GLOBAL, F.lit(0)), [_GLOBAL]
-    ranked = value_ranks(df, group, value, chunk)
-    totals = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    located = ranked.join(totals, group)
+    found = quantiles_of_ranks(value_ranks(df, group, value, chunk), group, value, probabilities)
+    return found.select(*keys, *probabilities)
+
+
+def quantiles_of_ranks(
+    ranks: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
+) -> DataFrame:
+    """Quantiles read off a table made by ``value_ranks``."""
+    totals = ranks.groupBy(*keys).agg(F.sum("n_equal").alias("__n"))
+    located = ranks.join(totals, list(keys))
     picks = []
     for name, p in probabilities.items():
         target = F.lit(float(p)) * (F.col("__n") - 1)
         for side, index in (("lo", F.floor(target)), ("hi", F.ceil(target))):
             inside = (F.col("n_below") <= index) & (index < F.col("n_below") + F.col("n_equal"))
             picks.append(F.max(F.when(inside, F.col(value))).alias(f"__{name}_{side}"))
-    found = located.groupBy(*group, "__n").agg(*picks)
+    found = located.groupBy(*keys, "__n").agg(*picks)
     out = []
     for name, p in probabilities.items():
         target = F.lit(float(p)) * (F.col("__n") - 1)

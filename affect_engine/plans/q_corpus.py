@@ -110,7 +110,19 @@ def _(t):
                               "row_id", ["anger", "fear"], {"sadness": "joy"}).select("row_id", "label")
 
 
-@query("g5_balanced_downsample")
+SQL_VIEWS["label_rows"] = f"""
+SELECT row_id, md5(row_id || '42') AS h, unnest(list_distinct({ANN})) AS label FROM corpus"""
+SQL_VIEWS["label_supply"] = "SELECT label, count(*) AS supply FROM label_rows GROUP BY label"
+SQL_VIEWS["first_claims"] = """
+SELECT row_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, row_id) AS rn FROM (
+  SELECT row_id, h, label FROM label_rows JOIN label_supply USING (label) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY supply, label) = 1)) WHERE rn <= 60"""
+
+
+@query("g5_balanced_downsample", """
+SELECT row_id FROM first_claims UNION
+SELECT row_id FROM (SELECT row_id, missing, row_number() OVER (PARTITION BY label ORDER BY h, row_id) AS rn FROM label_rows JOIN (
+  SELECT label, 60 - count(f.row_id) AS missing FROM label_rows LEFT JOIN first_claims f USING (row_id) GROUP BY label) USING (label)
+  WHERE missing > 0 AND row_id NOT IN (SELECT row_id FROM first_claims)) WHERE rn <= missing""")
 def _(t):
     rows = t.corpus.select("row_id", F.array_distinct(L.parse_annotations(F.col("labels_source"))).alias("labels"))
     return C.balance_multilabel(rows, "row_id", "labels", 60).select("row_id")
