@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import collapse_by_priority, literal_map, parse_annotations
+from ..functions.pairs import clean_pair_text
 from ..functions.text import clean_early, clean_late, clean_text, let, words
 from ..functions.vocab import EMOTION_CLASSES
 from .intensity import correlation
@@ -416,6 +417,19 @@ def pair_quality(en: Column, ru: Column) -> Column:
     )
 
 
+def build_pairs(
+    pairs: DataFrame, key: str, threshold: float = 0.5, low: int = 66, high: int = 313
+) -> DataFrame:
+    """Clean, drop empty sides and later copies, filter by length, keep good pairs."""
+    cleaned = pairs.select(
+        key, clean_pair_text(F.col("en"), "en").alias("en"), clean_pair_text(F.col("ru"), "ru").alias("ru")
+    ).where((F.col("en") != "") & (F.col("ru") != ""))
+    first = keep_first(cleaned, [F.lower("en"), F.lower("ru")], key)
+    fitting = first.where(pair_lengths_ok(F.col("en"), F.col("ru"), low, high))
+    scored = fitting.withColumn("score", pair_quality(F.col("en"), F.col("ru")))
+    return scored.where(F.col("score") >= threshold)
+
+
 def pair_report(
     pairs: DataFrame, key: str, threshold: float = 0.5, low: int = 66, high: int = 313
 ) -> DataFrame:

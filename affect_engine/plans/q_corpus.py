@@ -7,7 +7,7 @@ from ..functions import pairs as PT
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import splits as P
-from ..session import spread
+from ..session import materialize, spread
 from .catalog import query
 from .derived import SQL_CLASSES, SQL_VIEWS
 from .q_text import WS, chain_sql, EARLY, LATE, TIDY, marked, q, rx, words_sql
@@ -244,9 +244,13 @@ PAIR_OK = f"""length(en) BETWEEN 66 AND 3130 AND length(ru) BETWEEN 66 AND 3130
 NUMS = "list_sort(list_distinct(regexp_extract_all({x}, '\\d+')))"
 SCORE = f"""round(CASE WHEN a = 0 OR b = 0 THEN 0.0 ELSE greatest(0.0, 1.0 - CASE WHEN b/a < 0.5 OR b/a > 2.0 THEN 0.2 ELSE 0 END
   - CASE WHEN len(x) > 0 AND x <> y THEN 0.15 ELSE 0 END - CASE WHEN regexp_matches(en, '[а-яё]') THEN 0.3 ELSE 0 END - CASE WHEN m/a > 0.5 THEN 0.3 ELSE 0 END) END, 6)"""
-SQL_VIEWS["scored_pairs"] = f"""
+def scored_sql(source):
+    return f"""
 SELECT pair_id, en, ru, {SCORE} AS score, {PAIR_OK} AS ok FROM (SELECT *, len({words_sql('en')}) AS a, len({words_sql('ru')}) AS b, {NUMS.format(x='en')} AS x, {NUMS.format(x='ru')} AS y,
-  coalesce(list_max(map_values(list_aggregate({words_sql('lower(en)')}, 'histogram'))), 0) AS m FROM pairs)"""
+  coalesce(list_max(map_values(list_aggregate({words_sql('lower(en)')}, 'histogram'))), 0) AS m FROM {source})"""
+
+
+SQL_VIEWS["scored_pairs"] = scored_sql("pairs")
 
 
 @query("f14_pair_filter", f"SELECT pair_id FROM pairs WHERE {PAIR_OK}")
@@ -269,11 +273,6 @@ SELECT count(*) AS total_pairs, count(*) FILTER (first AND ok AND score >= 0.5)
 FROM (SELECT *, row_number() OVER (PARTITION BY lower(en), lower(ru) ORDER BY pair_id) = 1 AS first FROM scored_pairs)"""
 
 
-@query("g7_pair_pipeline_report", "SELECT * FROM report_pairs")
-def _(t):
-    return C.pair_report(t.pairs, "pair_id", low=66, high=3130)
-
-
 @query("a20_pair_report", "SELECT total_pairs, kept_pairs, filtered_pairs, duplicates_removed FROM report_pairs")
 def _(t):
     return C.pair_report(t.pairs, "pair_id", low=66, high=3130)
@@ -299,6 +298,20 @@ def _(t):
     return p.select("pair_id", PT.clean_pair_text(F.col("en"), "en").alias("en"), PT.clean_pair_text(F.col("ru"), "ru").alias("ru"))
 
 
+SQL_VIEWS["clean_pairs"] = f"""
+SELECT * FROM (SELECT pair_id, {pair_clean_sql('en', True)} AS en, {pair_clean_sql('ru', False)} AS ru FROM pairs) WHERE en <> '' AND ru <> ''
+QUALIFY row_number() OVER (PARTITION BY lower(en), lower(ru) ORDER BY pair_id) = 1"""
+SQL_VIEWS["good_pairs"] = scored_sql("clean_pairs")
+
+
+@query("g7_built_pairs", """
+SELECT pair_id, score, CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= floor(n * 0.8) + floor(n * 0.15) THEN 'valid' ELSE 'test' END AS side
+FROM (SELECT pair_id, score, row_number() OVER (ORDER BY md5(pair_id || '42'), pair_id) AS rn, count(*) OVER () AS n FROM good_pairs WHERE ok AND score >= 0.5)""")
+def _(t):
+    good = materialize(C.build_pairs(spread(t.pairs), "pair_id", low=66, high=3130).select("pair_id", "score"), "pairs")
+    return P.shuffled_split(good, "pair_id").withColumn("score", F.round("score", 6))
+
+
 # --- splits ------------------------------------------------------------------
 
 SQL_VIEWS["text_sides"] = """
