@@ -182,24 +182,32 @@ def embedding_statistics(df: DataFrame, vector: str) -> DataFrame:
 MAX_PROBES = 256
 
 
-def nearest(probes: DataFrame, table: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The k rows of ``table`` most similar to each of a few probes.
+def probe_similarities(probes: DataFrame, table: DataFrame, key: str, vector: str) -> DataFrame:
+    """Cosine of every row of ``table`` with each of a few probes.
 
     The probe set is small by contract and its size is checked before it is
-    broadcast. The rank limit is applied before the shuffle, so at most k rows
-    per probe leave a task however large the table is.
+    broadcast; the table is read in place.
     """
     if probes.limit(MAX_PROBES + 1).count() > MAX_PROBES:
         raise ValueError(f"at most {MAX_PROBES} probes; join larger sets in parts")
     p = probes.select(F.col(key).alias("probe"), F.col(vector).alias("__pv"))
-    scored = table.join(F.broadcast(p), F.col(key) != F.col("probe")).select(
+    return table.join(F.broadcast(p), F.col(key) != F.col("probe")).select(
         "probe",
         F.col(key).alias("neighbour"),
         F.try_divide(
             dot(F.col(vector), F.col("__pv")), norm(F.col(vector)) * norm(F.col("__pv"))
         ).alias("cosine"),
     )
+
+
+def nearest(probes: DataFrame, table: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """The k rows of ``table`` most similar to each probe.
+
+    The rank limit applies before the shuffle, so at most k rows per probe
+    leave a task however large the table is.
+    """
     order = Window.partitionBy("probe").orderBy(F.desc("cosine"), "neighbour")
+    scored = probe_similarities(probes, table, key, vector)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -108,7 +108,7 @@ SELECT neighbour, round(max(cosine), 6) AS best FROM (
   FROM embeddings p JOIN embeddings e ON e.vec_id <> p.vec_id WHERE p.vec_id IN (10, 20, 30)) GROUP BY neighbour""")
 def _(t):
     e = t.embeddings.select("vec_id", "embedding")
-    near = M.nearest(e.where(F.col("vec_id").isin(10, 20, 30)), e, "vec_id", "embedding", 10**9)
+    near = M.probe_similarities(e.where(F.col("vec_id").isin(10, 20, 30)), e, "vec_id", "embedding")
     return near.groupBy("neighbour").agg(F.round(F.max("cosine"), 6).alias("best"))
 
 
