@@ -150,9 +150,9 @@ def _(t):
 
 @query("a10_quality_report", """
 SELECT video_id, total_segments, "full", majority, disagreement, low_confidence_count, emotion_changes,
-  round(avg_confidence, 6) AS avg_confidence, round(agreement_rate, 6) AS agreement_rate,
-  round(neutral_pct, 6) AS neutral_pct, round(change_rate, 6) AS change_rate,
-  round(agreement_rate*0.4 + avg_confidence*30 + (100 - abs(neutral_pct - 80))*0.2 + (100 - change_rate)*0.1, 4) AS quality_score,
+  round(avg_confidence, 9) AS avg_confidence, round(agreement_rate, 9) AS agreement_rate,
+  round(neutral_pct, 9) AS neutral_pct, round(change_rate, 9) AS change_rate,
+  round(agreement_rate*0.4 + avg_confidence*30 + (100 - abs(neutral_pct - 80))*0.2 + (100 - change_rate)*0.1, 9) AS quality_score,
   concat_ws(',', CASE WHEN agreement_rate < 50 THEN 'low_agreement' END,
     CASE WHEN avg_confidence < 0.4 THEN 'low_confidence' END,
     CASE WHEN neutral_pct < 65 OR neutral_pct > 90 THEN 'unusual_neutral_share' END,
@@ -173,8 +173,8 @@ def _(t):
     return q.select(
         "video_id", "total_segments", "full", "majority", "disagreement", "low_confidence_count",
         "emotion_changes",
-        *[F.round(c, 6).alias(c) for c in ("avg_confidence", "agreement_rate", "neutral_pct", "change_rate")],
-        F.round("quality_score", 4).alias("quality_score"),
+        *[F.round(c, 9).alias(c) for c in ("avg_confidence", "agreement_rate", "neutral_pct", "change_rate")],
+        F.round("quality_score", 9).alias("quality_score"),
         F.array_join("warnings", ",").alias("warnings"))
 
 

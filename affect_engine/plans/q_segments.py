@@ -162,11 +162,11 @@ def _(t):
 
 
 @query("a7_shot_statistics", """
-SELECT video_id, count(*) AS n, round(avg(duration), 6) AS average, round(min(duration), 6) AS shortest, round(max(duration), 6) AS longest,
-  round(sum(duration), 6) AS total, round(quantile_cont(duration, 0.5), 6) AS median FROM shots GROUP BY video_id""")
+SELECT video_id, count(*) AS n, round(avg(duration), 9) AS average, round(min(duration), 9) AS shortest, round(max(duration), 9) AS longest,
+  round(sum(duration), 9) AS total, round(quantile_cont(duration, 0.5), 9) AS median FROM shots GROUP BY video_id""")
 def _(t):
     out = S.duration_statistics(t.shots, ["video_id"], width=10.0)
-    return out.select("video_id", "n", *[F.round(c, 6).alias(c) for c in ("average", "shortest", "longest", "total", "median")])
+    return out.select("video_id", "n", *[F.round(c, 9).alias(c) for c in ("average", "shortest", "longest", "total", "median")])
 
 
 @query("a7_reduction_ratio", f"""
