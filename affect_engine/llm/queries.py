@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, line_dedup, mixing, toxicity
+from . import chat, html_text, line_dedup, mixing, ngram_join, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -48,6 +48,35 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(odd)))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS_SQL = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+
+
+@query(
+    "op4_ngram_join",
+    f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+    sh AS (
+      SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 4
+        THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS s
+      FROM w
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    common AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), links AS (
+      SELECT x, y FROM common JOIN sizes i ON i.doc_id = x JOIN sizes j ON j.doc_id = y WHERE 100 * c >= 85 * (i.n + j.n - c)
+    ), reach(x, y) AS (
+      SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+    )
+    SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
+    FROM reach LEFT JOIN sizes ON doc_id = x GROUP BY x
+    """,
+)
+def ngram_components(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link(table(spark, folder, "documents"))
+
+
 @query("op5_html_text")
 def html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
