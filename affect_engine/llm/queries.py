@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, line_dedup, mixing, ngram_join, toxicity
+from . import chat, fingerprint, html_text, line_dedup, mixing, ngram_join, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -83,6 +83,11 @@ def html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+@query("op6_fingerprints")
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.compare_with_edited(table(spark, folder, "documents"))
+
+
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``score``, learned from the labelled rows outside the held-out fold."""
     learn = labels.filter(remainder("doc_id", 4) != 2).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label"))
