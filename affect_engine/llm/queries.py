@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, html_text, line_dedup, mixing, ngram_join, toxicity
-
-Query = Callable[[SparkSession, str], DataFrame]
-LLM_QUERIES: dict[str, Query] = {}
-LLM_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(build: Query) -> Query:
-        LLM_QUERIES[name] = build
-        if sql is not None:
-            LLM_SQL[name] = sql
-        return build
-
-    return register
-
+from . import chat, corpus_queries, fingerprint, html_text, line_dedup, mixing, ngram_join, toxicity
+from .registry import LLM_QUERIES, LLM_SQL, query, table
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+__all__ = ["LLM_QUERIES", "LLM_SQL", "corpus_queries", "query", "table"]
 
 
 def remainder(key: str, divisor: int):
@@ -90,9 +73,8 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``score``, learned from the labelled rows outside the held-out fold."""
-    learn = labels.filter(remainder("doc_id", 4) != 2).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label"))
-    rows = docs.select("doc_id", "text").join(learn, F.col("doc_id") == F.col("_id")).select("text", "label")
-    return toxicity.score(docs, toxicity.fit(rows))
+    learn = labels.filter(remainder("doc_id", 4) != 2).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.score(docs, toxicity.fit(docs, learn))
 
 
 @query("op7_toxicity")
