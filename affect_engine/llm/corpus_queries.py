@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm
+from . import decontam, lm, passages
 from .registry import query, table
 
 
+@query("op1_repeated_passages")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated(table(spark, folder, "documents"))
+
+
 @query("op3_lm_scores")
 def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
