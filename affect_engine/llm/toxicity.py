@@ -91,19 +91,21 @@ def _train(batches):
     yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(w[kept])], names=["at", "weight"])
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, shards: int = SHARDS) -> np.ndarray:
-    """Weights (bias last) from ``labelled (text, label 0/1)``.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Weights (bias last) from the documents that ``labels (doc_id, label 0/1)`` names.
 
-    Of each class the ``max_rows`` rows with the lowest text hash are used. That
-    bound is a parameter of training only; scoring has none.
+    Of each class the ``max_rows`` rows with the lowest id hash are used. That
+    bound is a parameter of training only; scoring has none. It also bounds the
+    id list that is broadcast to pick their texts, so no text is shuffled but
+    theirs.
     """
-    rows = labelled.filter("label in (0, 1)").select(
-        F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")
-    )
-    rows = rows.withColumn("order", F.xxhash64("text", F.lit(7)))
+    rows = labels.filter("label in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label"))
+    rows = rows.withColumn("order", F.xxhash64("_id", F.lit(7)))
     sample = rows.filter("label = 1").orderBy("order").limit(max_rows)
     sample = sample.unionByName(rows.filter("label = 0").orderBy("order").limit(max_rows))
-    dealt = sample.repartition(shards, "order").sortWithinPartitions("order", "label")
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("text"))
+    named = texts.join(F.broadcast(sample), F.col("_key") == F.col("_id")).select("text", "label", "order")
+    dealt = named.repartition(shards, "order").sortWithinPartitions("order", "label")
     parts = dealt.select("text", "label").mapInArrow(_train, "at long, weight double").toArrow()
     total = np.zeros((1 << BITS) + 1)
     if parts.num_rows:
