@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import affect_engine
-from affect_engine.llm import line_dedup, mixing, queries
+from affect_engine.llm import decontam, line_dedup, mixing, ngram_join, queries
 from affect_engine.llm.tables import saved
 
 cloudpickle.register_pickle_by_value(affect_engine)
@@ -29,6 +29,19 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return line_dedup.drop_boilerplate(docs).select(docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies."""
+    linked = ngram_join.link(docs, size=5, percent=80)
+    others = linked.filter("component_id <> doc_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    found = decontam.leaks(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeated to equal shares, in mixed order."""
     return mixing.mix(docs, queries.even_rates(docs), seed=queries.MIX_SEED)
@@ -37,6 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_boilerplate_lines),
+    ("n-gram join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
     ("mixing", mix_sources),
 ]
 
