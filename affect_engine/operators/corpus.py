@@ -174,33 +174,32 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def source_signature(df: DataFrame) -> DataFrame:
     """What gives a source away: punctuation, feeling words, its classes."""
     low = F.lower("text")
-
-    def share(condition: Column) -> Column:
-        return F.avg(condition.cast("double"))
-
-    classes = [F.max((F.col("label") == c).cast("int")) for c in EMOTION_CLASSES]
-    return df.groupBy("source").agg(
+    per_label = df.groupBy("source", "label").agg(
         F.count(F.lit(1)).alias("n"),
-        share(F.col("text").rlike(r"[.,!?]")).alias("punctuated"),
-        share(low.rlike("feel|felt")).alias("feeling"),
-        share(low.rlike("^(i feel|i felt|i am feeling)")).alias("begins_feeling"),
-        sum(classes[1:], classes[0]).alias("classes"),
+        F.count("text").alias("texts"),
+        F.count_if(F.col("text").rlike(r"[.,!?]")).alias("punctuated"),
+        F.count_if(low.rlike("feel|felt")).alias("feeling"),
+        F.count_if(low.rlike("^(i feel|i felt|i am feeling)")).alias("begins_feeling"),
     )
+    shares = [F.try_divide(F.sum(c), F.sum("texts")).alias(c) for c in ("punctuated", "feeling", "begins_feeling")]
+    return per_label.groupBy("source").agg(F.sum("n").alias("n"), *shares, F.count("label").alias("classes"))
 
 
 def label_conflicts(df: DataFrame, involving: str) -> DataFrame:
     """Repeated texts and those labelled in more than one way.
 
-    Copies collapse to at most one row per (text, label, source) before a text
-    is looked at as a whole.
+    Any label counts, also one outside the classes; a null label counts as none.
+    Copies collapse to one row per (text, label) before a text is looked at as a
+    whole.
     """
-    cells = df.groupBy("text", "label", "source").agg(F.count(F.lit(1)).alias("n"))
-    labels = [F.max((F.col("label") == c).cast("int")) for c in EMOTION_CLASSES]
+    cells = df.groupBy("text", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.min("source").alias("low"), F.max("source").alias("high")
+    )
     per_text = cells.groupBy("text").agg(
         F.sum("n").alias("rows"),
-        sum(labels[1:], labels[0]).alias("labels"),
+        F.count("label").alias("labels"),
         F.max(F.col("label") == involving).alias("involved"),
-        (F.min("source") == F.max("source")).alias("one_source"),
+        (F.min("low") == F.max("high")).alias("one_source"),
     )
     conflict = F.col("labels") > 1
     return per_text.agg(

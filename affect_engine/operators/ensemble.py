@@ -96,7 +96,8 @@ def timeline_vote(df: DataFrame, models: Sequence[str] = TIMELINE_MODELS) -> Dat
 
     Reads ``<model>_label`` and ``<model>_confidence``; a null label is an
     absent model. Adds emotion, agreement_level, models_agree, total_models,
-    confidence and source.
+    confidence and source; and arousal and valence, where ``<model>_arousal`` and
+    ``<model>_valence`` are there for any model.
     """
     items = []
     for m in models:
@@ -115,17 +116,39 @@ def timeline_vote(df: DataFrame, models: Sequence[str] = TIMELINE_MODELS) -> Dat
 
     vote = let(let(_present(items), usable), _settle)
     fields = ("emotion", "agreement_level", "models_agree", "total_models", "confidence", "source")
+    affect = []
+    for dimension in ("arousal", "valence"):
+        if any(f"{m}_{dimension}" in df.columns for m in models):
+            value = {m: F.col(f"{m}_{dimension}") if f"{m}_{dimension}" in df.columns else F.lit(None) for m in models}
+            pairs = [(F.col(f"{m}_label").isNotNull(), value[m]) for m in models]
+            affect.append(ensemble_affect(pairs).alias(dimension))
     return (
         df.where(F.coalesce(*[F.col(f"{m}_label") for m in models]).isNotNull())
         .withColumn("__vote", vote)
-        .select(*df.columns, *[F.col(f"__vote.{f}").alias(f) for f in fields])
+        .select(*df.columns, *[F.col(f"__vote.{f}").alias(f) for f in fields], *affect)
     )
 
 
-def ensemble_affect(values: Sequence[Column], default: float = 0.5) -> Column:
-    """Mean over all models of a dimension, an absent model counting as ``default``."""
-    total = sum((F.coalesce(v, F.lit(default)) for v in values), F.lit(0.0))
-    return total / len(values)
+def reference_models(df: DataFrame, keys: Sequence[str], models: Sequence[str] = TIMELINE_MODELS) -> DataFrame:
+    """The first model of ``models`` that has any label, per recording."""
+    seen = df.groupBy(*keys).agg(*[F.count(f"{m}_label").alias(m) for m in models])
+    return seen.select(*keys, F.coalesce(*[F.when(F.col(m) > 0, m) for m in models]).alias("reference"))
+
+
+def align_to_reference(df: DataFrame, keys: Sequence[str], models: Sequence[str] = TIMELINE_MODELS) -> DataFrame:
+    """Rows that the recording's reference model labels, with the other models where they agree on the row."""
+    label = F.coalesce(*[F.when(F.col("reference") == m, F.col(f"{m}_label")) for m in models])
+    return df.join(reference_models(df, keys, models), list(keys)).where(label.isNotNull())
+
+
+def ensemble_affect(models: Sequence[tuple[Column, Column]], default: float = 0.5) -> Column:
+    """Mean of a dimension over the present models, given as (is present, value).
+
+    ``default`` stands for a present model without a value; absent models don't
+    count. Null without any model.
+    """
+    total = sum((F.when(here, F.coalesce(v, F.lit(default))).otherwise(0.0) for here, v in models), F.lit(0.0))
+    return F.try_divide(total, sum((here.cast("int") for here, _ in models), F.lit(0)))
 
 
 def export_vote(

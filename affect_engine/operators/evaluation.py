@@ -24,12 +24,20 @@ def confusion_cells(df: DataFrame, true: str, pred: str, keys: Sequence[str] = (
 
 
 def confusion_matrix(df: DataFrame, true: str, pred: str) -> DataFrame:
-    """Truth in rows, predictions in columns, every class present."""
-    rows = df.groupBy(F.col(true).alias("true")).agg(
-        *[F.count_if(F.col(pred) == c).alias(c) for c in EMOTION_CLASSES]
+    """Truth in rows, predictions in columns, every class present.
+
+    Labels outside the classes, and null ones, make up the row and column ``other``.
+    """
+
+    def named(label: Column) -> Column:
+        return F.when(label.isin(*EMOTION_CLASSES), label).otherwise("other")
+
+    names = [*EMOTION_CLASSES, "other"]
+    rows = df.groupBy(named(F.col(true)).alias("true")).agg(
+        *[F.count_if(named(F.col(pred)) == c).alias(c) for c in names]
     )
     # One row per class of the closed class list.
-    classes = df.sparkSession.createDataFrame([(c,) for c in EMOTION_CLASSES], "true string")
+    classes = df.sparkSession.createDataFrame([(c,) for c in names], "true string")
     return classes.join(rows, "true", "left").fillna(0)
 
 

@@ -50,9 +50,13 @@ def tf_idf(
     max_features: int | None = None,
     sublinear: bool = False,
     binary: bool = False,
+    corpus: DataFrame | None = None,
 ) -> DataFrame:
     """L2-normalised weights with idf = ln((1 + n) / (1 + df)) + 1.
 
+    ``n`` counts the rows of ``corpus``, the documents with and without terms;
+    without it, those that have a term.
+
     A term's document count may be a third of all rows, but per term it is one
     number; it joins back by term, where adaptive skew handling splits a
     frequent term's rows.
@@ -60,6 +64,8 @@ def tf_idf(
     # Read three times below; the counts are far smaller than the texts.
     counts = materialize(counts, "term-counts")
     documents = counts.agg(F.count_distinct(key).alias("__n"))
+    if corpus is not None:
+        documents = corpus.agg(F.count(F.lit(1)).alias("__n"))
     totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("__all"))
     # One row.
     kept = totals.join(F.broadcast(documents), how="cross").where(
@@ -179,24 +185,39 @@ def embedding_statistics(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
-MAX_PROBES = 256
+BLOCK_ROWS = 1024
 
 
-def probe_similarities(probes: DataFrame, table: DataFrame, key: str, vector: str) -> DataFrame:
-    """Cosine of every row of ``table`` with each of a few probes.
+def _blocks(df: DataFrame, key: str, vector: str, names: tuple[str, str]) -> DataFrame:
+    """Rows packed into blocks by the hash of their key, with their unit vectors."""
+    n = max(1, -(-df.count() // BLOCK_ROWS))
+    unit = F.transform(vector, lambda x: F.try_divide(x.cast("double"), norm(F.col(vector))))
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias(names[0]), F.struct(F.col(key).alias("k"), unit.alias("v")).alias("r"))
+    return rows.groupBy(names[0]).agg(F.collect_list("r").alias(names[1]))
+
 
-    The probe set is small by contract and its size is checked before it is
-    broadcast; the table is read in place.
+def _block_pairs(probes: DataFrame, table: DataFrame, key: str, vector: str) -> DataFrame:
+    """Every block of probes beside every block of the table.
+
+    A block holds about ``BLOCK_ROWS`` rows, so a task holds two of them however
+    many probes there are. The table's blocks are sent to each probe block by
+    key; each probe block's number is a key of its own.
     """
-    if probes.limit(MAX_PROBES + 1).count() > MAX_PROBES:
-        raise ValueError(f"at most {MAX_PROBES} probes; join larger sets in parts")
-    p = probes.select(F.col(key).alias("probe"), F.col(vector).alias("__pv"))
-    return table.join(F.broadcast(p), F.col(key) != F.col("probe")).select(
-        "probe",
-        F.col(key).alias("neighbour"),
-        F.try_divide(
-            dot(F.col(vector), F.col("__pv")), norm(F.col(vector)) * norm(F.col("__pv"))
-        ).alias("cosine"),
+    p = _blocks(probes, key, vector, ("__pb", "__p"))
+    t = _blocks(table, key, vector, ("__tb", "__t"))
+    # One number per block.
+    numbers = [r[0] for r in p.select("__pb").collect()]
+    sent = t.withColumn("__pb", F.explode(F.lit(numbers).cast("array<bigint>")))
+    return sent.join(p, "__pb")
+
+
+def probe_similarities(probes: DataFrame, table: DataFrame, key: str, vector: str) -> DataFrame:
+    """Cosine of every row of ``table`` with each probe, in blocks."""
+    pairs = _block_pairs(probes, table, key, vector)
+    probe = pairs.select("__t", F.explode("__p").alias("p"))
+    rows = probe.select("p", F.explode("__t").alias("t")).where("p.k <> t.k")
+    return rows.select(
+        F.col("p.k").alias("probe"), F.col("t.k").alias("neighbour"), dot(F.col("p.v"), F.col("t.v")).alias("cosine")
     )
 
 
@@ -220,9 +241,12 @@ def class_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     )
 
 
-def word_vectors(df: DataFrame, tokens: str, size: int = 16, seed: int = 42, **options):
-    """Train word vectors; transforming averages a document's words."""
-    return Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol=tokens, outputCol="vector", **options).fit(df)
+def word_vectors(df: DataFrame, tokens: str, size: int = 100, seed: int = 42, min_count: int = 5, **options):
+    """Train word vectors; transforming averages a document's words.
+
+    The trainer keeps its vocabulary on the driver; ``min_count`` bounds it.
+    """
+    return Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol=tokens, outputCol="vector", **options).fit(df)
 
 
 def oversample(df: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: str = "42") -> DataFrame:

@@ -28,15 +28,22 @@ VECTOR = T.ArrayType(T.FloatType())
 Scorer = Callable[[list[str]], list]
 
 
-def in_shrinking_batches(score: Scorer, texts: list[str], size: int) -> list:
+def out_of_memory(error: Exception) -> bool:
+    """Memory errors of Python, and of device libraries by their message."""
+    return isinstance(error, MemoryError) or "out of memory" in str(error).lower()
+
+
+def in_shrinking_batches(
+    score: Scorer, texts: list[str], size: int, is_memory_error: Callable[[Exception], bool] = out_of_memory
+) -> list:
     """Score in batches, halving the size on a memory error and failing at one."""
     out, at = [], 0
     while at < len(texts):
         try:
             out.extend(score(texts[at : at + size]))
             at += size
-        except MemoryError:
-            if size <= 1:
+        except Exception as error:
+            if size <= 1 or not is_memory_error(error):
                 raise
             size = max(1, size // 2)
     return out

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import EMOTION_CLASSES
-from ..session import spread
 from ..operators.scan import chunk_of, ordered_scan
 
 
@@ -44,8 +43,8 @@ class Tables:
 
     @cached_property
     def texts(self) -> DataFrame:
-        """Documents on all cores, for costly text work."""
-        return spread(self.read("documents"))
+        """Documents dealt by id, for costly text work on tables in few files."""
+        return self.read("documents").repartition("doc_id")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -7,7 +7,7 @@ from ..functions import pairs as PT
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import splits as P
-from ..session import materialize, spread
+from ..session import materialize
 from .catalog import query
 from .derived import SQL_CLASSES, SQL_VIEWS
 from .q_text import WS, chain_sql, EARLY, LATE, TIDY, marked, q, rx, words_sql
@@ -99,7 +99,7 @@ SELECT position, step, removed::BIGINT AS removed, (total - sum(removed) OVER (O
   FROM (SELECT (SELECT count(*) FROM loved WHERE source = 'src3') AS outside, (SELECT count(*) FROM loved) AS total,
     sum(n - 1)::BIGINT AS copies, count(*) FILTER ({N_WORDS} < 20) AS short, count(*) FILTER ({N_WORDS} >= 20 AND label = 'love') AS love FROM src_late))""")
 def _(t):
-    return C.build_funnel(spread(loved(t)), F.col("source") != "src3", "love", 20)
+    return C.build_funnel(loved(t).repartition("row_id"), F.col("source") != "src3", "love", 20)
 
 
 @query("g4_multilabel_build", f"""
@@ -308,7 +308,7 @@ SQL_VIEWS["good_pairs"] = scored_sql("clean_pairs")
 SELECT pair_id, score, CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= floor(n * 0.8) + floor(n * 0.15) THEN 'valid' ELSE 'test' END AS side
 FROM (SELECT pair_id, score, row_number() OVER (ORDER BY md5(pair_id || '42'), pair_id) AS rn, count(*) OVER () AS n FROM good_pairs WHERE ok AND score >= 0.5)""")
 def _(t):
-    good = materialize(C.build_pairs(spread(t.pairs), "pair_id", low=66, high=3130).select("pair_id", "score"), "pairs")
+    good = materialize(C.build_pairs(t.pairs, "pair_id", low=66, high=3130).select("pair_id", "score"), "pairs")
     return P.shuffled_split(good, "pair_id").withColumn("score", F.round("score", 6))
 
 
@@ -400,7 +400,7 @@ FROM (SELECT label AS l, count(*) AS got FROM loved GROUP BY label) FULL JOIN (S
 UNION ALL SELECT 'rule', name, n FROM (SELECT unnest(['disgust_without_annotation','overridden_not_neutral','unknown_label']) AS name,
   unnest([count(*) FILTER (label = 'disgust' AND NOT d), count(*) FILTER (d AND label NOT IN ('disgust','neutral')), count(*) FILTER (label NOT IN {CLASSES})]) AS n
   FROM (SELECT *, list_contains({ANN}, 'disgust') AS d FROM loved)) WHERE n > 0
-UNION ALL SELECT 'conflict', 'conflicting_texts', count(*) FROM (SELECT text FROM loved GROUP BY text HAVING count(DISTINCT CASE WHEN label <> 'love' THEN label END) > 1) HAVING count(*) > 0"""
+UNION ALL SELECT 'conflict', 'conflicting_texts', count(*) FROM (SELECT text FROM loved GROUP BY text HAVING count(DISTINCT label) > 1) HAVING count(*) > 0"""
 
 
 @query("g9_corpus_audit", AUDIT_SQL)

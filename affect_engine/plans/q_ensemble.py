@@ -31,19 +31,30 @@ def display_sql(x: str) -> str:
     )
 
 
-def long_sql(order: dict[str, int], label: str) -> str:
+def long_sql(order: dict[str, int], label: str, source: str = "predictions") -> str:
     return " UNION ALL ".join(
         f"SELECT video_id, segment_id, {i} AS ord, {label.format(m=m)}, "
-        f"coalesce({m}_confidence, 0.0) AS conf FROM predictions WHERE {m}_label IS NOT NULL"
+        f"coalesce({m}_confidence, 0.0) AS conf FROM {source} WHERE {m}_label IS NOT NULL"
         for m, i in order.items()
     )
 
 
 _RAW = "{m}_label AS raw"
+SQL_VIEWS["aligned_predictions"] = """
+SELECT * FROM predictions JOIN (
+  SELECT video_id, CASE WHEN count(distil_label) > 0 THEN 'distil' WHEN count(deberta_label) > 0 THEN 'deberta' WHEN count(ru_label) > 0 THEN 'ru' END AS reference
+  FROM predictions GROUP BY video_id) USING (video_id)
+WHERE CASE reference WHEN 'distil' THEN distil_label WHEN 'deberta' THEN deberta_label ELSE ru_label END IS NOT NULL"""
+
+
+def aligned_predictions(t):
+    return ensemble.align_to_reference(t.predictions, ["video_id"])
+
+
 SQL_VIEWS["tl_long"] = f"""
 SELECT video_id, segment_id, ord, conf,
   {canonical_sql('raw', "'neutral'")} AS label, ({canonical_sql('raw', 'NULL')}) IS NOT NULL AS known
-FROM ({long_sql(dict(distil=1, deberta=2, ru=3), _RAW)})"""
+FROM ({long_sql(dict(distil=1, deberta=2, ru=3), _RAW, "aligned_predictions")})"""
 SQL_VIEWS["timeline"] = """
 SELECT video_id, segment_id, emotion, agreement_level, top::BIGINT AS models_agree, n::BIGINT AS total_models,
   (SELECT avg(conf) FROM tl_used u WHERE u.video_id = z.video_id AND u.segment_id = z.segment_id AND u.label = z.emotion) AS confidence,
@@ -64,25 +75,32 @@ WHERE known OR NOT any_known"""
 SELECT video_id, segment_id, emotion, agreement_level, models_agree, total_models,
        round(confidence, 6) AS confidence, source FROM timeline""")
 def _(t):
-    return ensemble.timeline_vote(t.predictions).select(
+    return ensemble.timeline_vote(aligned_predictions(t)).select(
         "video_id", "segment_id", "emotion", "agreement_level",
         F.col("models_agree").cast("long"), F.col("total_models").cast("long"),
         F.round("confidence", 6).alias("confidence"), "source")
 
 
 @query("v2_ensemble_affect", """
-SELECT video_id, segment_id, round((coalesce(arousal, 0.5) + coalesce(valence, 0.5) + 0.5)/3, 6) AS arousal,
-       round((coalesce(valence, 0.5) + 0.5)/2, 6) AS valence FROM va""")
+SELECT video_id, segment_id, round(list_avg(list_filter([
+    CASE WHEN distil_label IS NOT NULL THEN coalesce(arousal, 0.5) END, CASE WHEN deberta_label IS NOT NULL THEN coalesce(arousal / 2, 0.5) END,
+    CASE WHEN ru_label IS NOT NULL THEN 0.5 END], lambda x : x IS NOT NULL)), 6) AS arousal,
+  round(list_avg(list_filter([CASE WHEN distil_label IS NOT NULL THEN coalesce(valence, 0.5) END, CASE WHEN deberta_label IS NOT NULL THEN 0.5 END,
+    CASE WHEN ru_label IS NOT NULL THEN coalesce(1 - valence, 0.5) END], lambda x : x IS NOT NULL)), 6) AS valence
+FROM aligned_predictions JOIN va USING (video_id, segment_id)""")
 def _(t):
-    return t.va_keys.select(
-        "video_id", "segment_id",
-        F.round(ensemble.ensemble_affect([F.col("arousal"), F.col("valence"), F.lit(None)]), 6).alias("arousal"),
-        F.round(ensemble.ensemble_affect([F.col("valence"), F.lit(None)]), 6).alias("valence"))
+    # Three models' readings; each lacks one dimension or another.
+    scores = t.va_keys.select(
+        "video_id", "segment_id", F.col("arousal").alias("distil_arousal"), (F.col("arousal") / 2).alias("deberta_arousal"),
+        F.col("valence").alias("distil_valence"), (1 - F.col("valence")).alias("ru_valence"))
+    rows = aligned_predictions(t).join(scores, ["video_id", "segment_id"])
+    return ensemble.timeline_vote(rows).select(
+        "video_id", "segment_id", F.round("arousal", 6).alias("arousal"), F.round("valence", 6).alias("valence"))
 
 
 @query("v3_source_counts", "SELECT source, count(*) AS n FROM timeline GROUP BY source")
 def _(t):
-    return ensemble.timeline_vote(t.predictions).groupBy("source").agg(F.count("*").alias("n"))
+    return ensemble.timeline_vote(aligned_predictions(t)).groupBy("source").agg(F.count("*").alias("n"))
 
 
 def export_vote_view(label: str) -> str:
@@ -125,7 +143,7 @@ def _(t):
 @query("v6_confidence_gate", """
 SELECT video_id, segment_id, emotion, round(confidence, 6) AS confidence FROM timeline WHERE round(confidence, 9) >= 0.4""")
 def _(t):
-    voted = ensemble.timeline_vote(t.predictions)
+    voted = ensemble.timeline_vote(aligned_predictions(t))
     return voted.where(F.round("confidence", 9) >= 0.4).select(
         "video_id", "segment_id", "emotion", F.round("confidence", 6).alias("confidence"))
 
@@ -142,7 +160,7 @@ SELECT video_id, count(*) FILTER (prev <> emotion) AS emotion_changes,
        round(CASE WHEN count(*) > 1 THEN count(*) FILTER (prev <> emotion) * 100.0 / (count(*) - 1) ELSE 0 END, 6) AS change_rate
 FROM (SELECT *, lag(emotion) OVER (PARTITION BY video_id ORDER BY segment_id) AS prev FROM timeline) GROUP BY video_id""")
 def _(t):
-    voted = ensemble.timeline_vote(t.predictions)
+    voted = ensemble.timeline_vote(aligned_predictions(t))
     return ensemble.emotion_changes(
         voted, ["video_id"], "segment_id", "emotion", chunk_of(F.col("segment_id"), TURN_CHUNK)
     ).withColumn("change_rate", F.round("change_rate", 6))
@@ -168,7 +186,7 @@ FROM (SELECT video_id, count(*) AS total_segments, count(*) FILTER (agreement_le
    CASE WHEN count(*) > 1 THEN count(*) FILTER (prev <> emotion) * 100.0::DOUBLE / (count(*) - 1) ELSE 0 END AS change_rate
   FROM (SELECT *, lag(emotion) OVER (PARTITION BY video_id ORDER BY segment_id) AS prev FROM timeline) GROUP BY video_id)""")
 def _(t):
-    voted = ensemble.timeline_vote(t.predictions)
+    voted = ensemble.timeline_vote(aligned_predictions(t))
     q = ensemble.quality_report(voted, ["video_id"], "segment_id", chunk_of(F.col("segment_id"), TURN_CHUNK))
     return q.select(
         "video_id", "total_segments", "full", "majority", "disagreement", "low_confidence_count",
@@ -221,17 +239,12 @@ def _(t):
 
 
 @query("j4_reference_alignment", """
-SELECT video_id, segment_id, CASE WHEN distil_label IS NOT NULL THEN 'distil' WHEN deberta_label IS NOT NULL THEN 'deberta' ELSE 'ru' END AS reference,
+SELECT video_id, segment_id, reference,
   (distil_label IS NOT NULL)::INT + (deberta_label IS NOT NULL)::INT + (ru_label IS NOT NULL)::INT AS models
-FROM predictions WHERE coalesce(distil_label, deberta_label, ru_label) IS NOT NULL""")
+FROM aligned_predictions""")
 def _(t):
-    p = t.predictions
-    key = ["video_id", "segment_id"]
-    sides = [p.where(F.col(f"{m}_label").isNotNull()).select(*key, F.lit(m).alias("model"), F.lit(i).alias("rank"))
-             for i, m in enumerate(ensemble.TIMELINE_MODELS)]
-    every = sides[0].unionByName(sides[1]).unionByName(sides[2])
-    return every.groupBy(*key).agg(
-        F.min_by("model", "rank").alias("reference"), F.count("*").cast("int").alias("models"))
+    present = [F.col(f"{m}_label").isNotNull().cast("int") for m in ensemble.TIMELINE_MODELS]
+    return aligned_predictions(t).select("video_id", "segment_id", "reference", sum(present[1:], present[0]).alias("models"))
 
 
 @query("a9_completeness", """

@@ -35,10 +35,15 @@ SQL_VIEWS["slice_metrics"] = metrics_sql("evals", "lang")
 
 
 @query("x1_confusion_matrix", f"""
-SELECT c AS true, {', '.join(f"count(*) FILTER (pred_label = '{c}') AS {c}" for c in EMOTION_CLASSES)}
-FROM (SELECT unnest({SQL_CLASSES}) AS c) LEFT JOIN evals ON true_label = c GROUP BY c""")
+SELECT c AS true, {', '.join(f"count(*) FILTER (p = '{c}') AS {c}" for c in (*EMOTION_CLASSES, 'other'))}
+FROM (SELECT unnest(list_append({SQL_CLASSES}, 'other')) AS c) LEFT JOIN (
+  SELECT CASE WHEN doc_id % 11 = 0 THEN 'other' ELSE true_label END AS t, CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE pred_label END AS p FROM evals) ON t = c GROUP BY c""")
 def _(t):
-    return E.confusion_matrix(t.evals, "true_label", "pred_label")
+    # Some labels outside the classes on either side.
+    rows = t.evals.withColumns({
+        "true_label": F.when(F.col("doc_id") % 11 == 0, "love").otherwise(F.col("true_label")),
+        "pred_label": F.when(F.col("doc_id") % 13 != 0, F.col("pred_label"))})
+    return E.confusion_matrix(rows, "true_label", "pred_label")
 
 
 @query("x2_per_class_metrics", """

@@ -8,7 +8,7 @@ from ..operators import attribution as A
 from ..operators import features as M
 from ..operators import signal as G
 from ..operators import timeline as T
-from ..operators.ensemble import timeline_vote
+from ..operators.ensemble import align_to_reference, timeline_vote
 from ..operators.scan import chunk_of
 from .catalog import query
 from .derived import SQL_CLASSES, SQL_VIEWS, TURN_CHUNK
@@ -18,7 +18,7 @@ from .q_text import tokens_sql, words_sql
 SQL_VIEWS["terms"] = f"""
 SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i : w[i] || ' ' || w[i+1]))) AS term
 FROM (SELECT doc_id, {tokens_sql('text')} AS w FROM documents)) GROUP BY ALL"""
-SQL_VIEWS["term_df"] = "SELECT term, count(*) AS df, sum(tf) AS total, (SELECT count(DISTINCT doc_id) FROM terms) AS n FROM terms GROUP BY term"
+SQL_VIEWS["term_df"] = "SELECT term, count(*) AS df, sum(tf) AS total, (SELECT count(*) FROM documents) AS n FROM terms GROUP BY term"
 SQL_VIEWS["kept_terms"] = "SELECT * FROM term_df WHERE df >= 2 AND df <= n * 0.95 ORDER BY total DESC, term LIMIT 2000"
 
 
@@ -30,13 +30,13 @@ def terms(t):
 SELECT doc_id, term, round(w / sqrt(sum(w*w) OVER (PARTITION BY doc_id)), 6) AS weight
 FROM (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM terms JOIN kept_terms USING (term))""")
 def _(t):
-    w = M.tf_idf(terms(t), "doc_id", min_df=2, max_df=0.95, max_features=2000, sublinear=True)
+    w = M.tf_idf(terms(t), "doc_id", min_df=2, max_df=0.95, max_features=2000, sublinear=True, corpus=t.documents)
     return r6(w, "weight")
 
 
 @query("m2_binary_counts", "SELECT doc_id, term, 1.0 AS weight FROM terms JOIN kept_terms USING (term)")
 def _(t):
-    return M.tf_idf(terms(t), "doc_id", min_df=2, max_df=0.95, max_features=2000, binary=True)
+    return M.tf_idf(terms(t), "doc_id", min_df=2, max_df=0.95, max_features=2000, binary=True, corpus=t.documents)
 
 
 @query("m3_standardize", """
@@ -73,11 +73,11 @@ SELECT video_id || '-' || doc AS id, term, count(*) AS tf FROM (SELECT video_id,
 @query("m5_group_tf_idf", """
 SELECT id, count(*) AS terms, round(sum(weight), 4) AS total FROM (
   SELECT id, term, w / sqrt(sum(w*w) OVER (PARTITION BY id)) AS weight FROM (
-    SELECT id, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM group_terms JOIN (SELECT term, count(*) AS df, (SELECT count(DISTINCT id) FROM group_terms) AS n FROM group_terms GROUP BY term) USING (term) WHERE df <= n * 0.95))
+    SELECT id, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM group_terms JOIN (SELECT term, count(*) AS df, (SELECT count(*) FROM (SELECT DISTINCT video_id, doc FROM grouped_docs)) AS n FROM group_terms GROUP BY term) USING (term) WHERE df <= n * 0.95))
 WHERE weight >= 0.001 GROUP BY id""")
 def _(t):
     docs = grouped(t).withColumn("id", F.concat_ws("-", F.col("video_id").cast("string"), F.col("doc").cast("string")))
-    weights = M.tf_idf(M.term_counts(docs, "id", X.words(F.lower("text"))), "id", max_df=0.95)
+    weights = M.tf_idf(M.term_counts(docs, "id", X.words(F.lower("text"))), "id", max_df=0.95, corpus=docs.select("id").distinct())
     maps = M.term_maps(weights, "id")
     total = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda s, v: s + v)
     return maps.select("id", F.size("weights").alias("terms"), F.round(total, 4).alias("total"))
@@ -86,7 +86,7 @@ def _(t):
 @query("m6_word_vectors")
 def _(t):
     rows = t.documents.select("doc_id", X.words(X.clean_for_lemmas(F.col("text"))).alias("tokens"))
-    model = M.word_vectors(rows, "tokens", size=8, maxIter=1, numPartitions=4)
+    model = M.word_vectors(rows, "tokens", size=100, maxIter=10, numPartitions=4)
     return model.transform(rows).select("doc_id", "vector")
 
 
@@ -94,21 +94,20 @@ def _(t):
 SELECT probe, rank, neighbour, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY cosine DESC, neighbour) AS rank FROM (
   SELECT p.vec_id AS probe, e.vec_id AS neighbour, list_sum(list_transform(list_zip(p.embedding, e.embedding), lambda x : x[1]::DOUBLE * x[2]::DOUBLE))
     / sqrt(list_sum(list_transform(p.embedding, lambda x : x::DOUBLE*x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x : x::DOUBLE*x::DOUBLE))) AS cosine
-  FROM embeddings p JOIN embeddings e ON e.vec_id <> p.vec_id WHERE p.vec_id IN (0, 1, 2, 3))) WHERE rank <= 3""")
+  FROM embeddings p JOIN embeddings e ON e.vec_id <> p.vec_id))  WHERE rank <= 3""")
 def _(t):
     e = t.embeddings.select("vec_id", "embedding")
-    # The probes are a fixed list of four words in the source material.
-    return r6(M.nearest(e.where(F.col("vec_id").isin(0, 1, 2, 3)), e, "vec_id", "embedding", 3), "cosine")
+    return r6(M.nearest(e, e, "vec_id", "embedding", 3), "cosine")
 
 
 @query("j7_probe_similarities", """
 SELECT neighbour, round(max(cosine), 6) AS best FROM (
   SELECT p.vec_id AS probe, e.vec_id AS neighbour, list_sum(list_transform(list_zip(p.embedding, e.embedding), lambda x : x[1]::DOUBLE * x[2]::DOUBLE))
     / sqrt(list_sum(list_transform(p.embedding, lambda x : x::DOUBLE*x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x : x::DOUBLE*x::DOUBLE))) AS cosine
-  FROM embeddings p JOIN embeddings e ON e.vec_id <> p.vec_id WHERE p.vec_id IN (10, 20, 30)) GROUP BY neighbour""")
+  FROM embeddings p JOIN embeddings e ON e.vec_id <> p.vec_id) GROUP BY neighbour""")
 def _(t):
     e = t.embeddings.select("vec_id", "embedding")
-    near = M.probe_similarities(e.where(F.col("vec_id").isin(10, 20, 30)), e, "vec_id", "embedding")
+    near = M.probe_similarities(e, e, "vec_id", "embedding")
     return near.groupBy("neighbour").agg(F.round(F.max("cosine"), 6).alias("best"))
 
 
@@ -129,19 +128,19 @@ def _(t):
 @query("m9_logistic_regression")
 def _(t):
     rows = t.corpus.select("row_id", "text", "lang")
-    return M.train_classifier(rows, "text", "lang", "logistic", 256)(rows).select("row_id", "predicted")
+    return M.train_classifier(rows, "text", "lang", "logistic", 4096)(rows).select("row_id", "predicted")
 
 
 @query("m9_naive_bayes")
 def _(t):
     rows = t.corpus.select("row_id", "text", "lang")
-    return M.train_classifier(rows, "text", "lang", "bayes", 256)(rows).select("row_id", "predicted")
+    return M.train_classifier(rows, "text", "lang", "bayes", 4096)(rows).select("row_id", "predicted")
 
 
 @query("m9_random_forest")
 def _(t):
     rows = t.corpus.select("row_id", "text", "lang")
-    return M.train_classifier(rows, "text", "lang", "forest", 64)(rows).select("row_id", "predicted")
+    return M.train_classifier(rows, "text", "lang", "forest", 4096)(rows).select("row_id", "predicted")
 
 
 SQL_VIEWS["lexicon"] = """
@@ -322,7 +321,7 @@ def _(t):
 
 # --- timeline ----------------------------------------------------------------
 
-POINTS = 50
+POINTS = 500
 IDS = "['" + "','".join(TIMELINE_ORDER) + "']"
 SQL_VIEWS["tl_rows"] = f"""
 SELECT video_id, segment_id, start, "end", arousal, valence, list_position({IDS}, emotion) - 1 AS emotion_id, models_agree::DOUBLE / total_models AS agreement
@@ -330,7 +329,7 @@ FROM timeline JOIN va USING (video_id, segment_id)"""
 
 
 def timeline_rows(t):
-    voted = timeline_vote(t.predictions)
+    voted = timeline_vote(align_to_reference(t.predictions, ["video_id"]))
     ids = F.array(*[F.lit(c) for c in TIMELINE_ORDER])
     return t.va.select("video_id", "segment_id", "start", "end", "arousal", "valence").join(voted, ["video_id", "segment_id"]).select(
         "video_id", "segment_id", "start", "end", "arousal", "valence",

@@ -40,10 +40,10 @@ def _(t):
 
 @query("f4_translated_projection", """
 SELECT video_id, segment_id, start, "end", duration, said AS text, has_speech,
-  CASE WHEN said <> '' AND has_speech THEN upper(left(said, 5)) ELSE '' END AS text_en FROM spoken""")
+  CASE WHEN said <> '' AND has_speech THEN 'en: ' || said ELSE '' END AS text_en FROM spoken""")
 def _(t):
     s = spoken(t)
-    done = s.where((F.col("said") != "") & F.col("has_speech")).select(*KEY, F.upper(F.left("said", F.lit(5))).alias("text_en"))
+    done = s.where((F.col("said") != "") & F.col("has_speech")).select(*KEY, F.concat(F.lit("en: "), "said").alias("text_en"))
     return s.join(done, KEY, "left").select(
         *KEY, "start", "end", "duration", F.col("said").alias("text"), "has_speech",
         F.coalesce("text_en", F.lit("")).alias("text_en"))
