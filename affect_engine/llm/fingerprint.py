@@ -27,9 +27,9 @@ from .tables import remove, saved
 CELLS = 24
 PER_BLOCK = 7
 RETRIES = 4
+ROUNDS = 6
 CHUNK_DOCS = 256
 MOST_CHUNKS = 1 << 16
-CELL = "struct<c:bigint,k:bigint,h:bigint>"
 
 
 def digests(text: Column) -> Column:
@@ -38,105 +38,71 @@ def digests(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<bigint>")).otherwise(lines)
 
 
-def _check(digest: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(digest), 33)
-
-
-def _hits(digest: Column, cell: Column) -> Column:
-    """Whether a cell is one of the digest's three: three bits choose it in each row."""
+def _cells(digest: Column, blocks: Column) -> list[Column]:
+    """The digest's cell in each of the three rows of its block."""
     wide = CELLS // 3
-    first, second, third = (F.shiftright(digest, 3 * row).bitwiseAND(wide - 1) + row * wide for row in range(3))
-    return F.when(cell < wide, first).when(cell < 2 * wide, second).otherwise(third) == cell
-
-
-def _cell(c: Column, k: Column, h: Column) -> Column:
-    return F.struct(c.cast("bigint").alias("c"), k.cast("bigint").alias("k"), h.cast("bigint").alias("h"))
-
-
-_ZERO = lambda: _cell(F.lit(0), F.lit(0), F.lit(0))
-
-
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is named there."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    block = F.shiftright(digest, 9) % blocks * CELLS
+    return [block + F.shiftright(digest, 3 * row).bitwiseAND(wide - 1) + row * wide for row in range(3)]
 
 
-def sketch(items: Column) -> Column:
-    """Cells of an array of digests."""
+def sketch(items: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Cells of ``items (keys, d, blocks)``: per cell the sums of counts ``sums``.
 
-    def cells(marked: Column) -> Column:
-        def cell(i: Column) -> Column:
-            own = F.filter(marked, lambda x: _hits(x["d"], i))
-            return F.aggregate(own, _ZERO(), lambda s, x: _cell(s["c"] + 1, s["k"] + x["d"], s["h"] + x["h"]))
-
-        return F.transform(F.lit(list(range(CELLS))), cell)
-
-    return let(F.transform(items, lambda d: F.struct(d.alias("d"), _check(d).alias("h"))), cells)
-
-
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["c"] - y["c"], x["k"] - y["k"], x["h"] - y["h"]))
-
-
-def peel(cells: Column) -> Column:
-    """A struct of ``cells``, what is left, and ``found``, the digests recovered with their counts.
-
-    Each round takes every pure cell at once. A round that finds none ends it;
-    ``CELLS`` rounds are always enough.
+    A count ``x`` gives ``x_c``, ``x_k`` and ``x_h``: count, sum of digests, sum of
+    check values. A signed count sketches a difference.
     """
-    item = "array<struct<d:bigint,c:bigint>>"
-
-    def digest(x: Column) -> Column:
-        return F.when(x["c"] != 0, (x["k"] / x["c"]).cast("bigint"))
-
-    def pure(x: Column, i: Column) -> Column:
-        d = digest(x)
-        one = (d * x["c"] == x["k"]) & (d >= 0) & (_check(d) * x["c"] == x["h"]) & _hits(d, i)
-        return F.when(x["c"] == 0, False).otherwise(one)
+    spread = items.withColumn("h", F.shiftrightunsigned(F.xxhash64("d"), 33)).withColumn(
+        "cell", F.explode(F.array(*_cells(F.col("d"), F.col("blocks"))))
+    )
+    totals = []
+    for name, count in sums.items():
+        count = count.cast("bigint")
+        totals += [F.sum(count).alias(f"{name}_c"), F.sum(count * F.col("d")).alias(f"{name}_k"), F.sum(count * F.col("h")).alias(f"{name}_h")]
+    return spread.groupBy(*keys, "blocks", "cell").agg(*totals)
 
-    def find(s: Column) -> Column:
-        new = F.transform(F.filter(s["cells"], pure), lambda x: F.struct(digest(x).alias("d"), x["c"].alias("c")))
-        return let(
-            F.array_distinct(new).cast(item),
-            lambda new: F.struct(s["cells"].alias("cells"), s["found"].alias("found"), new.alias("new"), (F.size(new) > 0).alias("more")),
-        )
 
-    def clear(s: Column) -> Column:
-        def less(x: Column, i: Column) -> Column:
-            own = F.filter(s["new"], lambda r: _hits(r["d"], i))
-            return F.aggregate(own, x, lambda y, r: _cell(y["c"] - r["c"], y["k"] - r["d"] * r["c"], y["h"] - _check(r["d"]) * r["c"]))
+def peel(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, ok, differ)`` of difference sketches ``(keys, blocks, cell, c, k, h)``.
 
-        return F.struct(
-            F.transform(s["cells"], less).alias("cells"),
-            F.concat(s["found"], s["new"]).alias("found"),
-            F.array().cast(item).alias("new"),
-            s["more"].alias("more"),
+    A round takes every pure cell at once: its content is taken from the three
+    cells of its digest (once, though several may name it) and counted in cell
+    -1. Rounds need no shuffle where ``keys`` is how the rows are dealt. What
+    ``ROUNDS`` rounds don't empty has failed.
+    """
+    keys = [*keys, "blocks"]
+    for _ in range(ROUNDS):
+        d = F.when((F.col("cell") >= 0) & (F.col("c") != 0), F.expr("CASE WHEN c <> 0 THEN k div c END"))
+        marked = cells.withColumn("x", d)
+        own = _cells(F.col("x"), F.col("blocks"))
+        pure = (
+            (F.col("x") >= 0)
+            & (F.col("x") * F.col("c") == F.col("k"))
+            & (F.shiftrightunsigned(F.xxhash64("x"), 33) * F.col("c") == F.col("h"))
+            & F.col("cell").isin(*own)
         )
 
-    none = F.array().cast(item)
-    start = F.struct(cells.alias("cells"), none.alias("found"), none.alias("new"), F.lit(True).alias("more"))
-    end = F.aggregate(
-        F.sequence(F.lit(1), F.lit(2 * CELLS)),
-        start,
-        lambda s, i: F.when(~s["more"], s).when(i % 2 == 1, find(s)).otherwise(clear(s)),
+        def row(cell: Column, x: Column, c: Column, k: Column, h: Column) -> Column:
+            names = {"cell": cell, "x": x, "c": c, "k": k, "h": h}
+            return F.struct(*[v.cast("bigint").alias(n) for n, v in names.items()])
+
+        c, k, h, x, none = F.col("c"), F.col("k"), F.col("h"), F.col("x"), F.lit(None)
+        stay = row(F.col("cell"), none, c, k, h)
+        take = [row(cell, x, -c, -k, -h) for cell in own]
+        note = row(F.lit(-1), x, F.abs(c), F.lit(0), F.lit(0))
+        rows = F.when(F.coalesce(pure, F.lit(False)), F.array(stay, *take, note)).otherwise(F.array(stay))
+        moved = marked.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+        once = moved.groupBy(*keys, "cell", "x").agg(*[F.max(n).alias(n) for n in "ckh"])
+        cells = once.groupBy(*keys, "cell").agg(*[F.sum(n).alias(n) for n in "ckh"]).filter("c <> 0 OR k <> 0 OR h <> 0")
+    noted = F.col("cell") < 0
+    return cells.groupBy(*keys).agg(
+        F.bool_and(noted).alias("ok"), F.coalesce(F.sum(F.when(noted, F.col("c"))), F.lit(0)).alias("differ")
     )
-    return end
 
 
-def peeled(a: Column, b: Column) -> Column:
-    """``struct(ok, differ)`` of two sketches: whether all was recovered, and how much."""
-    return let(
-        peel(subtract(a, b)),
-        lambda out: F.struct(
-            F.forall(out["cells"], lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0)).alias("ok"),
-            F.aggregate(out["found"], F.lit(0).cast("bigint"), lambda n, x: n + F.abs(x["c"])).alias("differ"),
-        ),
-    )
-
-
-def as_text(cells: Column) -> Column:
-    """A sketch as hexadecimal text."""
-    return F.array_join(F.transform(cells, lambda x: F.concat_ws(".", F.hex(x["c"]), F.hex(x["k"]), F.hex(x["h"]))), "-")
+def _as_text(cells: Column) -> Column:
+    """The cells in use as hexadecimal text: place, count, digests, checks."""
+    shown = lambda x: F.concat_ws(".", *[F.hex(x.getField(i)) for i in ("cell", "c", "k", "h")])
+    return F.array_join(F.transform(cells.cast("array<struct<cell:bigint,c:bigint,k:bigint,h:bigint>>"), shown), "-")
 
 
 def likeness(n_a: Column, n_b: Column, differ: Column) -> Column:
@@ -196,27 +162,12 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     return sent.withColumn("next_text", F.lead("text").over(beside)).filter("guest = 0").select("doc_id", "text", "next_text")
 
 
-def _retry(pairs: DataFrame, blocks: Column) -> DataFrame:
-    """``(doc_id, pair, a, b, blocks, ok, differ)`` with the pairs sketched in ``blocks`` blocks."""
-    rows = pairs.withColumn("blocks", blocks).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    own = lambda items: F.filter(items, lambda d: F.shiftright(d, 9) % F.col("blocks") == F.col("block"))
-    found = rows.withColumn("out", peeled(sketch(own(F.col("a"))), sketch(own(F.col("b")))))
-    return found.groupBy("row", "doc_id", "pair").agg(
-        F.first("a").alias("a"),
-        F.first("b").alias("b"),
-        F.first("blocks").alias("blocks"),
-        F.bool_and("out.ok").alias("ok"),
-        F.sum("out.differ").alias("differ"),
-    ).drop("row")
-
-
 def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document, its edited text and the next document, by their sketches.
 
     The edited text has its last ``floor(n / 2)`` code points replaced by the
     first as many (or all) of the next document. Rows with equal ids are
-    answered each, and must not differ in their text.
+    answered each.
     """
     spark = docs.sparkSession
     folders: list[str] = []
@@ -231,54 +182,62 @@ def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text"
         digests(edited).alias("new"),
         digests(F.col("next_text")).alias("next"),
     )
-    base = saved(base, "digests", folders)
-    cells = base.select("*", *[sketch(F.col(c)).alias(f"{c}_cells") for c in ("own", "new", "next")])
-    first = cells.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        as_text(F.col("own_cells")).alias("fingerprint"),
-        as_text(F.col("new_cells")).alias("edited_fingerprint"),
-        "own",
-        "new",
-        "next",
-        peeled(F.col("own_cells"), F.col("new_cells")).alias("by_edit"),
-        peeled(F.col("own_cells"), F.col("next_cells")).alias("by_next"),
-    )
-    first = saved(first, "sketches", folders)
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit("edit").alias("pair"), F.col("by_edit.ok").alias("ok"), F.col("new").alias("b")),
-            F.struct(F.lit("next").alias("pair"), F.col("by_next.ok").alias("ok"), F.col("next").alias("b")),
+    base = saved(base.withColumn("row", F.monotonically_increasing_id()), "digests", folders).repartition("row")
+    sizes = F.struct(*[F.size(v).cast("bigint").alias(v) for v in ("own", "new", "next")]).alias("n")
+
+    def flagged(version: str) -> Column:
+        flags = [F.lit(int(version == o)).alias(o) for o in ("own", "new", "next")]
+        return F.transform(version, lambda d: F.struct(d.alias("d"), *flags))
+
+    versions = [flagged(v) for v in ("own", "new", "next")]
+    items = base.select("row", F.lit(1).cast("bigint").alias("blocks"), F.explode(F.concat(*versions)).alias("i")).select("row", "blocks", "i.*")
+    cells = sketch(items, ["row"], {v: F.col(v) for v in ("own", "new", "next")})
+    listed = {
+        v: F.array_sort(F.collect_list(F.when(F.col(f"{v}_c") > 0, F.struct("cell", f"{v}_c", f"{v}_k", f"{v}_h")))) for v in ("own", "new")
+    }
+    prints = cells.groupBy("row").agg(*[_as_text(x).alias(v) for v, x in listed.items()])
+
+    other = {"edit": "new", "next": "next"}
+    pair = [
+        F.struct(F.lit(p).alias("pair"), *[(F.col(f"own_{x}") - F.col(f"{v}_{x}")).alias(x) for x in "ckh"]) for p, v in other.items()
+    ]
+    differences = cells.select("row", "blocks", "cell", F.explode(F.array(*pair)).alias("p")).select("row", "blocks", "cell", "p.*")
+    differences = differences.filter("c <> 0 OR k <> 0 OR h <> 0")
+    tried = saved(peel(differences, ["row", "pair"]), "peeled", folders)
+    solved = tried.filter("ok").select("row", "pair", "differ")
+    left = tried.filter("NOT ok").select("row", "pair")
+
+    def signed(pairs: DataFrame) -> DataFrame:
+        """``(row, pair, n, d, sign)``: the digests of both versions of each pair."""
+        b = F.when(F.col("pair") == "edit", F.col("new")).otherwise(F.col("next"))
+        sides = F.concat(
+            F.transform("own", lambda d: F.struct(d.alias("d"), F.lit(1).alias("sign"))),
+            F.transform(b, lambda d: F.struct(d.alias("d"), F.lit(-1).alias("sign"))),
         )
-    )
-    left = first.select("doc_id", F.col("own").alias("a"), sides.alias("x")).filter("NOT x.ok")
-    left = left.select("doc_id", "x.pair", "a", "x.b")
-    by_count = F.greatest(F.lit(2), F.ceil((F.size("a") + F.size("b")) / PER_BLOCK)).cast("bigint")
-    solved = spark.createDataFrame([], "doc_id long, pair string, differ long")
+        rows = base.join(pairs, "row").select("row", "pair", F.size(sides).alias("n"), F.explode(sides).alias("s"))
+        return rows.select("row", "pair", "n", "s.*")
+
     for turn in range(RETRIES):
-        out = saved(_retry(left, by_count * 2**turn), "retry", folders)
-        solved = solved.unionByName(out.filter("ok").select("doc_id", "pair", "differ"))
-        left = out.filter("NOT ok").select("doc_id", "pair", "a", "b")
         if left.isEmpty():
             break
-    signed = left.select("doc_id", "pair", F.explode(F.concat(
-        F.transform("a", lambda d: F.struct(d.alias("d"), F.lit(1).alias("c"))),
-        F.transform("b", lambda d: F.struct(d.alias("d"), F.lit(-1).alias("c"))),
-    )).alias("x"))
-    plain = signed.groupBy("doc_id", "pair", "x.d").agg(F.abs(F.sum("x.c")).alias("c")).groupBy("doc_id", "pair").agg(F.sum("c").alias("differ"))
-    solved = saved(solved.unionByName(plain).distinct(), "solved", folders)
-    of = lambda pair: solved.filter(F.col("pair") == pair).select("doc_id", F.col("differ").alias(f"{pair}_differ"))
-    rows = first.join(of("edit"), "doc_id", "left").join(of("next"), "doc_id", "left")
-    rows = rows.select(
+        blocks = F.greatest(F.lit(2), F.ceil(F.col("n") / PER_BLOCK)).cast("bigint") * 2**turn
+        larger = sketch(signed(left).withColumn("blocks", blocks), ["row", "pair"], {"s": F.col("sign")})
+        larger = larger.select("row", "pair", "blocks", "cell", *[F.col(f"s_{x}").alias(x) for x in "ckh"]).filter("c <> 0 OR k <> 0 OR h <> 0")
+        tried = saved(peel(larger, ["row", "pair"]), "peeled", folders)
+        solved = solved.unionByName(tried.filter("ok").select("row", "pair", "differ"))
+        left = tried.filter("NOT ok").select("row", "pair")
+    plain = signed(left).groupBy("row", "pair", "d").agg(F.abs(F.sum("sign")).alias("c")).groupBy("row", "pair").agg(F.sum("c").alias("differ"))
+    solved = solved.unionByName(plain).groupBy("row").pivot("pair", [*other]).agg(F.max("differ"))
+    rows = base.select("row", "doc_id", "n_chars", "edited_sha256", sizes).join(solved, "row", "left")
+    rows = rows.join(prints.withColumnsRenamed({"own": "own_print", "new": "new_print"}), "row", "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.size("own"), F.size("new"), F.when(F.col("by_edit.ok"), F.col("by_edit.differ")).otherwise(F.col("edit_differ"))).alias("near_edited"),
-        likeness(F.size("own"), F.size("next"), F.when(F.col("by_next.ok"), F.col("by_next.differ")).otherwise(F.col("next_differ"))).alias("near_next"),
-        F.size("own").cast("bigint").alias("n_paragraphs"),
+        F.concat_ws("|", "n.own", F.coalesce("own_print", F.lit(""))).alias("fingerprint"),
+        F.concat_ws("|", "n.new", F.coalesce("new_print", F.lit(""))).alias("edited_fingerprint"),
+        likeness(F.col("n.own"), F.col("n.new"), F.coalesce("edit", F.lit(0))).alias("near_edited"),
+        likeness(F.col("n.own"), F.col("n.next"), F.coalesce("next", F.lit(0))).alias("near_next"),
+        F.col("n.own").alias("n_paragraphs"),
     )
     rows = saved(rows, "fingerprints")
     remove(spark, folders)
