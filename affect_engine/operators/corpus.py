@@ -19,9 +19,10 @@ def keep_first(df: DataFrame, keys: Sequence[Column | str], order: str) -> DataF
     """One row per key, the earliest by ``order``.
 
     An aggregate rather than a window: copies are merged before the shuffle,
-    so a text that makes up a third of the rows costs nothing.
+    so a text that makes up a third of the rows costs nothing. Rows are grouped by
+    128-bit digests, so a long key is neither shuffled nor sorted.
     """
-    named = [F.col(k) if isinstance(k, str) else k for k in keys]
+    named = [F.md5((F.col(k) if isinstance(k, str) else k).cast("string")) for k in keys]
     tagged = df.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(named)])
     return (
         tagged.groupBy(*[f"__k{i}" for i in range(len(named))])
@@ -131,7 +132,7 @@ def balance_multilabel(
     long = hashed.select(key, "__h", F.explode(labels).alias("label"))
     supply = long.groupBy("label").agg(F.count(F.lit(1)).alias("supply"))
     # One row per label.
-    claimed = long.join(F.broadcast(supply), "label").groupBy(key, "__h").agg(
+    claimed = long.join(supply, "label").groupBy(key, "__h").agg(
         F.min(F.struct("supply", "label")).alias("__first")
     ).select(key, "__h", F.col("__first.label").alias("label"))
     ranked = ordered_scan(claimed, ["label"], ["__h", key], hash_chunk(F.col("__h")), position="rank")
@@ -140,16 +141,20 @@ def balance_multilabel(
     missing = supply.join(picked, "label", "left").select(
         "label", (F.lit(target) - F.coalesce("have", F.lit(0))).alias("missing")
     ).where("missing > 0")
-    rest = long.join(chosen, key, "left_anti").join(F.broadcast(missing), "label")
+    rest = long.join(chosen, key, "left_anti").join(missing, "label")
     more = ordered_scan(rest, ["label"], ["__h", key], hash_chunk(F.col("__h")), position="rank").where(
         F.col("rank") <= F.col("missing")
     )
     return df.join(chosen.unionByName(more.select(key)).distinct(), key, "left_semi")
 
 
-def hash_chunk(digest: Column) -> Column:
-    """Chunk of an md5 order: its first three hex digits, 4096 even chunks."""
-    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("long")
+def hash_chunk(digest: Column, digits: int = 3) -> Column:
+    """Chunk of an md5 order: its first hex digits, even chunks.
+
+    Three digits suit groups of up to some hundred million rows; take one more
+    for every factor of 16.
+    """
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
 # --- audits ------------------------------------------------------------------

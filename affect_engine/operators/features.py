@@ -259,7 +259,7 @@ def oversample(df: DataFrame, key: str, label: str, vector: str, k: int = 5, see
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     top = sizes.agg(F.max("__n").alias("__top"))
     # One row per class.
-    wanted = F.broadcast(sizes.join(F.broadcast(top), how="cross"))
+    wanted = sizes.join(F.broadcast(top), how="cross")
     hashed = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))))
     ranked = ordered_scan(hashed, [label], ["__h", key], hash_chunk(F.col("__h")), position="__r").join(wanted, label)
     missing = F.col("__top") - F.col("__n")

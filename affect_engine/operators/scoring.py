@@ -79,19 +79,20 @@ def score_distinct(
     """Score each distinct text once and join the result back.
 
     Models are pure in their text. A text shared by a third of all rows costs
-    one call; it joins from a one-row side per text, and adaptive skew handling
-    splits the rows that share it.
+    one call; its score joins back by the text's digest from a one-row side, and
+    adaptive skew handling splits the rows that share it.
     """
     prepared = F.col(text) if transform is None else transform(F.col(text))
     wanted = F.lit(True) if where is None else where
-    rows = df.withColumn("__text", F.when(wanted, prepared))
+    rows = df.withColumn("__text", F.when(wanted, prepared)).withColumn("__d", F.md5("__text"))
     asked = rows.where(F.col("__text").isNotNull())
-    scored = asked.select("__text").distinct().withColumn(out, scorer(F.col("__text")))
+    texts = asked.groupBy("__d").agg(F.any_value("__text").alias("__text"))
+    scored = texts.withColumn(out, scorer(F.col("__text"))).drop("__text")
     # Skipped rows stay out of the join: they would share one null key.
     skipped = rows.where(F.col("__text").isNull()).withColumn(
         out, F.lit(None).cast(scored.schema[out].dataType)
     )
-    return asked.join(scored, "__text").unionByName(skipped).drop("__text")
+    return asked.join(scored, "__d").unionByName(skipped).drop("__text", "__d")
 
 
 def lexicon_va(texts: Sequence[str]) -> list[tuple[float, float]]:
