@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .labels import literal_map
 from .text import let
 
 # Where the 11-character id sits in a video address.
@@ -56,8 +55,3 @@ def argmax(values: Column) -> Column:
 
 def probability_map(labels: list[str], probabilities: Column) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), probabilities)
-
-
-def ids_of(tokens: Column, table: dict[str, int], unknown: int = 1) -> Column:
-    """Token ids from a small vocabulary; large ones are joined instead."""
-    return F.transform(tokens, lambda w: F.coalesce(literal_map(table)[w], F.lit(unknown)))

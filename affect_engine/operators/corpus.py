@@ -41,6 +41,20 @@ def select_sources(
     )
 
 
+def drop_label(df: DataFrame, label: str) -> DataFrame:
+    """Rows without one label; rows without any label stay."""
+    return df.where(~F.col("label").eqNullSafe(label))
+
+
+def drop_blank(df: DataFrame, text: str) -> DataFrame:
+    return df.where(F.trim(text) != "")
+
+
+def baseline_pairs(df: DataFrame, left: str = "en", right: str = "ru", longer_than: int = 5) -> DataFrame:
+    """Pairs with both sides beyond a length."""
+    return df.where((F.length(left) > longer_than) & (F.length(right) > longer_than))
+
+
 def length_between(text: Column, low: int, high: int | None = None) -> Column:
     n = F.size(words(text))
     return (n >= low) if high is None else n.between(low, high)

@@ -161,6 +161,19 @@ def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def macro_delta(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Macro F1 of two runs over the classes each has support for, and the difference."""
+    a = left.agg(F.avg(F.when(F.col("support") > 0, F.col("f1"))).alias("a_macro_f1"))
+    b = right.agg(F.avg(F.when(F.col("support") > 0, F.col("f1"))).alias("b_macro_f1"))
+    # One row each.
+    return a.join(F.broadcast(b), how="cross").withColumn("delta_macro_f1", F.col("b_macro_f1") - F.col("a_macro_f1"))
+
+
+def macro_auc(areas: DataFrame) -> DataFrame:
+    """Mean area over the groups of ``roc_auc`` that have both classes, and their number."""
+    return areas.agg(F.avg("auc").alias("macro_auc"), F.count("auc").alias("groups"))
+
+
 def roc_auc(df: DataFrame, keys: Sequence[str], score: str, positive: str, width: float) -> DataFrame:
     """Area under the ROC curve with average ranks for ties; null without both classes."""
     group = list(keys)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import canonicalize, display
+from ..functions.labels import canonical_or_null, canonicalize, display
 from ..functions.vocab import EMOTION_CLASSES
 from .ensemble import export_vote
 
@@ -103,7 +103,23 @@ def completeness(export: DataFrame) -> DataFrame:
 
 
 def agreement_counts(export: DataFrame) -> DataFrame:
-    return export.groupBy("video_id", "emotion_agreement").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of each agreement level per recording, and their share in percent."""
+    counts = export.groupBy("video_id", "emotion_agreement").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("video_id").agg(F.sum("n").alias("__all"))
+    share = F.bround(F.col("n") * 100.0 / F.col("__all"), 1).alias("percentage")
+    return counts.join(totals, "video_id").select("video_id", "emotion_agreement", "n", share)
+
+
+def ranked_emotions(export: DataFrame, emotion: str = "emotion_final") -> DataFrame:
+    """Canonical emotions by falling count, at most one row a class."""
+    named = export.select(canonical_or_null(F.col(emotion)).alias("emotion")).where("emotion is not null")
+    counts = named.groupBy("emotion").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "emotion")))
+
+
+def first_page(rows: DataFrame, order: list[str], size: int = 25) -> DataFrame:
+    """The first ``size`` rows in an order; a list view's page."""
+    return rows.orderBy(*order).limit(size)
 
 
 def read_back(export: DataFrame) -> DataFrame:

@@ -50,6 +50,16 @@ def skip_reason(
     return F.when(reasons == "", "unknown").otherwise(reasons)
 
 
+def translatable(df: DataFrame, text: str, speech: str = "has_speech") -> DataFrame:
+    """Rows with speech and a text to translate."""
+    return df.where((F.coalesce(F.col(text), F.lit("")) != "") & F.col(speech))
+
+
+def with_translation(df: DataFrame, done: DataFrame, keys: Sequence[str], out: str = "text_en") -> DataFrame:
+    """All rows with their translation from ``done``, empty where there is none."""
+    return df.join(done.select(*keys, out), list(keys), "left").withColumn(out, F.coalesce(out, F.lit("")))
+
+
 def thresholds(
     df: DataFrame, keys: Sequence[str], value: str, method: str = "median"
 ) -> DataFrame:

@@ -43,10 +43,6 @@ def normalization_gain(levels: DataFrame, target_db: float = -12.0, ceiling: flo
     )
 
 
-def normalize_samples(samples: DataFrame, gains: DataFrame, key: str = "track") -> DataFrame:
-    return samples.join(gains.select(key, "gain"), key).withColumn("x", F.col("x") * F.col("gain"))
-
-
 def silence_regions(
     frames: DataFrame,
     threshold: float,

@@ -44,7 +44,7 @@ def _(t):
 
 @query("f11_drop_label", "SELECT row_id FROM loved WHERE label <> 'love'")
 def _(t):
-    return loved(t).where("label <> 'love'").select("row_id")
+    return C.drop_label(loved(t), "love").select("row_id")
 
 
 @query("f12_length_filter", f"SELECT row_id FROM corpus WHERE {N_WORDS} BETWEEN 3 AND 400")
@@ -54,15 +54,14 @@ def _(t):
 
 @query("f13_baseline_filter", "SELECT pair_id FROM pairs WHERE length(en) > 5 AND length(ru) > 5")
 def _(t):
-    ok = (F.length("en") > 5) & (F.length("ru") > 5)
-    return t.pairs.where(ok).select("pair_id")
+    return C.baseline_pairs(t.pairs).select("pair_id")
 
 
 @query("f15_drop_blank", "SELECT pair_id FROM (SELECT pair_id, CASE WHEN pair_id % 5 = 0 THEN NULL WHEN pair_id % 5 = 1 THEN '   ' ELSE en END AS text FROM pairs) WHERE trim(text) <> ''")
 def _(t):
     k = F.col("pair_id")
     rows = t.pairs.select(k, F.when(k % 5 == 0, None).when(k % 5 == 1, "   ").otherwise(F.col("en")).alias("text"))
-    return rows.dropna(subset=["text"]).where(F.trim("text") != "").select("pair_id")
+    return C.drop_blank(rows, "text").select("pair_id")
 
 
 @query("g1_label_collapse", f"""

@@ -256,7 +256,9 @@ def _(t):
     return export.completeness(export.export_table(aligned(t)))
 
 
-@query("a9_agreement_breakdown", "SELECT video_id, emotion_agreement, count(*) AS n FROM exported GROUP BY ALL")
+@query("a9_agreement_breakdown", """
+SELECT video_id, emotion_agreement, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY video_id), 1) AS percentage
+FROM exported GROUP BY video_id, emotion_agreement""")
 def _(t):
     return export.agreement_counts(ensemble.export_vote(t.predictions))
 
@@ -310,11 +312,7 @@ def _(t):
 SELECT e AS emotion, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, e) AS rank
 FROM (SELECT {canonical_sql('emotion_final', 'NULL')} AS e FROM final_vote) WHERE e IS NOT NULL GROUP BY e""")
 def _(t):
-    voted = ensemble.export_vote(t.predictions).select(L.canonical_or_null(F.col("emotion_final")).alias("emotion"))
-    counts = voted.where("emotion is not null").groupBy("emotion").agg(F.count("*").alias("n"))
-    # At most one row per class is left here.
-    from pyspark.sql import Window
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "emotion")))
+    return export.ranked_emotions(ensemble.export_vote(t.predictions))
 
 
 @query("s2_first_page", f"""
@@ -322,8 +320,8 @@ SELECT video_id, segment_id, emotion_final FROM exported WHERE emotion_agreement
 ORDER BY video_id, segment_id LIMIT 25""")
 def _(t):
     voted = ensemble.export_vote(t.predictions).where("emotion_agreement = 'full'")
-    return voted.select("video_id", "segment_id", L.display(F.col("emotion_final")).alias("emotion_final")).orderBy(
-        "video_id", "segment_id").limit(25)
+    shown = voted.select("video_id", "segment_id", L.display(F.col("emotion_final")).alias("emotion_final"))
+    return export.first_page(shown, ["video_id", "segment_id"])
 
 
 @query("t16_canonical_label", f"""

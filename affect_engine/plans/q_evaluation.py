@@ -147,6 +147,16 @@ def _(t):
     return r6(out, *[c for c in out.columns if c != "label" and "support" not in c])
 
 
+@query("x8_macro_delta", """
+SELECT round(a, 6) AS a_macro_f1, round(b, 6) AS b_macro_f1, round(b - a, 6) AS delta_macro_f1
+FROM (SELECT avg(f1) FILTER (support > 0) AS a FROM class_metrics), (SELECT avg(f1) FILTER (support > 0) AS b FROM class_metrics_b)""")
+def _(t):
+    k = F.col("doc_id")
+    other = t.evals.withColumn("pred_label", F.when(k % 3 == 0, F.col("true_label")).when(k % 10 == 1, "joy").otherwise(F.col("pred_label")))
+    runs = [E.per_class_metrics(E.confusion_cells(d, "true_label", "pred_label")) for d in (t.evals, other)]
+    return r6(E.macro_delta(*runs), "a_macro_f1", "b_macro_f1", "delta_macro_f1")
+
+
 @query("x19_metrics_per_slice", f"""
 SELECT lang, {SUMMARY.format(f='FILTER (support > 0)')} FROM slice_metrics GROUP BY lang""")
 def _(t):
@@ -173,6 +183,11 @@ def _(t):
     return r6(E.roc_auc(multi(t), ["label"], "p", "y", 1 / 512), "auc")
 
 
+@query("x12_macro_auc", f"SELECT round(avg(auc), 6) AS macro_auc, count(auc) AS groups FROM ({AUC.format(k='label', s='multi').replace('round(', '(').replace(', 6)', ')')})")
+def _(t):
+    return r6(E.macro_auc(E.roc_auc(multi(t), ["label"], "p", "y", 1 / 512)), "macro_auc")
+
+
 @query("x12_multilabel_f1", """
 SELECT round(avg(2.0 * tp / (2 * tp + fp + fn)), 6) AS f1_macro, round(2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1_micro
 FROM (SELECT label, count(*) FILTER (p > 0.5 AND y = 1) AS tp, count(*) FILTER (p > 0.5 AND y = 0) AS fp, count(*) FILTER (p <= 0.5 AND y = 1) AS fn FROM multi GROUP BY label)""")

@@ -35,7 +35,7 @@ def _(t):
 
 @query("f3_translatable", "SELECT video_id, segment_id FROM spoken WHERE said <> '' AND has_speech")
 def _(t):
-    return spoken(t).where((F.col("said") != "") & F.col("has_speech")).select(*KEY)
+    return I.translatable(spoken(t), "said").select(*KEY)
 
 
 @query("f4_translated_projection", """
@@ -43,10 +43,9 @@ SELECT video_id, segment_id, start, "end", duration, said AS text, has_speech,
   CASE WHEN said <> '' AND has_speech THEN 'en: ' || said ELSE '' END AS text_en FROM spoken""")
 def _(t):
     s = spoken(t)
-    done = s.where((F.col("said") != "") & F.col("has_speech")).select(*KEY, F.concat(F.lit("en: "), "said").alias("text_en"))
-    return s.join(done, KEY, "left").select(
-        *KEY, "start", "end", "duration", F.col("said").alias("text"), "has_speech",
-        F.coalesce("text_en", F.lit("")).alias("text_en"))
+    done = I.translatable(s, "said").select(*KEY, F.concat(F.lit("en: "), "said").alias("text_en"))
+    return I.with_translation(s, done, KEY).select(
+        *KEY, "start", "end", "duration", F.col("said").alias("text"), "has_speech", "text_en")
 
 
 MEDIAN = "coalesce(quantile_cont(arousal, 0.5), 0.5)"

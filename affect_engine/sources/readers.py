@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import CORPUS
+CORPUS = "text string, label string, source string, labels_source string, token_count int"
 
 
 def stage_documents(
@@ -32,16 +32,20 @@ def describe_artefact(path: Column) -> dict[str, Column]:
     }
 
 
-def corpus_csv(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
-    """Corpus as CSV, compressed or not; texts may hold quotes and line breaks."""
-    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
+def corpus_csv(spark: SparkSession, path: str, schema: str = CORPUS, multi_line: bool = True) -> DataFrame:
+    """Corpus as CSV, compressed or not; texts may hold quotes.
+
+    With ``multi_line`` texts may hold line breaks too, and a file is one task;
+    without it plain files are split.
+    """
+    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
 
 
 READERS = {
-    "csv": dict(format="csv", header=True, multiLine=True, escape='"'),
-    "tsv": dict(format="csv", header=True, multiLine=True, escape='"', sep="\t"),
+    "csv": dict(format="csv", header=True, escape='"'),
+    "tsv": dict(format="csv", header=True, escape='"', sep="\t"),
     "parquet": dict(format="parquet"),
-    "json": dict(format="json", multiLine=True),
+    "json": dict(format="json"),
     "jsonl": dict(format="json"),
 }
 
@@ -55,14 +59,18 @@ def table(
     schema: str | None = None,
     limit: int | None = None,
     at_least: int = 1,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read by suffix, check columns, drop blank texts, guard the row count.
 
-    ``limit`` is the caller's own request for fewer rows.
+    ``limit`` is the caller's own request for fewer rows. ``multi_line`` allows
+    line breaks inside the values of csv, tsv and json, at one task a file.
     """
     if suffix not in READERS:
         raise ValueError(f"unsupported suffix {suffix!r}; use one of {sorted(READERS)}")
     options = dict(READERS[suffix])
+    if suffix in ("csv", "tsv", "json"):
+        options["multiLine"] = multi_line
     reader = spark.read.format(options.pop("format")).options(**options)
     df = (reader.schema(schema) if schema else reader).load(path)
     missing = [c for c in required if c not in df.columns]
@@ -77,10 +85,18 @@ def table(
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines of a text file with their number, counted per partition first."""
+    """Non-blank lines of a text file with their number.
+
+    Lines are numbered inside their partition; the partitions' counts, one row
+    each, give the offsets.
+    """
     lines = spark.read.text(path).where(F.col("value").isNotNull() & (F.col("value") != ""))
-    indexed = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(indexed, "line_no long, text string")
+    placed = lines.select(F.monotonically_increasing_id().alias("__m"), F.col("value").alias("text"))
+    placed = placed.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1))
+    counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__p", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__o"))
+    return placed.join(offsets, "__p").select((F.col("__i") + F.col("__o")).alias("line_no"), "text")
 
 
 def zip_lines(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("en", "ru")) -> DataFrame:

@@ -11,11 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.labels import literal_map
 from ..functions.vocab import STAGE_IDS
 from ..operators.scan import chunk_of, ordered_scan
 
@@ -188,7 +187,3 @@ def stream_progress(lines: DataFrame) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(
         _advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
     )
-
-
-def stage_position(stage: Column) -> Column:
-    return literal_map({s: i for i, s in enumerate(STAGE_IDS)})[stage]
