@@ -6,12 +6,13 @@ cut on the word stream itself; positions are running sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sentences import CAPITAL, jaccard, overlap_words
+from ..functions.sentences import CAPITAL, cosine, jaccard, overlap_words
 from ..functions.text import words as split_words
 from ..session import materialize
 from .greedy import first_beyond, mark_starts
@@ -185,13 +186,18 @@ def _successor(limits: Limits) -> Column:
     return F.aggregate(F.array_sort("__ahead"), state, step)["stop"]
 
 
-def pack_sentences(sentences: DataFrame, limits: Limits) -> DataFrame:
-    """Sentences with ``seg``, the index of the sentence that opens their segment."""
+def pack_sentences(sentences: DataFrame, limits: Limits, vector: str | None = None) -> DataFrame:
+    """Sentences with ``seg``, the index of the sentence that opens their segment.
+
+    Neighbouring sentences are compared by the cosine of their vectors where
+    ``vector`` names a column and both have one, else by their shared words.
+    """
     chunk = chunk_of(F.col("s"), WORD_CHUNK)
     bag = sentences.withColumn("__bag", overlap_words(F.col("sentence")))
-    seen = ordered_scan(bag, SCENE, ["s"], chunk, lags={"__prev": F.col("__bag")}).withColumn(
-        "__sim", F.coalesce(jaccard(F.col("__prev"), F.col("__bag")), F.lit(0.0))
-    )
+    before = {"__prev": F.col("__bag")} | ({"__prev_v": F.col(vector)} if vector else {})
+    words_alike = jaccard(F.col("__prev"), F.col("__bag"))
+    alike = F.coalesce(cosine(F.col("__prev_v"), F.col(vector)), words_alike) if vector else words_alike
+    seen = ordered_scan(bag, SCENE, ["s"], chunk, lags=before).withColumn("__sim", F.coalesce(alike, F.lit(0.0)))
     ahead = (
         seen.select(
             *SCENE,
@@ -217,17 +223,24 @@ def pack_sentences(sentences: DataFrame, limits: Limits) -> DataFrame:
 
 
 def local_segments(
-    words: DataFrame, scenes: DataFrame, limits: Limits = Limits()
+    words: DataFrame,
+    scenes: DataFrame,
+    limits: Limits = Limits(),
+    embed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Segments of every scene, numbered per recording.
 
+    ``embed`` adds a column ``vector`` to the timed sentences, from a model of
+    the caller's; without it sentences are compared by their words.
     ``words`` carry ``global_scene_id``. A short last segment joins the one
     before it and keeps that one's confidence; a scene without words becomes a
     silent segment.
     """
     numbered = materialize(number_words(words), "scene-words")
     sentences = materialize(timed_sentences(numbered, limits.max_words), "timed-sentences")
-    packed = pack_sentences(sentences, limits)
+    if embed is not None:
+        sentences = materialize(embed(sentences), "sentence-vectors")
+    packed = pack_sentences(sentences, limits, "vector" if embed else None)
     # A segment holds at most max_sentences sentences.
     segments = packed.groupBy(*SCENE, "seg").agg(
         F.min("start").alias("__start"),

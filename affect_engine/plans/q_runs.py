@@ -44,7 +44,8 @@ def run_stream(t):
     out, state = scratch_path(spark, "progress"), scratch_path(spark, "progress-state")
 
     def keep(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        # A repeated batch overwrites its own folder.
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     running = (
         P.stream_progress(stream.job_log)

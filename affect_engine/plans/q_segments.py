@@ -57,31 +57,39 @@ def _(t):
 
 J1_SQL = """
 SELECT w.video_id, w.segment_id, w.i, s.global_scene_id FROM words w
-LEFT JOIN talk_scenes s ON s.video_id = w.video_id AND s.global_scene_id % 3 <> 2 AND s.start <= w.start AND w.start < s."end" """
-
-
-def some_scenes(t):
-    return talk_scenes(t).where("global_scene_id % 3 <> 2")
+LEFT JOIN talk_scenes s ON s.video_id = w.video_id AND s.start <= w.start AND w.start < s."end" """
 
 
 @query("j1_words_to_scenes", J1_SQL)
 def _(t):
-    return S.words_to_scenes(t.words, some_scenes(t)).select("video_id", "segment_id", "i", "global_scene_id")
+    return S.words_to_scenes(t.words, talk_scenes(t)).select("video_id", "segment_id", "i", "global_scene_id")
 
 
 @query("j1_words_to_scenes_by_range", f"SELECT * FROM ({J1_SQL}) WHERE global_scene_id IS NOT NULL")
 def _(t):
-    return S.words_to_scenes_by_range(t.words, some_scenes(t), 60.0).select("video_id", "segment_id", "i", "global_scene_id")
+    return S.words_to_scenes_by_range(t.words, talk_scenes(t), 60.0).select("video_id", "segment_id", "i", "global_scene_id")
 
 
-def placed_words(t):
-    return materialize(S.words_to_scenes(t.words, talk_scenes(t)), "placed-words")
+def placed_words(t, scenes=None):
+    return materialize(S.words_to_scenes(t.words, talk_scenes(t) if scenes is None else scenes), "placed-words")
 
 
 @query("w11_local_segments")
 def _(t):
-    scenes = talk_scenes(t).select("video_id", "global_scene_id", "start", "end")
-    return G.local_segments(placed_words(t), scenes)
+    scenes = materialize(talk_scenes(t).select("video_id", "global_scene_id", "start", "end"), "scenes")
+    return G.local_segments(placed_words(t, scenes), scenes)
+
+
+@query("w11_local_segments_by_vectors")
+def _(t):
+    """A stand-in model: how often a sentence has each of eight letters; none for short ones."""
+    def embed(sentences):
+        low = F.lower("sentence")
+        counts = [F.regexp_count(low, F.lit(c)).cast("double") for c in "aeinorst"]
+        return sentences.withColumn("vector", F.when(F.col("n_tokens") > 3, F.array(*counts)))
+
+    scenes = materialize(talk_scenes(t).select("video_id", "global_scene_id", "start", "end"), "scenes")
+    return G.local_segments(placed_words(t, scenes), scenes, embed=embed)
 
 
 @query("w12_timed_sentences")

@@ -142,13 +142,33 @@ def failure_reason(lines: DataFrame) -> DataFrame:
 
 # --- stream ------------------------------------------------------------------
 
-OUTPUT = "job_id long, stage string, complete boolean, failed_stage string, stages_done long, last_line long"
+OUTPUT = "job_id long, stage string, complete boolean, failed_stage string, stages_done long, last_line long, orphaned boolean"
 STATE = "firsts array<long>, last_move long, stage_line long, stage string, complete boolean, failed_line long, failed_stage string"
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _progress_row(job, known, orphaned: bool) -> pd.DataFrame:
+    firsts, last, _, stage, complete, failed_at, failed = known
+    return pd.DataFrame(
+        {
+            "job_id": [job],
+            "stage": [stage],
+            "complete": [complete],
+            "failed_stage": [failed],
+            "stages_done": [sum(0 <= f < last for f in firsts)],
+            "last_line": [max(last, failed_at)],
+            "orphaned": [orphaned],
+        }
+    )
+
+
+def _advance(
+    key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None
+) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
+        known = state.get
         state.remove()
+        if not known[4] and known[6] is None:
+            yield _progress_row(key[0], known, True)
         return
     known = state.get if state.exists else ([-1] * len(STAGE_IDS), -1, -1, None, False, -1, None)
     firsts, last, at, stage, complete, failed_at, failed = known
@@ -167,23 +187,23 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
             firsts[i] = line if firsts[i] < 0 else min(firsts[i], line)
             if line > at:
                 at, stage = line, name
-    state.update((firsts, last, at, stage, complete, failed_at, failed))
-    done = sum(0 <= f < last for f in firsts)
-    yield pd.DataFrame(
-        {
-            "job_id": [key[0]],
-            "stage": [stage],
-            "complete": [complete],
-            "failed_stage": [failed],
-            "stages_done": [done],
-            "last_line": [max(last, failed_at)],
-        }
-    )
+    known = (firsts, last, at, stage, complete, failed_at, failed)
+    state.update(known)
+    if idle_ms is not None:
+        state.setTimeoutDuration(idle_ms)
+    yield _progress_row(key[0], known, False)
+
 
+def stream_progress(lines: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Streaming twin of ``job_progress``: one updated row per job and batch.
 
-def stream_progress(lines: DataFrame) -> DataFrame:
-    """Streaming twin of ``job_progress``: one updated row per job and batch."""
+    With ``idle_ms`` the state of a job without new lines for so long is dropped;
+    one that has neither ended nor failed then gets a last row with ``orphaned``.
+    """
     events = parse_events(lines).select("job_id", "line_no", "event", "stage")
-    return events.groupBy("job_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
-    )
+
+    def advance(key, batches, state):
+        yield from _advance(key, batches, state, idle_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("job_id").applyInPandasWithState(advance, OUTPUT, STATE, "update", timeout)

@@ -152,3 +152,74 @@ def test_table_checks(spark, tmp_path):
 
 def test_scratch_folder_is_stable_within_a_session(spark):
     assert checkpoint_root(spark) == checkpoint_root(spark)
+
+
+class FakeState:
+    """What ``_advance`` needs of a group's state."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.timeout = None, False, False, None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutDuration(self, milliseconds):
+        self.timeout = milliseconds
+
+
+def test_idle_jobs_end_as_orphans_unless_they_had_ended():
+    import pandas as pd
+
+    def run(events):
+        state = FakeState()
+        batch = pd.DataFrame([(i, e, s) for i, (e, s) in enumerate(events)], columns=["line_no", "event", "stage"])
+        list(progress._advance((7,), iter([batch]), state, 500))
+        assert state.timeout == 500
+        state.hasTimedOut = True
+        out = list(progress._advance((7,), iter([]), state, 500))
+        assert not state.exists
+        return out
+
+    (orphan,) = run([("stage", "1"), ("stage", "2")])
+    assert orphan.loc[0, "orphaned"] and orphan.loc[0, "stages_done"] == 1 and orphan.loc[0, "stage"] == "2"
+    assert run([("stage", "1"), ("complete", None)]) == []
+    assert run([("stage", "1"), ("failed", "1")]) == []
+
+
+def test_label_audits_count_any_label(spark):
+    from affect_engine.operators import corpus, ensemble, evaluation
+
+    rows = [("a", "love", "s"), ("a", "joy", "s"), ("b", "joy", "s"), ("c", None, "t"), ("c", "joy", "u")]
+    df = spark.createDataFrame(rows, "text string, label string, source string")
+    found = corpus.label_conflicts(df, "disgust").first()
+    assert (found.repeated_texts, found.conflicting_texts, found.rows_involved, found.within_one_source) == (2, 1, 2, 1)
+    assert {r.source: r.classes for r in corpus.source_signature(df).collect()} == {"s": 2, "t": 0, "u": 1}
+    pairs = spark.createDataFrame([("joy", "love"), ("love", "joy"), (None, None)], "t string, p string")
+    cells = {r.true: r for r in evaluation.confusion_matrix(pairs, "t", "p").collect()}
+    assert (cells["joy"].other, cells["other"].joy, cells["other"].other) == (1, 1, 1)
+    votes = spark.createDataFrame([(0.9, True), (0.9, True)], "x double, here boolean").limit(1)
+    absent = [(F.lit(True), F.col("x")), (F.lit(True), F.col("x")), (F.lit(False), F.lit(None))]
+    assert votes.select(ensemble.ensemble_affect(absent).alias("m")).first().m == 0.9
+
+
+def test_recordings_follow_their_reference_model(spark):
+    from affect_engine.operators import ensemble
+
+    rows = [(1, 0, None, "joy", "fear"), (1, 1, None, None, "joy"), (2, 0, "joy", None, "fear"), (2, 1, None, "joy", None)]
+    df = spark.createDataFrame(rows, "v long, s long, distil_label string, deberta_label string, ru_label string")
+    found = {(r.v, r.s): r.reference for r in ensemble.align_to_reference(df, ["v"]).collect()}
+    assert found == {(1, 0): "deberta", (2, 0): "distil"}
+
+
+def test_memory_errors_by_message():
+    def score(texts):
+        if len(texts) > 2:
+            raise RuntimeError("CUDA out of memory")
+        return [t.upper() for t in texts]
+
+    assert scoring.in_shrinking_batches(score, list("abcde"), 8) == list("ABCDE")
+    with pytest.raises(RuntimeError, match="other"):
+        scoring.in_shrinking_batches(lambda t: (_ for _ in ()).throw(RuntimeError("other")), ["a"], 4)
