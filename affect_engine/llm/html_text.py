@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import free_name
 from .words import slices
 
 BLOCK_TAGS = frozenset(
@@ -229,13 +230,17 @@ def main_text(html: str | None, rules: Rules = Rules()) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """``pages`` with the html column replaced by the main text of the page."""
+    """``pages`` with the html column replaced by the main text of the page.
+
+    The text's column is ``_text`` where another column is called ``text``.
+    """
     others = [c for c in pages.columns if c != html]
-    rows = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html).alias("_html"))
+    text, source = free_name(others, text), free_name(others, "_html")
+    rows = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html).alias(source))
     schema = pages.select(*[F.col(f"`{c}`") for c in others], F.lit("").alias(text)).schema
 
     def run(batches):
-        for part in slices(batches, "_html"):
+        for part in slices(batches, source):
             texts = [main_text(x, rules) for x in part.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*others, text])
 

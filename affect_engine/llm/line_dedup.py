@@ -108,16 +108,17 @@ def drop_boilerplate(
     removed = free_name(docs.columns, removed)
     found = occurrences(docs, key, text, site)
     bad = boilerplate(found, min_sites, min_contexts)
+    own, places = free_name(docs.columns, "_own"), free_name(docs.columns, "_places")
     at = (
         found.select("_key", "_h1", "_h2", "_pos")
         .join(bad, ["_h1", "_h2"])
-        .groupBy("_key")
-        .agg(F.collect_set("_pos").alias("_bad"))
+        .groupBy(F.col("_key").alias(own))
+        .agg(F.collect_set("_pos").alias(places))
     )
-    joined = docs.join(at, F.col(key) == F.col("_key"), "left")
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_bad", i))
-    cleaned = F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    joined = docs.join(at, F.col(key) == F.col(own), "left")
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(places, i))
+    cleaned = F.when(F.col(places).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("_bad").isNull(), 0).otherwise(F.size("_bad")).alias(removed),
+        F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).alias(removed),
     )

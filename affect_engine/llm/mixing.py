@@ -84,14 +84,15 @@ def mix(
     rate)`` has one row a source.
     """
     copy, order = free_name(docs.columns, copy), free_name(docs.columns, order)
-    r = rate.select(F.col("source").alias("_rate_source"), F.col("rate").alias("_rate"))
-    top = r.agg(F.max("_rate")).first()[0] or 0.0
+    of, own, many = (free_name(docs.columns, name) for name in ("_of", "_rate", "_copies"))
+    r = rate.select(F.col("source").alias(of), F.col("rate").alias(own))
+    top = r.agg(F.max(own)).first()[0] or 0.0
     if top > 500:
         raise ValueError(f"a rate of {top:g} is too high to invert")
     most = int(top + 12 * top**0.5 + 20)
-    known = docs.join(r, F.col(source).eqNullSafe(F.col("_rate_source")))
-    count = poisson(F.col("_rate"), uniform(F.col(key), F.lit(seed)), most)
-    copies = known.withColumn("_copies", count).filter("_copies > 0")
-    copies = copies.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias(copy))
+    known = docs.join(r, F.col(source).eqNullSafe(F.col(of)))
+    count = poisson(F.col(own), uniform(F.col(key), F.lit(seed)), most)
+    copies = known.withColumn(many, count).filter(F.col(many) > 0)
+    copies = copies.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col(many) - 1)).alias(copy))
     placed = copies.withColumn(order, uniform(F.col(key), F.col(copy), F.lit(seed), F.lit("order")))
     return placed.repartitionByRange(order, key, copy).sortWithinPartitions(order, key, copy)

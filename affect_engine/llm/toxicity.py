@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import free_name
 from .words import find_words, seeds, slices, text_bytes
 
 BITS = 20
@@ -115,7 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards: in
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with the probability that each whole text is toxic in column ``to``."""
+    """``docs`` with the probability that each whole text is toxic in the last column.
+
+    It is called ``to``, with ``_`` before it where ``docs`` has that name.
+    """
+    to = free_name(docs.columns, to)
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(weights.astype(np.float32))
     trained = bool(np.any(weights))

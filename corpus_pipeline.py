@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(affect_engine)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score doesn't reject."""
     scored = queries.toxic_scores(docs, queries.table(spark, sf_dir, "labels"))
-    return scored.filter("score < 0.3").select(docs.columns)
+    return scored.filter(scored[scored.columns[-1]] < 0.3).select(docs.columns)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

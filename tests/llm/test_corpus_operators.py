@@ -65,8 +65,8 @@ def test_jaccard_components(docs, corpus):
     assert found == {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_jaccard_groups_beyond_the_small_size(docs, monkeypatch):
-    """A frequent shared part and chains of links, with small groups off."""
+def test_jaccard_groups_by_one_hub_or_more(docs, monkeypatch):
+    """A frequent shared part and chains of links, with one hub in every round."""
     rng = random.Random(9)
     shared = sentence(rng, 30).split()
     rows = []
@@ -74,7 +74,7 @@ def test_jaccard_groups_beyond_the_small_size(docs, monkeypatch):
         own = sentence(rng, 3).split()
         rows.append((i, " ".join(shared + own)))
     rows += [(100 + i, " ".join(shared[: 30 - i])) for i in range(12)]
-    monkeypatch.setattr(ngram_join, "SMALL", 1)
+    monkeypatch.setattr(ngram_join, "HUBS", (1,))
     found = {r.doc_id: r.component_id for r in ngram_join.link(docs(rows), size=2, percent=80).collect()}
     monkeypatch.undo()
     same = {r.doc_id: r.component_id for r in ngram_join.link(docs(rows), size=2, percent=80).collect()}
@@ -294,8 +294,10 @@ def test_near_threshold_lines_are_counted_exactly(docs):
 
 def test_line_dedup_of_no_rows_and_clashing_names(docs):
     assert line_dedup.drop_boilerplate(docs([])).count() == 0
-    odd = docs([(1, "a\nb")]).withColumn("LINES_REMOVED", F.lit(9))
-    assert line_dedup.drop_boilerplate(odd).columns[-2:] == ["LINES_REMOVED", "_lines_removed"]
+    odd = docs([(1, "a\nb")]).withColumns({"LINES_REMOVED": F.lit(9), "_own": F.lit(1), "_key": F.lit(2), "_places": F.lit(3)})
+    found = line_dedup.drop_boilerplate(odd)
+    assert found.columns[-1] == "_lines_removed"
+    assert found.first()._own == 1
 
 
 def test_mix_reaches_its_rates(spark, docs):
@@ -315,7 +317,9 @@ def test_mix_reaches_its_rates(spark, docs):
 
 
 def test_mix_keeps_a_null_source_and_repeats_rows(spark, docs):
-    frame = docs([(i, "x", None) for i in range(300)] + [(5, "x", None)]).withColumn("copy_no", F.lit("mine"))
+    frame = docs([(i, "x", None) for i in range(300)] + [(5, "x", None)]).withColumns(
+        {"copy_no": F.lit("mine"), "_rate": F.lit(0), "_copies": F.lit(0), "_of": F.lit(0)}
+    )
     targets = spark.createDataFrame([(None, 1.0)], "source string, weight double")
     out = mixing.mix(frame, mixing.rates(frame, targets, total=900.0)).collect()
     assert 700 < len(out) < 1100

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from affect_engine.llm import chat, html_text, toxicity
 from affect_engine.llm.words import find_words, shingles, slices, text_bytes
@@ -120,6 +121,8 @@ def test_extract_keeps_other_columns(spark):
     assert found.columns == ["page_id", "url", "text"]
     assert sorted(map(tuple, found.collect())) == [(1, "u", "a"), (2, None, "")]
     assert html_text.extract(pages.limit(0)).count() == 0
+    clash = pages.withColumnsRenamed({"url": "TEXT"}).withColumn("_html", F.lit(1))
+    assert html_text.extract(clash).columns == ["page_id", "TEXT", "_html", "_text"]
 
 
 def test_second_pass_takes_the_nearest_label():
@@ -153,6 +156,13 @@ def test_toxicity_on_held_out_rows(toxic):
     assert empty[0] == empty[1]
 
 
+def test_toxicity_with_clashing_names(toxic):
+    frame, labels = toxic
+    odd = frame.limit(5).withColumn("score", F.lit("mine"))
+    rows = toxicity.score(odd, toxicity.fit(frame, labels)).collect()
+    assert {r.score for r in rows} == {"mine"} and all(0 <= r["_score"] <= 1 for r in rows)
+
+
 def test_toxicity_without_labels(spark, toxic):
     frame, labels = toxic
     weights = toxicity.fit(frame, labels.limit(0))
