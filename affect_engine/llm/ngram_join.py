@@ -12,16 +12,17 @@ to ``2 p``, where they share more than ``p`` frequent shingles, and so two
 neighbouring shared ones at most ``REACH`` places apart in either list: all
 pairs within ``REACH`` are keys. That is linear in the prefix and loses nothing.
 
-*Classes* matter for speed only. A shingle is frequent when the blocks of
-documents in which it is common add up to ``FREQUENT / 2`` of all documents; at
-most ``2 * average set size / FREQUENT`` shingles can be, which bounds what is
-broadcast, whatever the corpus.
-
-*Groups.* The nodes of a key are not compared pair by pair. In each round one
-node of each group, the hub, is compared with those not yet in its component,
-and leaves the group; groups within one component end. Groups of at most
-``SMALL`` nodes are settled at once, pair by pair across components. Only links
-that a known path already implies are skipped, so components are exact.
+*Classes* matter for speed only. A shingle is frequent when it comes up
+``FREQUENT`` times in blocks of documents that hold it more than once; the
+``TABLE`` most frequent ones make up the class, which bounds what is broadcast,
+whatever the corpus.
+
+*Groups.* The nodes of a key are not compared pair by pair. In each round a few
+nodes of each group, the hubs, are compared with the others that are not yet in
+their component, and leave the group; groups within one component end. There is
+one hub in the first round, when copies fall together, then more (``HUBS``).
+Only links that a known path already implies are skipped, so components are
+exact. Keys with the same nodes are one group.
 
 Null and empty texts have no set, no node and no links. Documents with fewer
 words than a shingle have their whole sequence as their one shingle.
@@ -31,15 +32,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import components, remove, saved
 from .words import find_words, mix, seeds, shingles, short_sequence, slices, text_bytes
 
-FREQUENT = 0.002
+FREQUENT = 8
+TABLE = 1 << 20
 REACH = 5
-SMALL = 32
+HUBS = (1, 8, 64)
 
 _NODE, _LEFT = seeds(2, 4000)
 
@@ -81,7 +83,7 @@ def prefix_keys(members: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
     return np.unique(np.concatenate([rare, *pairs]))
 
 
-def frequent_shingles(docs: DataFrame, text: str, size: int, share: float = FREQUENT) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, text: str, size: int, least: int = FREQUENT, most: int = TABLE) -> np.ndarray:
     """Sorted hashes of the frequent class."""
 
     def common(batches):
@@ -91,23 +93,15 @@ def frequent_shingles(docs: DataFrame, text: str, size: int, share: float = FREQ
                 for members in shingle_sets(one.column(text), size):
                     if len(members):
                         sets[node_of(members)] = members
-            n = len(sets)
             found, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            keep = counts >= max(2, share * n / 2)
+            keep = counts > 1
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.append(found[keep].view(np.int64), 0)),
-                    pa.array(np.append(counts[keep], 0).astype(np.int64)),
-                    pa.array(np.append(np.zeros(keep.sum(), np.int64), n)),
-                ],
-                names=["shingle", "n", "docs"],
+                [pa.array(found[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["shingle", "n"]
             )
 
-    counts = docs.select(text).mapInArrow(common, "shingle long, n long, docs long")
-    sums = counts.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    with_docs = sums.agg(F.sum("docs")).first()[0] or 0
-    least = max(8, share / 2 * with_docs)
-    rows = sums.filter(F.col("n") >= least).select("shingle").toArrow()
+    counts = docs.select(text).mapInArrow(common, "shingle long, n long")
+    sums = counts.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    rows = sums.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -161,6 +155,18 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return rows.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _unlike(groups: DataFrame, folders: list[str]) -> DataFrame:
+    """One key of all keys that have the same nodes."""
+    marks = groups.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        F.min("node").alias("lo"),
+    )
+    kept = marks.groupBy("m", "x", "y", "lo").agg(F.min("key").alias("key")).select("key")
+    return saved(groups.join(kept, "key", "left_semi"), "groups", folders)
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document.
 
@@ -174,47 +180,38 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
     ids = table.select("doc_id", "node", F.col("n").alias("n_shingles"))
     rows = table.select(F.explode("keys").alias("key"), "node", "n")
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    groups = saved(rows.join(shared, "key").select("key", "node", "n").distinct(), "groups", folders)
+    groups = _unlike(saved(rows.join(shared, "key").select("key", "node", "n").distinct(), "groups", folders), folders)
     first = ids.groupBy("node").agg(F.min("doc_id").alias("_id"))
     wanted = groups.select("node").distinct().join(first, "node").select("node", "_id")
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(wanted, "_id").select("node", "text")
     texts = saved(texts, "texts", folders)
 
-    empty = spark.createDataFrame([], "a long, b long, linked boolean")
-    checked, component, first_round = empty, None, True
+    checked, component = spark.createDataFrame([], "a long, b long, linked boolean"), None
     spent: list[str] = []
+    turn = 0
     while not groups.isEmpty():
-        if component is None:
-            known = groups.withColumn("c", F.col("node"))
-        else:
+        known = groups.withColumn("c", F.col("node"))
+        if component is not None:
             known = groups.join(component.withColumnRenamed("id", "node"), "node", "left").select(
                 "key", "node", "n", F.coalesce("component", "node").alias("c")
             )
-        heads = known.groupBy("key").agg(
-            F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(len(folders)))).alias("hub"),
-            F.count(F.lit(1)).alias("m"),
-            F.min("c").alias("lo"),
-            F.max("c").alias("hi"),
-        )
-        open_rows = saved(known.join(heads.filter("lo < hi"), "key").select("key", "node", "n", "c", "hub", "m"), "open", spent)
-        alike = f"100 * least(n, other.n) >= {percent} * greatest(n, other.n) AND c <> other.c"
-        by_hub = open_rows if first_round else open_rows.filter(f"m > {SMALL}")
-        pairs = by_hub.withColumn("other", F.col("hub")).filter(alike)
-        pairs = pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-        if not first_round:
-            small = open_rows.filter(f"m <= {SMALL}")
-            others = small.select("key", F.struct("node", "n", "c").alias("other"))
-            direct = small.join(others, "key").filter("node < other.node").filter(alike)
-            pairs = pairs.unionByName(direct.select(F.col("node").alias("a"), F.col("other.node").alias("b")))
-        pairs = pairs.select("a", "b").distinct()
-        done = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        fresh = pairs if first_round else pairs.join(done, ["a", "b"], "left_anti")
+        mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+        open_rows = saved(known.join(mixed, "key").withColumn("h", F.xxhash64("node")), "open", spent)
+        # The bound on the rank holds before the shuffle: a group sends that many rows from a task.
+        order = Window.partitionBy("key").orderBy("h", "node")
+        hubs = open_rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS[min(turn, len(HUBS) - 1)])
+        hubs = saved(hubs.select("key", F.struct("h", "node", "n", "c").alias("hub")), "hubs", spent)
+        alike = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n) AND c <> hub.c"
+        later = "h > hub.h OR h = hub.h AND node > hub.node"
+        pairs = open_rows.join(hubs, "key").filter(alike).filter(later)
+        pairs = pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+        fresh = pairs.join(checked, ["a", "b"], "left_anti") if turn else pairs
         checked = checked.unionByName(saved(verify(fresh, texts, size, percent), "checked", folders))
         component = components(checked.filter("linked").select("a", "b"), folders)
-        remaining = by_hub.filter("node <> hub.node").select("key", "node", "n")
-        groups = saved(remaining, "groups", folders)
+        used = hubs.select("key", F.col("hub.node").alias("node"))
+        groups = saved(open_rows.join(used, ["key", "node"], "left_anti").select("key", "node", "n"), "groups", folders)
         remove(spark, spent)
-        first_round = False
+        turn += 1
 
     rooted = ids.withColumn("root", F.col("node"))
     if component is not None:
