@@ -327,3 +327,15 @@ def test_mix_keeps_a_null_source_and_repeats_rows(spark, docs):
     assert counts[5] % 2 == 0
     assert {r.copy_no for r in out} == {"mine"} and "_copy_no" in out[0]
     assert mixing.mix(frame.limit(0), mixing.rates(frame.limit(0), targets)).count() == 0
+
+
+def test_stretches_with_matches_on_two_diagonals():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        b = rng.integers(0, 40, int(rng.integers(60, 200))).astype(np.uint64)
+        a = np.concatenate([b[30:60], b[:30], rng.integers(0, 40, 40).astype(np.uint64)])
+        for x, y, u, v in passages.shared_passages(a, b, 20, 5, 80):
+            both = np.intersect1d(a[x:y], b[u:v])
+            assert 100 * len(both) >= 80 * len(np.union1d(a[x:y], b[u:v])) and y - x >= 20 and v - u >= 20
