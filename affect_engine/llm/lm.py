@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .tables import remove, saved
 from .words import find_words, mix, seeds, slices, text_bytes
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 PART_GRAMS = 1_000_000
 BUCKETS = 64
 BINS_PER_OCTAVE = 4
