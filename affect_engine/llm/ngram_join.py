@@ -21,6 +21,7 @@ whatever the corpus.
 nodes of each group, the hubs, are compared with the others that are not yet in
 their component, and leave the group; groups within one component end. There is
 one hub in the first round, when copies fall together, then more (``HUBS``).
+Pairs that sizes or parities rule out are never verified.
 Only links that a known path already implies are skipped, so components are
 exact. Keys with the same nodes are one group.
 
@@ -42,6 +43,7 @@ FREQUENT = 8
 TABLE = 1 << 20
 REACH = 5
 HUBS = (1, 8, 64)
+PARITY_WORDS = 4
 
 _NODE, _LEFT = seeds(2, 4000)
 
@@ -64,6 +66,16 @@ def node_of(members: np.ndarray) -> int:
     return int((mix(members ^ _NODE).sum(dtype=np.uint64)).astype(np.int64))
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """For each of 256 classes of hashes whether the set has an odd number of them, as bits.
+
+    Classes in which two sets differ hold a hash that only one of them has, so
+    the differing bits are at most the symmetric difference.
+    """
+    odd = np.bincount((members >> np.uint64(56)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def needed(n: int, percent: int) -> int:
     """Least number of shared shingles for a set of ``n`` to link with any other."""
     return -(-n * percent // 100)
@@ -106,7 +118,7 @@ def frequent_shingles(docs: DataFrame, text: str, size: int, least: int = FREQUE
 
 
 def prefix_table(docs: DataFrame, frequent: np.ndarray, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """``(doc_id, node, n, keys)`` of every document; node is null for empty sets."""
+    """``(doc_id, node, n, keys, odd)`` of every document; node is null for empty sets."""
     table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -121,12 +133,16 @@ def prefix_table(docs: DataFrame, frequent: np.ndarray, key: str, text: str, siz
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(ends, pa.array(flat)),
+                    pa.ListArray.from_arrays(
+                        np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS,
+                        pa.array(np.concatenate([parities(s) for s in sets])),
+                    ),
                 ],
-                names=["doc_id", "node", "n", "keys"],
+                names=["doc_id", "node", "n", "keys", "odd"],
             )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, node long, n long, keys array<long>, odd array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -181,6 +197,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
     rows = table.select(F.explode("keys").alias("key"), "node", "n")
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     groups = _unlike(saved(rows.join(shared, "key").select("key", "node", "n").distinct(), "groups", folders), folders)
+    # The parities of the nodes in groups only; a node's documents have the same.
+    odd = table.select("node", *[F.col("odd")[i].alias(f"o{i}") for i in range(PARITY_WORDS)])
+    odd = odd.groupBy("node").agg(*[F.max(f"o{i}").alias(f"o{i}") for i in range(PARITY_WORDS)])
+    groups = saved(groups.join(odd, "node"), "groups", folders)
+    columns = ["key", "node", "n", *[f"o{i}" for i in range(PARITY_WORDS)]]
     first = ids.groupBy("node").agg(F.min("doc_id").alias("_id"))
     wanted = groups.select("node").distinct().join(first, "node").select("node", "_id")
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(wanted, "_id").select("node", "text")
@@ -188,28 +209,36 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
 
     checked, component = spark.createDataFrame([], "a long, b long, linked boolean"), None
     spent: list[str] = []
-    turn = 0
+    turn = known_links = 0
     while not groups.isEmpty():
         known = groups.withColumn("c", F.col("node"))
         if component is not None:
             known = groups.join(component.withColumnRenamed("id", "node"), "node", "left").select(
-                "key", "node", "n", F.coalesce("component", "node").alias("c")
+                *columns, F.coalesce("component", "node").alias("c")
             )
         mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
         open_rows = saved(known.join(mixed, "key").withColumn("h", F.xxhash64("node")), "open", spent)
         # The bound on the rank holds before the shuffle: a group sends that many rows from a task.
         order = Window.partitionBy("key").orderBy("h", "node")
         hubs = open_rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS[min(turn, len(HUBS) - 1)])
-        hubs = saved(hubs.select("key", F.struct("h", "node", "n", "c").alias("hub")), "hubs", spent)
-        alike = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n) AND c <> hub.c"
+        hubs = saved(hubs.select("key", F.struct("h", "c", *columns[1:]).alias("hub")), "hubs", spent)
+        # Bounds that no link breaks: on the sizes, and on what the sets don't share.
+        differ = " + ".join(f"bit_count(o{i} ^ hub.o{i})" for i in range(PARITY_WORDS))
+        alike = (
+            f"c <> hub.c AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n) "
+            f"AND ({differ}) * {100 + percent} <= {100 - percent} * (n + hub.n)"
+        )
         later = "h > hub.h OR h = hub.h AND node > hub.node"
         pairs = open_rows.join(hubs, "key").filter(alike).filter(later)
         pairs = pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
         fresh = pairs.join(checked, ["a", "b"], "left_anti") if turn else pairs
         checked = checked.unionByName(saved(verify(fresh, texts, size, percent), "checked", folders))
-        component = components(checked.filter("linked").select("a", "b"), folders)
+        links = checked.filter("linked").select("a", "b")
+        now = links.count()
+        if now > known_links:
+            component, known_links = components(links, folders), now
         used = hubs.select("key", F.col("hub.node").alias("node"))
-        groups = saved(open_rows.join(used, ["key", "node"], "left_anti").select("key", "node", "n"), "groups", folders)
+        groups = saved(open_rows.join(used, ["key", "node"], "left_anti").select(columns), "groups", folders)
         remove(spark, spent)
         turn += 1
 
