@@ -120,6 +120,18 @@ def test_passages_of_over_fifty_words(docs, corpus):
         assert r.start_word in range(36, 45) and r.stop_word in range(91, 100)
 
 
+def test_passages_in_groups_of_unlike_texts(docs):
+    """Pairs whose shared windows are mostly those of a line that many other texts have."""
+    rng = random.Random(9)
+    line = sentence(rng, 45, 10**6)
+    rows = [(i, f"{sentence(rng, 60, 10**6)} {line} {sentence(rng, 60, 10**6)}") for i in range(60)]
+    for i in range(100, 120, 2):
+        own = sentence(rng, 6, 10**6)
+        rows += [(j, f"{sentence(rng, 60, 10**6)} {line} {own} {sentence(rng, 60, 10**6)}") for j in (i, i + 1)]
+    classes = {r.doc_id: r.class_id for r in passages.repeated(docs(rows)).collect()}
+    assert classes == {j: i for i in range(100, 120, 2) for j in (i, i + 1)}
+
+
 def test_passages_of_clean_or_no_documents(docs):
     rng = random.Random(2)
     clean = [(i, sentence(rng, 150, 10**6)) for i in range(30)]
