@@ -132,6 +132,32 @@ def test_passages_in_groups_of_unlike_texts(docs):
     assert classes == {j: i for i in range(100, 120, 2) for j in (i, i + 1)}
 
 
+def test_every_planted_near_copy_is_found(docs):
+    """Passages with one word changed, put in or left out, found as brute force finds them."""
+    import numpy as np
+
+    rng = random.Random(10)
+    rows, edits = [], 0
+    for i in range(0, 600, 2):
+        own = sentence(rng, 50, 10**6).split()
+        copy, at = list(own), rng.randrange(20, 30)
+        copy[at : at + (edits % 3 != 1)] = ["new"] if edits % 3 < 2 else []
+        edits += 1
+        for j, words in enumerate((own, copy)):
+            rows.append((i + j, f"{sentence(rng, 30, 10**6)} {' '.join(words)} {sentence(rng, 30, 10**6)}"))
+    ids = defaultdict(lambda: len(ids))
+    sets = {i: np.array([ids[tuple(ws(x)[k : k + 5])] for k in range(len(ws(x)) - 4)], np.uint64) for i, x in rows}
+    near = [i for i in range(0, 600, 2) if passages.shared_passages(sets[i], sets[i + 1], 46, 5, 80)]
+    classes = {r.doc_id: r.class_id for r in passages.repeated(docs(rows)).collect()}
+    assert len(near) > 150
+    assert [i for i in near if classes.get(i) != i or classes.get(i + 1) != i] == []
+
+
+def test_least_run_is_what_edits_leave():
+    assert passages.least_run(46, 5, 80) == 21
+    assert passages.least_run(46, 5, 100) == 46
+
+
 def test_passages_of_clean_or_no_documents(docs):
     rng = random.Random(2)
     clean = [(i, sentence(rng, 150, 10**6)) for i in range(30)]
