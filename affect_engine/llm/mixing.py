@@ -11,7 +11,8 @@ The count per source is the only aggregate (one row a source). The mix is ranged
 by the order's hash: no source or document can fill a partition. Null sources
 are a source of their own; sources without a target weight are left out, and
 targets without documents have no effect. Rows with equal keys get equal counts.
-Rates above 500 are refused, since inversion underflows there.
+A rate above 500, where inversion would underflow, is the sum of equal smaller ones,
+each with a number of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .tables import free_name
 
 HEX_DIGITS = 13
+MOST_RATE = 500.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -30,8 +32,8 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(float(16**HEX_DIGITS))
 
 
-def poisson(rate: Column, u: Column, most: int) -> Column:
-    """The least k with ``u`` below the Poisson distribution function at k, at most ``most``.
+def poisson(rate: Column, u: Column) -> Column:
+    """The least k with ``u`` below the Poisson distribution function at k, for rates up to ``MOST_RATE``.
 
     The sum runs term by term and stops adding once it has passed ``u``.
     """
@@ -45,7 +47,19 @@ def poisson(rate: Column, u: Column, most: int) -> Column:
             F.struct(k.cast("int").alias("k"), term.alias("term"), (s["total"] + term).alias("total"))
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["k"])
+    most = (rate + 12 * F.sqrt(rate) + 20).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
+
+
+def repeats(rate: Column, key: Column, seed: int) -> Column:
+    """Poisson number of a document with any mean; above ``MOST_RATE`` a sum of independent ones."""
+    parts = F.ceil(rate / MOST_RATE).cast("int")
+    many = F.aggregate(
+        F.sequence(F.lit(1), parts),
+        F.lit(0),
+        lambda s, i: s + poisson(rate / parts, uniform(key, F.lit(seed), i, F.lit("part"))),
+    )
+    return F.when(parts > 1, many).otherwise(poisson(rate, uniform(key, F.lit(seed))))
 
 
 def rates(docs: DataFrame, targets: DataFrame, total: float | None = None, source: str = "source") -> DataFrame:
@@ -86,13 +100,8 @@ def mix(
     copy, order = free_name(docs.columns, copy), free_name(docs.columns, order)
     of, own, many = (free_name(docs.columns, name) for name in ("_of", "_rate", "_copies"))
     r = rate.select(F.col("source").alias(of), F.col("rate").alias(own))
-    top = r.agg(F.max(own)).first()[0] or 0.0
-    if top > 500:
-        raise ValueError(f"a rate of {top:g} is too high to invert")
-    most = int(top + 12 * top**0.5 + 20)
     known = docs.join(r, F.col(source).eqNullSafe(F.col(of)))
-    count = poisson(F.col(own), uniform(F.col(key), F.lit(seed)), most)
-    copies = known.withColumn(many, count).filter(F.col(many) > 0)
+    copies = known.withColumn(many, repeats(F.col(own), F.col(key), seed)).filter(F.col(many) > 0)
     copies = copies.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col(many) - 1)).alias(copy))
     placed = copies.withColumn(order, uniform(F.col(key), F.col(copy), F.lit(seed), F.lit("order")))
     return placed.repartitionByRange(order, key, copy).sortWithinPartitions(order, key, copy)

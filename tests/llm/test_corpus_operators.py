@@ -367,6 +367,18 @@ def test_mix_keeps_a_null_source_and_repeats_rows(spark, docs):
     assert mixing.mix(frame.limit(0), mixing.rates(frame.limit(0), targets)).count() == 0
 
 
+def test_mix_at_rates_above_five_hundred(spark, docs):
+    frame = docs([(i, "x", "rare" if i < 20 else "common") for i in range(60)])
+    rate = spark.createDataFrame([("rare", 1730.0), ("common", 500.0)], "source string, rate double")
+    copies = Counter((r.source, r.doc_id) for r in mixing.mix(frame, rate, seed=4).collect())
+    for source, n, mean in (("rare", 20, 1730.0), ("common", 40, 500.0)):
+        own = [c for (s, _), c in copies.items() if s == source]
+        assert len(own) == n and abs(sum(own) / n - mean) < 5 * math.sqrt(mean / n)
+        spread = sum((c - mean) ** 2 for c in own) / n / mean
+        assert 0.3 < spread < 2.5
+    assert len({c for (s, _), c in copies.items() if s == "rare"}) > 5
+
+
 def test_stretches_with_matches_on_two_diagonals():
     import numpy as np
 
