@@ -161,6 +161,6 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def even_rates(docs: DataFrame) -> DataFrame:
-    """Rates that give every known source the same share of a mix of the corpus's size."""
-    targets = docs.select("source").filter("source IS NOT NULL").distinct().withColumn("weight", F.lit(1.0))
+    """Rates that give every source, null among them, the same share of a mix of the corpus's size."""
+    targets = docs.select("source").distinct().withColumn("weight", F.lit(1.0))
     return mixing.rates(docs, targets)

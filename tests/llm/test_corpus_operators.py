@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from affect_engine.llm import decontam, fingerprint, line_dedup, lm, mixing, ngram_join, passages
+from affect_engine.llm import decontam, fingerprint, line_dedup, lm, mixing, ngram_join, passages, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -367,6 +367,12 @@ def test_mix_keeps_a_null_source_and_repeats_rows(spark, docs):
     assert mixing.mix(frame.limit(0), mixing.rates(frame.limit(0), targets)).count() == 0
 
 
+def test_even_mix_keeps_documents_without_a_source(docs):
+    frame = docs([(i, "x", [None, "a", "b"][i % 3]) for i in range(900)])
+    found = Counter(r.source for r in mixing.mix(frame, queries.even_rates(frame)).collect())
+    assert set(found) == {None, "a", "b"} and all(200 < n < 400 for n in found.values())
+
+
 def test_mix_at_rates_above_five_hundred(spark, docs):
     frame = docs([(i, "x", "rare" if i < 20 else "common") for i in range(60)])
     rate = spark.createDataFrame([("rare", 1730.0), ("common", 500.0)], "source string, rate double")
