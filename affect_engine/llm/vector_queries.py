@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids
+from . import centroids, whitening
 from .registry import query, table
 
 
@@ -53,3 +53,8 @@ def cluster_sql(dims: int = 64, scale: int = 256, clusters: int = 40, rounds: in
 def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     found = centroids.cluster(table(spark, folder, "embeddings"))
     return found.select("vec_id", found["cluster"].cast("int").alias("cluster"), "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
