@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, corpus_queries, fingerprint, html_text, line_dedup, mixing, ngram_join, toxicity, vector_queries
+from . import chat, corpus_queries, fingerprint, html_text, line_dedup, mixing, ngram_join, suffix_queries, toxicity, vector_queries
 from .registry import LLM_QUERIES, LLM_SQL, query, table
 
-__all__ = ["LLM_QUERIES", "LLM_SQL", "corpus_queries", "query", "table", "vector_queries"]
+__all__ = ["LLM_QUERIES", "LLM_SQL", "corpus_queries", "query", "suffix_queries", "table", "vector_queries"]
 
 
 def remainder(key: str, divisor: int):
