@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .greedy import first_beyond, mark_starts
+from .greedy import CHUNK_ITEMS, Extent, follow
 from .scan import chunk_of, exact_quantiles, ordered_scan
 
-SHOT_CHUNK = 4096
+SHOT_CHUNK = CHUNK_ITEMS
 TIME_CHUNK = 3600.0
 
 
@@ -20,36 +20,15 @@ def global_scenes(
 ) -> DataFrame:
     """Merge shots into scenes.
 
-    A pause longer than ``min_gap`` always starts a scene, so recordings are
-    first cut into islands there. Inside an island a scene grows until the next
-    shot would end more than ``max_duration`` after the scene's start. Shots
-    are numbered 0, 1, ... per recording and their ends do not decrease.
+    A scene grows until the next shot would end more than ``max_duration`` after
+    the scene's start, or starts more than ``min_gap`` after the end of the shot
+    before it. Shots are numbered 0, 1, ... per recording; their times may be in
+    any order.
     """
-    chunk = chunk_of(F.col("scene_id"), SHOT_CHUNK)
-    seen = ordered_scan(
-        shots.select(key, "scene_id", "start", "end"),
-        [key],
-        ["scene_id"],
-        chunk,
-        lags={"__prev_end": F.col("end")},
-    )
-    opens = F.col("__prev_end").isNull() | (F.col("start") - F.col("__prev_end") > min_gap)
-    islands = ordered_scan(
-        seen, [key], ["scene_id"], chunk, carry={"__island": F.when(opens, F.col("scene_id"))}
-    ).withColumn("__i", F.col("scene_id") - F.col("__island"))
-    islands = materialize(islands, "shot-islands")
-    keys = [key, "__island"]
-    linked = first_beyond(islands, keys, "__i", "start", "end", max_duration, "__next", max_duration)
-    starts = mark_starts(linked, keys, "__i", "__next", "__starts")
-    placed = ordered_scan(
-        materialize(islands.join(starts, [*keys, "__i"]), "scene-starts"),
-        keys,
-        ["__i"],
-        chunk_of(F.col("__i"), SHOT_CHUNK),
-        carry={"__scene": F.when(F.col("__starts"), F.col("scene_id"))},
-    )
+    rule = Extent("start", "end", max_duration, min_gap)
+    placed = follow(shots, [key], "scene_id", rule, "__scene", ["start", "end"], chunk=SHOT_CHUNK)
     scenes = placed.groupBy(key, "__scene").agg(
-        F.min("start").alias("start"),
+        F.min_by("start", "scene_id").alias("start"),
         F.max_by("end", "scene_id").alias("end"),
         F.count(F.lit(1)).alias("shot_count"),
         F.min("scene_id").alias("first_shot"),

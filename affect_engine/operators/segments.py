@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.sentences import CAPITAL, cosine, jaccard, overlap_words
 from ..functions.text import words as split_words
 from ..session import materialize
-from .greedy import first_beyond, mark_starts
+from .greedy import Extent, follow
 from .scan import chunk_of, exact_quantiles, nested_chunk, ordered_scan
 
 SCENE = ["video_id", "global_scene_id"]
@@ -100,17 +100,9 @@ def split_long(tokens: DataFrame, max_words: int) -> DataFrame:
     clauses = placed.groupBy(*keys, "__clause").agg(
         (F.min("__pos") - 1).alias("__from"), F.max("__pos").alias("__to")
     )
-    linked = first_beyond(
-        clauses, keys, "__clause", "__from", "__to", float(max_words), "__next", WORD_CHUNK
-    )
-    starts = mark_starts(linked, keys, "__clause", "__next", "__starts")
-    packed = ordered_scan(
-        clauses.join(starts, [*keys, "__clause"]),
-        keys,
-        ["__clause"],
-        chunk_of(F.col("__clause"), WORD_CHUNK),
-        carry={"__base": F.when(F.col("__starts"), F.col("__from"))},
-    )
+    packed = follow(clauses, keys, "__clause", Extent("__from", "__to", float(max_words)), "__first", ["__from"])
+    bases = packed.where("__clause = __first").select(*keys, "__first", F.col("__from").alias("__base"))
+    packed = packed.join(bases, [*keys, "__first"])
     cut = placed.join(packed.select(*keys, "__clause", "__base"), [*keys, "__clause"])
     within = F.col("__pos") - 1 - F.col("__base")
     broken = cut.select(
@@ -212,14 +204,9 @@ def pack_sentences(sentences: DataFrame, limits: Limits, vector: str | None = No
         .agg(F.collect_list(F.struct("off", "n", "sim")).alias("__ahead"))
     )
     linked = ahead.withColumn("__next", F.col("s") + _successor(limits))
-    starts = mark_starts(linked, SCENE, "s", "__next", "__starts")
-    return ordered_scan(
-        sentences.join(starts, [*SCENE, "s"]),
-        SCENE,
-        ["s"],
-        chunk,
-        carry={"seg": F.when(F.col("__starts"), F.col("s"))},
-    ).drop("__starts")
+    payload = [c for c in sentences.columns if c not in (*SCENE, "s")]
+    linked = linked.join(sentences, [*SCENE, "s"])
+    return follow(linked, SCENE, "s", "__next", "seg", payload)
 
 
 def local_segments(

@@ -40,6 +40,22 @@ def _(t):
                       "shot_count", "first_shot", "last_shot")
 
 
+SQL_VIEWS["uneven_shots"] = """
+SELECT video_id, scene_id, start, start + ((scene_id * 37 + video_id) % 97) * 11 AS "end" FROM shots"""
+
+
+@query("w10_scenes_of_uneven_shots", f"""
+WITH RECURSIVE uneven_fold AS ({fold_sql('uneven_shots', 900.0, 5.0) % 'uneven_fold'})
+SELECT video_id, global_scene_id, round(start, 6) AS start, round("end", 6) AS "end", shot_count, first_shot, last_shot
+FROM ({scene_sql('uneven_fold', 900, 5)})""")
+def _(t):
+    """Shots whose ends don't follow the order of their starts."""
+    late = F.col("start") + (F.col("scene_id") * 37 + F.col("video_id")) % 97 * 11
+    out = S.global_scenes(t.shots.withColumn("end", late))
+    return out.select("video_id", "global_scene_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"),
+                      "shot_count", "first_shot", "last_shot")
+
+
 SQL_VIEWS["talk_shots"] = """SELECT video_id, segment_id AS scene_id, start, "end", duration FROM segments"""
 SQL_VIEWS["talk_scenes"] = f"""WITH RECURSIVE talk_fold AS ({fold_sql('talk_shots', 60.0, 5.0) % 'talk_fold'}) {scene_sql('talk_fold', 60, 5)}"""
 

@@ -81,6 +81,50 @@ def test_scenes_fold(spark, monkeypatch):
         assert [(r.start, r.end, r.shot_count) for r in got if r.video_id == v] == want[v]
 
 
+@pytest.mark.parametrize(("chunk", "fan"), [(4, 2), (7, 3), (1024, 64)])
+def test_scenes_with_ends_in_any_order(spark, chunk, fan):
+    rng = random.Random(chunk)
+    rows, want = [], {}
+    for v in range(4):
+        at, scene = 0.0, None
+        for i in range(rng.choice([1, 5, 120, 150])):
+            a, b = at, at + rng.choice([1, 5, 40, 90, 160])
+            at += rng.choice([0, 1, 3, 60])
+            rows.append((v, i, a, b))
+            if scene is None or b - scene[1] > 100 or a - scene[2] > 5:
+                scene = [i, a, b]
+            scene[2] = b
+            want[v, i] = scene[0]
+    df = spark.createDataFrame(rows, "v int, i long, start double, end double").repartition(3)
+    rule = greedy.Extent("start", "end", 100.0, 5.0)
+    got = greedy.follow(df, ["v"], "i", rule, "scene", ["end"], chunk=chunk, fan=fan).collect()
+    assert {(r.v, r.i): r.scene for r in got} == want
+    assert {(r.v, r.i): r.end for r in got} == {(v, i): e for v, i, _, e in rows}
+
+
+def test_segments_longer_than_many_chunks(spark):
+    rows = [(k, i, float(i), float(i + 1)) for k in (1, 2) for i in range(400)]
+    rows += [(3, i, float(i), 5000.0 if i == 301 else float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, i long, start double, end double")
+    rule = greedy.Extent("start", "end", 330.0)
+    got = greedy.follow(df, ["k"], "i", rule, "s", chunk=5, fan=2).groupBy("k").agg(F.sort_array(F.collect_set("s")).alias("s"))
+    assert {r.k: r.s for r in got.collect()} == {1: [0, 330], 2: [0, 330], 3: [0, 301]}
+
+
+def test_given_successors_that_skip_chunks(spark):
+    rng = random.Random(9)
+    rows = [(k, i, i + rng.choice([1, 2, 17, 60]) if rng.random() < 0.97 else None) for k in range(3) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, i long, nxt long")
+    got = {(r.k, r.i): r.s for r in greedy.follow(df, ["k"], "i", "nxt", "s", chunk=8).collect()}
+    for k in range(3):
+        jump, here, opens = {i: n for kk, i, n in rows if kk == k}, 0, 0
+        for i in range(300):
+            if i == here:
+                opens = i
+                here = jump[i]
+            assert got[k, i] == opens
+
+
 # --- segments: the rules once more, in plain Python --------------------------
 
 CAP = "[А-ЯA-ZЁ«]"
