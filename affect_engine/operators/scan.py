@@ -43,6 +43,7 @@ def ordered_scan(
     leads: Mapping[str, Column] | None = None,
     carry: Mapping[str, Column] | None = None,
     highs: Mapping[str, Column] | None = None,
+    prior: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add order-dependent columns within ``keys``, ascending by ``order``.
 
@@ -52,9 +53,10 @@ def ordered_scan(
     leads     value of the next row
     carry     last non-null value up to and including the row
     highs     running maximum up to and including the row
+    prior     last non-null value before the row
     """
     sums, lags, leads = dict(sums or {}), dict(lags or {}), dict(leads or {})
-    carry, highs = dict(carry or {}), dict(highs or {})
+    carry, highs, prior = dict(carry or {}), dict(highs or {}), dict(prior or {})
     group = list(keys)
     base = df.withColumn(_CHUNK, chunk)
     if not group:
@@ -78,8 +80,9 @@ def ordered_scan(
     for name, value in leads.items():
         local.append(F.lead(F.struct(value.alias("v"))).over(inner).alias(f"__l_{name}"))
         summary.append(F.min_by(F.struct(value.alias("v")), rank).alias(f"__t_{name}"))
-    for name, value in carry.items():
-        local.append(F.last(value, ignorenulls=True).over(upto).alias(f"__l_{name}"))
+    for name, value in (carry | prior).items():
+        reach = upto if name in carry else before
+        local.append(F.last(value, ignorenulls=True).over(reach).alias(f"__l_{name}"))
         summary.append(F.max_by(value, F.when(value.isNotNull(), rank)).alias(f"__t_{name}"))
     for name, value in highs.items():
         local.append(F.max(value).over(upto).alias(f"__l_{name}"))
@@ -94,7 +97,7 @@ def ordered_scan(
     carried += [F.sum(f"__t_{n}").over(earlier).alias(f"__o_{n}") for n in sums]
     carried += [F.lag(f"__t_{n}").over(outer).alias(f"__o_{n}") for n in lags]
     carried += [F.lead(f"__t_{n}").over(outer).alias(f"__o_{n}") for n in leads]
-    carried += [F.last(f"__t_{n}", ignorenulls=True).over(earlier).alias(f"__o_{n}") for n in carry]
+    carried += [F.last(f"__t_{n}", ignorenulls=True).over(earlier).alias(f"__o_{n}") for n in (*carry, *prior)]
     carried += [F.max(f"__t_{n}").over(earlier).alias(f"__o_{n}") for n in highs]
     offsets = offsets.select(*group, _CHUNK, *carried)
 
@@ -109,7 +112,7 @@ def ordered_scan(
         )
     for name in (*lags, *leads):
         out.append(F.coalesce(f"__l_{name}", f"__o_{name}")["v"].alias(name))
-    for name in carry:
+    for name in (*carry, *prior):
         out.append(F.coalesce(f"__l_{name}", f"__o_{name}").alias(name))
     for name in highs:
         out.append(F.greatest(f"__l_{name}", f"__o_{name}").alias(name))

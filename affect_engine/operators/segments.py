@@ -32,14 +32,19 @@ class Limits:
 
 
 def number_words(words: DataFrame) -> DataFrame:
-    """Words of a scene numbered 0, 1, ... in ``w``."""
-    kept = words.where(F.col("global_scene_id").isNotNull())
+    """Words of a scene numbered 0, 1, ... in ``w``, with their ``tokens``.
+
+    ``p`` counts the tokens of the scene before the word, ``prior`` is the last.
+    """
+    kept = words.where(F.col("global_scene_id").isNotNull()).withColumn("tokens", _tokens(F.col("word")))
     return ordered_scan(
         kept,
         SCENE,
         ["segment_id", "i"],
         nested_chunk(F.col("segment_id"), F.col("i"), WORD_CHUNK),
         position="__pos",
+        sums={"p": F.size("tokens").cast("long")},
+        prior={"prior": F.try_element_at("tokens", F.lit(-1))},
     ).withColumn("w", F.col("__pos") - 1).drop("__pos")
 
 
@@ -49,70 +54,115 @@ def _tokens(word: Column) -> Column:
     return split_words(dots)
 
 
-def cut_sentences(numbered: DataFrame) -> DataFrame:
-    """Tokens of the sentences that count: ``(scene, sid, p, token, n)``.
+def sentence_tokens(numbered: DataFrame) -> DataFrame:
+    """Tokens ``(scene, sid, p, start, clause, token)`` of all sentences.
 
-    A sentence needs two tokens and one word character. A scene without any
-    such sentence is one sentence.
+    ``p`` is the token's place in the scene, ``start`` that of its sentence;
+    ``clause`` counts clause marks along the scene.
     """
-    tokens = numbered.select(*SCENE, "w", F.posexplode(_tokens(F.col("word"))).alias("k", "token"))
-    chunk = chunk_of(F.col("w"), WORD_CHUNK)
-    seen = ordered_scan(
-        tokens, SCENE, ["w", "k"], chunk, position="p", lags={"__prev": F.col("token")}
+    tokens = numbered.select(*SCENE, "p", "prior", "tokens", F.posexplode("tokens").alias("k", "token")).select(
+        *SCENE,
+        (F.col("p") + F.col("k")).alias("p"),
+        "token",
+        F.when(F.col("k") == 0, F.col("prior")).otherwise(F.get("tokens", F.col("k") - 1)).alias("__prev"),
     )
     opens = F.col("__prev").rlike(r"[.!?…]$") & F.col("token").rlike(f"^{CAPITAL}")
-    flagged = seen.withColumn("__opens", F.coalesce(opens, F.lit(False)).cast("int"))
+    flagged = tokens.withColumn("__opens", F.coalesce(opens, F.lit(False)).cast("long")).withColumn(
+        "__mark", F.coalesce(F.col("__prev").rlike("[,;—]$"), F.lit(False)).cast("long")
+    )
     placed = ordered_scan(
-        flagged, SCENE, ["p"], chunk_of(F.col("p"), WORD_CHUNK), sums={"__s": F.col("__opens")}
-    ).withColumn("sid", F.col("__s") + F.col("__opens"))
-    placed = materialize(placed.select(*SCENE, "sid", "p", "token"), "sentence-tokens")
-    sizes = placed.groupBy(*SCENE, "sid").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("token").rlike(r"(?U)\w")).alias("__worded")
+        flagged.drop("__prev"),
+        SCENE,
+        ["p"],
+        chunk_of(F.col("p"), WORD_CHUNK),
+        sums={"__s": F.col("__opens"), "__c": F.col("__mark")},
+        carry={"__start": F.when(F.col("__opens") == 1, F.col("p"))},
     )
-    good = sizes.where((F.col("n") >= 2) & F.col("__worded")).select(*SCENE, "sid", "n")
-    usable = good.select(*SCENE).distinct()
-    kept = placed.join(good, [*SCENE, "sid"]).select(*SCENE, "sid", "p", "token", "n")
-    whole = placed.join(usable, SCENE, "left_anti")
-    totals = whole.groupBy(*SCENE).agg(F.count(F.lit(1)).alias("n"))
-    fallback = whole.join(totals, SCENE).select(
-        *SCENE, F.lit(0).cast("long").alias("sid"), "p", "token", "n"
+    return placed.select(
+        *SCENE,
+        (F.col("__s") + F.col("__opens")).alias("sid"),
+        "p",
+        F.coalesce("__start", F.lit(0)).cast("long").alias("start"),
+        (F.col("__c") + F.col("__mark")).alias("clause"),
+        "token",
     )
-    return kept.unionByName(fallback)
+
+
+def _joined(tokens: Column) -> Column:
+    return F.array_join(F.transform(F.sort_array(tokens), lambda x: x["token"]), " ")
+
+
+def _pack_clauses(tokens: DataFrame, max_words: int) -> DataFrame:
+    """Tokens ``(scene, sid, __at, __clause)`` of long sentences with the ``part`` they fall into."""
+    keys = [*SCENE, "sid"]
+    clauses = tokens.groupBy(*keys, "__clause").agg(F.min("__at").alias("__from"), (F.max("__at") + 1).alias("__to"))
+    packed = follow(clauses, keys, "__clause", Extent("__from", "__to", float(max_words)), "__opener", ["__from"])
+    bases = packed.where("__clause = __opener").select(*keys, "__opener", F.col("__from").alias("__base"))
+    based = packed.join(bases, [*keys, "__opener"]).select(*keys, "__clause", "__base")
+    within = F.col("__at") - F.col("__base")
+    part = (F.col("__base") + F.floor(within / max_words) * max_words).cast("long")
+    return tokens.join(based, [*keys, "__clause"]).withColumn("part", part).drop("__clause", "__base")
 
 
 def split_long(tokens: DataFrame, max_words: int) -> DataFrame:
-    """Break sentences over ``max_words`` at clause marks, then by length.
+    """``part`` for tokens ``(scene, sid, p, token, n)`` of sentences of ``n`` tokens.
 
-    Clauses are packed greedily; a clause that is too long on its own is cut
-    every ``max_words`` tokens. Adds ``part``, 0 for an unbroken sentence.
+    Sentences over ``max_words`` are broken as in ``split_sentences``; the others are part 0.
     """
     keys = [*SCENE, "sid"]
-    short = tokens.where(F.col("n") <= max_words).withColumn("part", F.lit(0).cast("long"))
     long = tokens.where(F.col("n") > max_words)
     chunk = chunk_of(F.col("p"), WORD_CHUNK)
-    seen = ordered_scan(
-        long, keys, ["p"], chunk, position="__pos", lags={"__prev": F.col("token")}
-    ).withColumn("__opens", F.coalesce(F.col("__prev").rlike("[,;—]$"), F.lit(False)).cast("int"))
-    placed = ordered_scan(
-        seen, keys, ["p"], chunk, sums={"__c": F.col("__opens")}
-    ).withColumn("__clause", F.col("__c") + F.col("__opens"))
-    placed = materialize(placed.select(*keys, "p", "token", "n", "__pos", "__clause"), "clauses")
-    clauses = placed.groupBy(*keys, "__clause").agg(
-        (F.min("__pos") - 1).alias("__from"), F.max("__pos").alias("__to")
+    seen = ordered_scan(long, keys, ["p"], chunk, position="__pos", lags={"__prev": F.col("token")})
+    marked = seen.withColumn("__mark", F.coalesce(F.col("__prev").rlike("[,;—]$"), F.lit(False)).cast("long"))
+    placed = ordered_scan(marked, keys, ["p"], chunk, sums={"__c": F.col("__mark")})
+    placed = placed.select(
+        *keys, "p", "token", "n", (F.col("__pos") - 1).alias("__at"), (F.col("__c") + F.col("__mark")).alias("__clause")
     )
-    packed = follow(clauses, keys, "__clause", Extent("__from", "__to", float(max_words)), "__first", ["__from"])
-    bases = packed.where("__clause = __first").select(*keys, "__first", F.col("__from").alias("__base"))
-    packed = packed.join(bases, [*keys, "__first"])
-    cut = placed.join(packed.select(*keys, "__clause", "__base"), [*keys, "__clause"])
-    within = F.col("__pos") - 1 - F.col("__base")
-    broken = cut.select(
-        *keys,
-        "p",
-        "token",
-        "n",
-        (F.col("__base") + F.floor(within / max_words) * max_words).cast("long").alias("part"),
+    short = tokens.where(F.col("n") <= max_words).withColumn("part", F.lit(0).cast("long"))
+    broken = _pack_clauses(materialize(placed, "clauses"), max_words).drop("__at")
+    return short.select(*broken.columns).unionByName(broken)
+
+
+def split_sentences(tokens: DataFrame, max_words: int) -> DataFrame:
+    """Sentences ``(scene, sid, part, p, n_tokens, sentence)`` of at most ``max_words`` tokens.
+
+    A sentence counts if it has two tokens and one word character; a scene
+    without any is one sentence, number 0. Longer ones are broken at clause
+    marks, clauses packed greedily; a clause that is too long on its own is cut
+    every ``max_words`` tokens. ``part`` is the offset of a part, 0 for the first.
+    """
+    sizes = tokens.groupBy(*SCENE, "sid").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.max(F.col("token").rlike(r"(?U)\w")).alias("__worded"),
+        F.min("p").alias("p"),
+        F.min("clause").alias("__clause_0"),
+        # The first max_words tokens, which is all of a sentence that isn't broken.
+        F.collect_list(F.when(F.col("p") - F.col("start") < max_words, F.struct("p", "token"))).alias("__first"),
+    )
+    sizes = sizes.withColumn("__good", (F.col("n_tokens") >= 2) & F.col("__worded"))
+    sizes = materialize(sizes, "sentence-sizes")
+    usable = sizes.groupBy(*SCENE).agg(F.max("__good").alias("__any"))
+    short = sizes.where(F.col("__good") & (F.col("n_tokens") <= max_words)).select(
+        *SCENE, "sid", F.lit(0).cast("long").alias("part"), "p", "n_tokens", _joined(F.col("__first")).alias("sentence")
+    )
+    keys = [*SCENE, "sid"]
+    broken = sizes.where(F.col("__good") & (F.col("n_tokens") > max_words)).select(*keys, F.col("p").alias("__p0"), "__clause_0")
+    zero = F.lit(0).cast("long")
+    parts = tokens.join(broken, keys).select(*keys, "p", "__p0", "__clause_0", "clause", "token")
+    whole = tokens.join(usable.where(~F.col("__any")).select(*SCENE), SCENE).select(
+        *SCENE, zero.alias("sid"), "p", zero.alias("__p0"), zero.alias("__clause_0"), "clause", "token"
+    )
+    long = parts.unionByName(whole).select(
+        *keys, "p", "token", (F.col("p") - F.col("__p0")).alias("__at"), (F.col("clause") - F.col("__clause_0")).alias("__clause")
+    )
+    broken_up = _pack_clauses(long, max_words)
+    return short.unionByName(
+        broken_up.groupBy(*keys, "part").agg(
+            F.min("p").alias("p"),
+            F.count(F.lit(1)).alias("n_tokens"),
+            _joined(F.collect_list(F.struct("p", "token"))).alias("sentence"),
+        )
     )
-    return short.unionByName(broken)
 
 
 def timed_sentences(numbered: DataFrame, max_words: int) -> DataFrame:
@@ -121,23 +171,10 @@ def timed_sentences(numbered: DataFrame, max_words: int) -> DataFrame:
     A sentence of n tokens takes the next n words of the scene. Dropped
     one-word sentences do not use up their words, so later sentences shift.
     """
-    tokens = split_long(materialize(cut_sentences(numbered), "sentences"), max_words)
-    # A sentence holds at most max_words tokens here.
-    sentences = tokens.groupBy(*SCENE, "sid", "part").agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.min("p").alias("__p"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("p", "token"))), lambda x: x["token"]),
-            " ",
-        ).alias("sentence"),
-    )
+    tokens = materialize(sentence_tokens(numbered), "sentence-tokens")
+    sentences = materialize(split_sentences(tokens, max_words), "sentences")
     ordered = ordered_scan(
-        materialize(sentences, "short-sentences"),
-        SCENE,
-        ["__p"],
-        chunk_of(F.col("__p"), WORD_CHUNK),
-        position="__pos",
-        sums={"__from": F.col("n_tokens")},
+        sentences, SCENE, ["p"], chunk_of(F.col("p"), WORD_CHUNK), position="__pos", sums={"__from": F.col("n_tokens")}
     )
     spread = ordered.select(
         *SCENE,
@@ -148,8 +185,10 @@ def timed_sentences(numbered: DataFrame, max_words: int) -> DataFrame:
     )
     return (
         spread.join(numbered.select(*SCENE, "w", "start", "end", "probability"), [*SCENE, "w"])
-        .groupBy(*SCENE, "s", "sentence", "n_tokens")
+        .groupBy(*SCENE, "s")
         .agg(
+            F.first("sentence").alias("sentence"),
+            F.first("n_tokens").alias("n_tokens"),
             F.min_by("start", "w").alias("start"),
             F.max_by("end", "w").alias("end"),
             F.count(F.lit(1)).alias("n_words"),
@@ -184,28 +223,30 @@ def pack_sentences(sentences: DataFrame, limits: Limits, vector: str | None = No
     Neighbouring sentences are compared by the cosine of their vectors where
     ``vector`` names a column and both have one, else by their shared words.
     """
-    chunk = chunk_of(F.col("s"), WORD_CHUNK)
     bag = sentences.withColumn("__bag", overlap_words(F.col("sentence")))
-    before = {"__prev": F.col("__bag")} | ({"__prev_v": F.col(vector)} if vector else {})
+    before = bag.select(*SCENE, (F.col("s") + 1).alias("s"), F.col("__bag").alias("__prev"), *([F.col(vector).alias("__prev_v")] if vector else []))
     words_alike = jaccard(F.col("__prev"), F.col("__bag"))
     alike = F.coalesce(cosine(F.col("__prev_v"), F.col(vector)), words_alike) if vector else words_alike
-    seen = ordered_scan(bag, SCENE, ["s"], chunk, lags=before).withColumn("__sim", F.coalesce(alike, F.lit(0.0)))
+    seen = bag.join(before, [*SCENE, "s"], "left").withColumn("__sim", F.coalesce(alike, F.lit(0.0)))
+    payload = [c for c in sentences.columns if c not in (*SCENE, "s")]
     ahead = (
         seen.select(
             *SCENE,
             "s",
             F.col("n_tokens").alias("n"),
             F.col("__sim").alias("sim"),
+            F.struct(*payload).alias("__own"),
             F.explode(F.sequence(F.lit(0), F.lit(limits.max_sentences))).alias("off"),
         )
         .withColumn("s", F.col("s") - F.col("off"))
         .where("s >= 0")
         .groupBy(*SCENE, "s")
-        .agg(F.collect_list(F.struct("off", "n", "sim")).alias("__ahead"))
+        .agg(
+            F.collect_list(F.struct("off", "n", "sim")).alias("__ahead"),
+            F.first(F.when(F.col("off") == 0, F.col("__own")), ignorenulls=True).alias("__own"),
+        )
     )
-    linked = ahead.withColumn("__next", F.col("s") + _successor(limits))
-    payload = [c for c in sentences.columns if c not in (*SCENE, "s")]
-    linked = linked.join(sentences, [*SCENE, "s"])
+    linked = ahead.select(*SCENE, "s", "__own.*", (F.col("s") + _successor(limits)).alias("__next"))
     return follow(linked, SCENE, "s", "__next", "seg", payload)
 
 
@@ -243,20 +284,18 @@ def local_segments(
         F.sum("n_tokens").alias("__tokens"),
         (F.sum("confidence_sum") / F.sum("n_words")).alias("__mean"),
     )
-    segments = segments.withColumn("start", F.bround("__start", 2))
-    chunk = chunk_of(F.col("seg"), WORD_CHUNK)
-    after = F.struct("text", "__end", "__tokens", "sentence_count")
-    segments = materialize(segments, "segments")
-    seen = ordered_scan(
-        segments, SCENE, ["seg"], chunk, lags={"__before": F.col("seg")}, leads={"__n": after}
+    segments = materialize(segments.withColumn("start", F.bround("__start", 2)), "segments")
+    # A segment's sentences are consecutive, so the one before the last ends where that begins.
+    last = segments.groupBy(*SCENE).agg(
+        F.max("seg").alias("__last"),
+        F.max_by(F.struct("text", "__end", "__tokens", "sentence_count"), "seg").alias("__n"),
+        F.count(F.lit(1)).alias("__of"),
     )
-    last = F.col("__n").isNull()
-    tail = last & (F.col("__tokens") < limits.min_words) & F.col("__before").isNotNull()
-    marked = ordered_scan(
-        seen.withColumn("__tail", tail), SCENE, ["seg"], chunk, leads={"__absorbs": F.col("__tail")}
-    ).where(~F.col("__tail"))
-    takes = F.coalesce("__absorbs", F.lit(False))
-    mean = F.bround("__mean", 3)
+    joins = (F.col("__n.__tokens") < limits.min_words) & (F.col("__of") > 1)
+    marked = segments.join(last, SCENE).where(~(joins & (F.col("seg") == F.col("__last"))))
+    takes = joins & (F.col("seg") + F.col("sentence_count") == F.col("__last"))
+    # Sums differ in their last bits with the order of rows; a tie must not hang on that.
+    mean = F.bround(F.round("__mean", 12), 3)
     spoken = marked.select(
         *SCENE,
         "seg",
@@ -278,9 +317,7 @@ def local_segments(
     counts = numbered.groupBy(*SCENE).agg(
         F.count(F.lit(1)).alias("__words"), F.avg("probability").alias("__mean")
     )
-    spoken = materialize(spoken, "spoken-segments")
-    found = spoken.select(*SCENE).distinct()
-    rest = scenes.join(found, SCENE, "left_anti").join(counts, SCENE, "left")
+    rest = scenes.join(last.select(*SCENE), SCENE, "left_anti").join(counts, SCENE, "left")
     has_words = F.col("__words").isNotNull()
     silent = rest.select(
         *SCENE,
@@ -297,7 +334,7 @@ def local_segments(
         F.col("__mean").alias("confidence_average"),
     )
     return ordered_scan(
-        spoken.unionByName(silent),
+        materialize(spoken.unionByName(silent), "scene-segments"),
         ["video_id"],
         ["global_scene_id", "seg"],
         nested_chunk(F.col("global_scene_id"), F.col("seg"), WORD_CHUNK),

@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.sentences import CAPITAL
 from ..operators import scenes as S
 from ..operators import segments as G
 from ..operators import transcripts as T
 from ..session import materialize
 from .catalog import query
 from .derived import SQL_VIEWS
+from .q_text import W_CHAR, overlap_sql, rx, words_sql
 
 
 def scene_sql(source: str, limit: float, gap: float) -> str:
@@ -90,13 +92,128 @@ def placed_words(t, scenes=None):
     return materialize(S.words_to_scenes(t.words, talk_scenes(t) if scenes is None else scenes), "placed-words")
 
 
-@query("w11_local_segments")
+SQL_VIEWS["seg_words"] = """
+SELECT w.video_id, s.global_scene_id, w.word, w.start, w."end", w.probability,
+  row_number() OVER (PARTITION BY w.video_id, s.global_scene_id ORDER BY w.segment_id, w.i) - 1 AS w
+FROM words w JOIN talk_scenes s ON s.video_id = w.video_id AND s.start <= w.start AND w.start < s."end" """
+_spaced = rx("word", rf"([.!?…])({CAPITAL})", r"\1 \2")
+_dots = rx(f"replace({_spaced}, '…', '...')", r"\.{3,}", "...")
+SQL_VIEWS["seg_tokens"] = f"""
+SELECT video_id, global_scene_id, p, token,
+  sum(CASE WHEN regexp_matches(before, '[.!?…]$') AND regexp_matches(token, '^{CAPITAL}') THEN 1 ELSE 0 END) OVER w AS sid,
+  sum(CASE WHEN regexp_matches(before, '[,;—]$') THEN 1 ELSE 0 END) OVER w AS clause
+FROM (SELECT *, row_number() OVER v - 1 AS p, lag(token) OVER v AS before
+      FROM (SELECT video_id, global_scene_id, w, unnest(ts) AS token, unnest(range(len(ts))) AS k
+            FROM (SELECT *, {words_sql(_dots)} AS ts FROM seg_words))
+      WINDOW v AS (PARTITION BY video_id, global_scene_id ORDER BY w, k))
+WINDOW w AS (PARTITION BY video_id, global_scene_id ORDER BY p)"""
+SQL_VIEWS["seg_sizes"] = f"""
+SELECT video_id, global_scene_id, sid, count(*) AS n, min(p) AS p0, min(clause) AS c0,
+  count(*) >= 2 AND bool_or(regexp_matches(token, '{W_CHAR}')) AS good
+FROM seg_tokens GROUP BY ALL"""
+SQL_VIEWS["seg_counted"] = """
+SELECT video_id, global_scene_id, sid, p, p - p0 AS pos, clause - c0 AS clause, token, n FROM seg_tokens JOIN seg_sizes USING (video_id, global_scene_id, sid) WHERE good
+UNION ALL
+SELECT video_id, global_scene_id, 0, p, p, clause, token, n FROM seg_tokens
+JOIN (SELECT video_id, global_scene_id, sum(n) AS n FROM seg_sizes GROUP BY ALL HAVING NOT bool_or(good)) USING (video_id, global_scene_id)"""
+
+
+def split_sql(limit: int) -> str:
+    keys = "video_id, global_scene_id, sid"
+    return f"""
+WITH RECURSIVE clauses AS (
+  SELECT {keys}, clause, min(pos) AS f, max(pos) + 1 AS t FROM seg_counted GROUP BY ALL
+), packed AS (
+  SELECT {keys}, clause, f AS base FROM clauses WHERE clause = 0
+  UNION ALL
+  SELECT c.video_id, c.global_scene_id, c.sid, c.clause, CASE WHEN c.t - k.base > {limit} THEN c.f ELSE k.base END
+  FROM packed k JOIN clauses c ON c.video_id = k.video_id AND c.global_scene_id = k.global_scene_id AND c.sid = k.sid AND c.clause = k.clause + 1
+)
+SELECT {keys}, (base + (pos - base) // {limit} * {limit})::BIGINT AS part, min(p) AS p, count(*) AS n_tokens,
+  string_agg(token, ' ' ORDER BY p) AS sentence
+FROM seg_counted JOIN packed USING ({keys}, clause) GROUP BY ALL"""
+
+
+SQL_VIEWS["seg_sentences"] = split_sql(30)
+SQL_VIEWS["seg_timed"] = """
+SELECT o.video_id, o.global_scene_id, s, sentence, n_tokens, arg_min(w.start, w.w) AS start, arg_max(w."end", w.w) AS "end",
+  count(*) AS n_words, sum(probability) AS confidence_sum
+FROM (SELECT *, row_number() OVER v - 1 AS s, sum(n_tokens) OVER v - n_tokens AS f FROM seg_sentences
+      WINDOW v AS (PARTITION BY video_id, global_scene_id ORDER BY p)) o
+JOIN seg_words w ON w.video_id = o.video_id AND w.global_scene_id = o.global_scene_id AND w.w >= f AND w.w < f + n_tokens
+GROUP BY o.video_id, o.global_scene_id, s, sentence, n_tokens"""
+
+
+def half_even(x: str, digits: int) -> str:
+    """Rounding to the even digit, on the decimal value as it is written."""
+    scaled = f"({x})::DECIMAL(18, 9) * {10 ** digits}"
+    return f"""((floor({scaled}) + CASE WHEN {scaled} - floor({scaled}) > 0.5 OR ({scaled} - floor({scaled}) = 0.5 AND floor({scaled}) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / {10 ** digits})"""
+
+
+def segments_sql(name: str, alike: str) -> str:
+    """Sentences packed one after another; ``alike`` compares a sentence ``b`` with the one before, ``a``."""
+    return f"""
+WITH RECURSIVE ordered AS (
+  SELECT b.*, {alike} AS sim FROM {name} b
+  LEFT JOIN {name} a ON a.video_id = b.video_id AND a.global_scene_id = b.global_scene_id AND a.s = b.s - 1
+), fold AS (
+  SELECT video_id, global_scene_id, s, s AS seg, n_tokens AS size, 1 AS k FROM ordered WHERE s = 0
+  UNION ALL
+  SELECT video_id, global_scene_id, s, CASE WHEN cut THEN s ELSE seg END, CASE WHEN cut THEN n ELSE size + n END, CASE WHEN cut THEN 1 ELSE k + 1 END
+  FROM (SELECT o.video_id, o.global_scene_id, o.s, f.seg, f.size, f.k, o.n_tokens AS n,
+               f.size + o.n_tokens > 30 OR f.k + 1 > 4 OR (f.size >= 15 AND o.sim < 0.35) AS cut
+        FROM fold f JOIN ordered o ON o.video_id = f.video_id AND o.global_scene_id = f.global_scene_id AND o.s = f.s + 1)
+), segs AS (
+  SELECT o.video_id, o.global_scene_id, seg, min(o.start) AS s0, arg_max(o."end", o.s) AS e0, string_agg(sentence, ' ' ORDER BY o.s) AS text,
+    count(*) AS sentence_count, sum(n_words) AS word_count, sum(n_tokens) AS tokens, sum(confidence_sum) / sum(n_words) AS mean
+  FROM ordered o JOIN fold USING (video_id, global_scene_id, s) GROUP BY ALL
+), seen AS (
+  SELECT *, lag(seg) OVER w IS NOT NULL AND lead(seg) OVER w IS NULL AND tokens < 6 AS tail,
+    lead(text) OVER w AS text2, lead(e0) OVER w AS e2, lead(tokens) OVER w AS tokens2, lead(sentence_count) OVER w AS count2
+  FROM segs WINDOW w AS (PARTITION BY video_id, global_scene_id ORDER BY seg)
+), spoken AS (
+  SELECT *, coalesce(lead(tail) OVER (PARTITION BY video_id, global_scene_id ORDER BY seg), false) AS takes FROM seen
+)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY global_scene_id, seg) - 1 AS local_segment_id, * EXCLUDE (video_id, seg) FROM (
+  SELECT video_id, global_scene_id, seg, {half_even('s0', 2)} AS start, CASE WHEN takes THEN e2 ELSE {half_even('e0', 2)} END AS "end",
+    CASE WHEN takes THEN text || ' ' || text2 ELSE text END AS text,
+    sentence_count + CASE WHEN takes THEN count2 ELSE 0 END AS sentence_count, (word_count + CASE WHEN takes THEN tokens2 ELSE 0 END)::BIGINT AS word_count,
+    true AS has_speech, CASE WHEN mean <> 0 THEN {half_even('mean', 3)} END AS confidence
+  FROM spoken WHERE NOT tail
+  UNION ALL
+  SELECT s.video_id, s.global_scene_id, 0, s.start, s."end", CASE WHEN n > 0 THEN repeat(' ', (n - 1)::INT) ELSE '' END, 0, coalesce(n, 0), n IS NOT NULL, mean
+  FROM talk_scenes s LEFT JOIN (SELECT video_id, global_scene_id, count(*) AS n, avg(probability) AS mean FROM seg_words GROUP BY ALL) USING (video_id, global_scene_id)
+  WHERE (s.video_id, s.global_scene_id) NOT IN (SELECT (video_id, global_scene_id) FROM segs))"""
+
+
+_LETTERS = "[" + ", ".join(f"(length(lower(sentence)) - length(replace(lower(sentence), '{c}', '')))::DOUBLE" for c in "aeinorst") + "]"
+SQL_VIEWS["seg_bags"] = f"""
+SELECT *, {overlap_sql('sentence')} AS bag, CASE WHEN n_tokens > 3 THEN {_LETTERS} END AS vec FROM seg_timed"""
+_WORDS = """CASE WHEN a.s IS NULL OR len(a.bag) = 0 OR len(b.bag) = 0 THEN 0.0 ELSE
+  len(list_intersect(a.bag, b.bag))::DOUBLE / (len(a.bag) + len(b.bag) - len(list_intersect(a.bag, b.bag))) END"""
+_dot = "list_sum(list_transform(list_zip({0}.vec, {1}.vec), lambda p : p[1] * p[2]))"
+_length = f"(sqrt({_dot.format('a', 'a')}) * sqrt({_dot.format('b', 'b')}))"
+_VECTORS = f"coalesce(greatest(0.0, {_dot.format('a', 'b')} / nullif({_length}, 0)), {_WORDS})"
+
+SEGMENT_COLUMNS = """video_id, local_segment_id, global_scene_id, round(start, 2) AS start, round("end", 2) AS "end", text, sentence_count, word_count, has_speech,
+  round(confidence, 3) AS confidence_average"""
+
+
+def segment_columns(out):
+    return out.select(
+        "video_id", "local_segment_id", "global_scene_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "text",
+        "sentence_count", "word_count", "has_speech", F.round("confidence_average", 3).alias("confidence_average"))
+
+
+@query("w11_local_segments", f"""
+SELECT {SEGMENT_COLUMNS} FROM ({segments_sql('seg_bags', _WORDS)})""")
 def _(t):
     scenes = materialize(talk_scenes(t).select("video_id", "global_scene_id", "start", "end"), "scenes")
-    return G.local_segments(placed_words(t, scenes), scenes)
+    return segment_columns(G.local_segments(placed_words(t, scenes), scenes))
 
 
-@query("w11_local_segments_by_vectors")
+@query("w11_local_segments_by_vectors", f"""
+SELECT {SEGMENT_COLUMNS} FROM ({segments_sql('seg_bags', _VECTORS)})""")
 def _(t):
     """A stand-in model: how often a sentence has each of eight letters; none for short ones."""
     def embed(sentences):
@@ -105,18 +222,20 @@ def _(t):
         return sentences.withColumn("vector", F.when(F.col("n_tokens") > 3, F.array(*counts)))
 
     scenes = materialize(talk_scenes(t).select("video_id", "global_scene_id", "start", "end"), "scenes")
-    return G.local_segments(placed_words(t, scenes), scenes, embed=embed)
+    return segment_columns(G.local_segments(placed_words(t, scenes), scenes, embed=embed))
 
 
-@query("w12_timed_sentences")
+@query("w12_timed_sentences", """
+SELECT video_id, global_scene_id, s, sentence, n_tokens, start, "end", n_words, round(confidence_sum, 6) AS confidence_sum FROM seg_timed""")
 def _(t):
-    return G.timed_sentences(G.number_words(placed_words(t)), 30)
+    numbered = materialize(G.number_words(placed_words(t)), "scene-words")
+    return G.timed_sentences(numbered, 30).withColumn("confidence_sum", F.round("confidence_sum", 6))
 
 
-@query("t13_split_long_sentences")
+@query("t13_split_long_sentences", split_sql(12))
 def _(t):
-    tokens = G.cut_sentences(G.number_words(placed_words(t)))
-    return G.split_long(tokens, 12).groupBy("video_id", "global_scene_id", "sid", "part").agg(F.count("*").alias("n"))
+    numbered = materialize(G.number_words(placed_words(t)), "scene-words")
+    return G.split_sentences(materialize(G.sentence_tokens(numbered), "sentence-tokens"), 12)
 
 
 @query("w13_sequential_ids", """

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import scalar, sentences, text, vocab
+from ..operators import ensemble
 from .catalog import query
 from .derived import SQL_VIEWS
 
@@ -221,7 +222,7 @@ def _(t):
 @query("t17_timeline_label_share", """
 SELECT known, count(*) AS n FROM tl_long GROUP BY known""")
 def _(t):
-    p = t.predictions
+    p = ensemble.align_to_reference(t.predictions, ["video_id"])
     long = p.select(F.explode(F.filter(F.array("distil_label", "deberta_label", "ru_label"), lambda x: x.isNotNull())).alias("raw"))
     return long.groupBy(L.timeline_label(F.col("raw"))["is_known"].alias("known")).agg(F.count("*").alias("n"))
 
