@@ -358,7 +358,62 @@ def _(t):
     return r6(line(t).drop("t"), "agreement")
 
 
-@query("w15_smooth_timeline")
+SQL_VIEWS["tl_curve"] = """
+SELECT video_id, k, t, y0, y1, count(*) OVER (PARTITION BY video_id) AS n, t - lag(t) OVER w AS h0, lead(t) OVER w - t AS h1,
+  (lead(y0) OVER w - y0) / (lead(t) OVER w - t) - (y0 - lag(y0) OVER w) / (t - lag(t) OVER w) AS r0,
+  (lead(y1) OVER w - y1) / (lead(t) OVER w - t) - (y1 - lag(y1) OVER w) / (t - lag(t) OVER w) AS r1
+FROM (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY segment_id) - 1 AS k, (start + "end") / 2 AS t,
+  coalesce(arousal, 0.5) AS y0, coalesce(valence, 0.5) AS y1 FROM tl_rows)
+WINDOW w AS (PARTITION BY video_id ORDER BY k)"""
+# The tridiagonal system of each recording, swept forth and back.
+SQL_VIEWS["tl_bent"] = """
+WITH RECURSIVE eq AS (
+  SELECT video_id, k, n, h0, h1, 6 * r0 AS r0, 6 * r1 AS r1, CASE WHEN k = 1 THEN 0 WHEN k = n - 2 THEN h0 - h1 * h1 / h0 ELSE h0 END AS a,
+    2 * (h0 + h1) + CASE WHEN k = 1 THEN h0 * (h0 + h1) / h1 ELSE 0 END + CASE WHEN k = n - 2 THEN h1 * (h0 + h1) / h0 ELSE 0 END AS b,
+    CASE WHEN k = n - 2 THEN 0 WHEN k = 1 THEN h1 - h0 * h0 / h1 ELSE h1 END AS c
+  FROM tl_curve WHERE n >= 4 AND k BETWEEN 1 AND n - 2
+), forth AS (
+  SELECT video_id, k, c / b AS c, r0 / b AS d0, r1 / b AS d1 FROM eq WHERE k = 1
+  UNION ALL
+  SELECT e.video_id, e.k, e.c / (e.b - e.a * f.c), (e.r0 - e.a * f.d0) / (e.b - e.a * f.c), (e.r1 - e.a * f.d1) / (e.b - e.a * f.c)
+  FROM forth f JOIN eq e ON e.video_id = f.video_id AND e.k = f.k + 1
+), back AS (
+  SELECT f.video_id, f.k, d0 AS m0, d1 AS m1 FROM forth f JOIN eq e ON e.video_id = f.video_id AND e.k = f.k WHERE f.k = n - 2
+  UNION ALL
+  SELECT f.video_id, f.k, f.d0 - f.c * b.m0, f.d1 - f.c * b.m1 FROM back b JOIN forth f ON f.video_id = b.video_id AND f.k = b.k - 1
+), inner_m AS (
+  SELECT * FROM back
+  UNION ALL
+  SELECT p.video_id, 0, ((h0 + h1) * p.m0 - h0 * q.m0) / h1, ((h0 + h1) * p.m1 - h0 * q.m1) / h1
+  FROM back p JOIN eq e ON e.video_id = p.video_id AND e.k = 1 JOIN back q ON q.video_id = p.video_id AND q.k = 2 WHERE p.k = 1
+  UNION ALL
+  SELECT p.video_id, n - 1, ((h0 + h1) * p.m0 - h1 * q.m0) / h0, ((h0 + h1) * p.m1 - h1 * q.m1) / h0
+  FROM eq e JOIN back p ON p.video_id = e.video_id AND p.k = e.k JOIN back q ON q.video_id = e.video_id AND q.k = e.k - 1 WHERE e.k = n - 2
+  UNION ALL
+  SELECT video_id, unnest([0, 1, 2]), 2 * r0 / (h0 + h1), 2 * r1 / (h0 + h1) FROM tl_curve WHERE n = 3 AND k = 1
+)
+SELECT c.video_id, c.k, t, y0, y1, coalesce(m0, 0) AS m0, coalesce(m1, 0) AS m1 FROM tl_curve c LEFT JOIN inner_m USING (video_id, k)"""
+
+
+def _curve_sql(j: int) -> str:
+    return f"""CASE WHEN r.t IS NULL THEN l.y{j} ELSE (l.m{j} * pow(r.t - z.t, 3) + r.m{j} * pow(z.t - l.t, 3)) / (6 * (r.t - l.t))
+  + (l.y{j} / (r.t - l.t) - l.m{j} * (r.t - l.t) / 6) * (r.t - z.t) + (r.y{j} / (r.t - l.t) - r.m{j} * (r.t - l.t) / 6) * (z.t - l.t) END"""
+
+
+SQL_VIEWS["tl_raw"] = f"""
+SELECT z.video_id, z.g, z.t, {_curve_sql(0)} AS arousal, {_curve_sql(1)} AS valence
+FROM (SELECT g.video_id, g.g, g.t, greatest(0, least(coalesce((SELECT max(k) FROM tl_knots x WHERE x.video_id = g.video_id AND x.t <= g.t), 0), (SELECT max(k) FROM tl_knots x WHERE x.video_id = g.video_id) - 1)) AS k FROM tl_grid g) z
+JOIN tl_bent l ON l.video_id = z.video_id AND l.k = z.k LEFT JOIN tl_bent r ON r.video_id = z.video_id AND r.k = z.k + 1"""
+
+
+@query("w15_smooth_timeline", f"""
+SELECT z.video_id, z.g, round(z.t, 6) AS t, round(l.agreement, 6) AS agreement, l.emotion_id::INT AS emotion_id, round(a, 6) AS arousal, round(v, 6) AS valence
+FROM tl_raw z JOIN tl_line l USING (video_id, g) JOIN (
+  SELECT video_id, g, greatest(0.0, least(1.0, sum(w * arousal))) AS a, greatest(0.0, least(1.0, sum(w * valence))) AS v
+  FROM (SELECT video_id, g, w / (SELECT sum(exp(-0.5 * pow(o / 3.0, 2))) FROM range(-12, 13) r(o)) AS w,
+          CASE WHEN s < {POINTS} THEN s ELSE {2 * POINTS - 1} - s END AS s
+        FROM (SELECT video_id, g, exp(-0.5 * pow(o / 3.0, 2)) AS w, (g + o + {2 * POINTS}) % {2 * POINTS} AS s FROM tl_grid, range(-12, 13) r(o))) x
+  JOIN (SELECT video_id, g AS s, arousal, valence FROM tl_raw) y USING (video_id, s) GROUP BY ALL) USING (video_id, g)""")
 def _(t):
     return r6(T.smooth_timeline(timeline_rows(t), POINTS), "arousal", "valence", "agreement", "t")
 
