@@ -12,7 +12,7 @@ from ..functions.pairs import clean_pair_text
 from ..functions.text import clean_early, clean_late, clean_text, let, words
 from ..functions.vocab import EMOTION_CLASSES
 from .intensity import correlation
-from .scan import chunk_of, exact_quantiles, ordered_scan
+from .scan import exact_quantiles, ordered_scan
 
 
 def keep_first(df: DataFrame, keys: Sequence[Column | str], order: str) -> DataFrame:
@@ -277,7 +277,7 @@ def text_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.max("len").alias("max_length"),
         F.count_if(F.col("len") < 10).alias("very_short"),
     )
-    middle = exact_quantiles(long, ["name"], "len", {"median_length": 0.5}, chunk_of(F.col("len"), 64))
+    middle = exact_quantiles(long, ["name"], "len", {"median_length": 0.5})
     return plain.join(middle, "name", "left")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..functions.vocab import CONFIDENCE_GATES, EMOTION_CLASSES
 from .intensity import correlation
-from .scan import chunk_of, exact_quantiles, ordered_scan, value_ranks
+from .scan import RANGE, by_ranges, exact_quantiles, ordered_scan, value_ranks
 
 
 def confusion_cells(df: DataFrame, true: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -105,7 +105,7 @@ def length_effects(df: DataFrame, text: str, hit: Column) -> DataFrame:
     plain = rows.groupBy("hit").agg(
         F.count(F.lit(1)).alias("n"), F.avg("chars").alias("mean_chars"), F.avg("words").alias("mean_words")
     )
-    middle = exact_quantiles(rows, ["hit"], "words", {"median_words": 0.5}, chunk_of(F.col("words"), 16))
+    middle = exact_quantiles(rows, ["hit"], "words", {"median_words": 0.5})
     return plain.join(middle, "hit")
 
 
@@ -174,13 +174,14 @@ def macro_auc(areas: DataFrame) -> DataFrame:
     return areas.agg(F.avg("auc").alias("macro_auc"), F.count("auc").alias("groups"))
 
 
-def roc_auc(df: DataFrame, keys: Sequence[str], score: str, positive: str, width: float) -> DataFrame:
+def roc_auc(df: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFrame:
     """Area under the ROC curve with average ranks for ties; null without both classes."""
     group = list(keys)
     counts = df.groupBy(*group, score).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(positive).cast("long")).alias("pos")
     )
-    ranked = ordered_scan(counts, group, [score], chunk_of(F.col(score), width), sums={"below": F.col("n")})
+    dealt = by_ranges(counts, [*group, score], "score-counts")
+    ranked = ordered_scan(dealt, group, [score], F.col(RANGE), sums={"below": F.col("n")})
     rank = F.col("below") + (F.col("n") + 1) / 2
     sums = ranked.groupBy(*group).agg(
         F.sum(rank * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q")
@@ -207,7 +208,7 @@ def multilabel_f1(df: DataFrame, label: str, p: str, y: str, threshold: float =
     )
 
 
-def regression_metrics(df: DataFrame, keys: Sequence[str], pred: str, true: str, width: float = 1 / 1024, at_least: int = 1) -> DataFrame:
+def regression_metrics(df: DataFrame, keys: Sequence[str], pred: str, true: str, at_least: int = 1) -> DataFrame:
     """Errors, deviations, Pearson and Spearman; correlations null when flat."""
     keys = list(keys)
     group = keys or ["__all"]
@@ -223,8 +224,8 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], pred: str, true: str,
         F.when(~flat, correlation(x, y)).alias("pearson"),
     ).where(F.col("n") >= at_least)
     cells = base.groupBy(*group, pred, true).agg(F.count(F.lit(1)).alias("w"))
-    rx = value_ranks(base, group, pred, chunk_of(x, width)).select(*group, pred, F.col("mean_rank").alias("rx"))
-    ry = value_ranks(base, group, true, chunk_of(y, width)).select(*group, true, F.col("mean_rank").alias("ry"))
+    rx = value_ranks(base, group, pred).select(*group, pred, F.col("mean_rank").alias("rx"))
+    ry = value_ranks(base, group, true).select(*group, true, F.col("mean_rank").alias("ry"))
     totals = plain.select(*group, ((F.col("n") + 1) / 2).alias("m"))
     ranked = cells.join(rx, [*group, pred]).join(ry, [*group, true]).join(totals, group)
     a, b, w = F.col("rx") - F.col("m"), F.col("ry") - F.col("m"), F.col("w")

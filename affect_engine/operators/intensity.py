@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .scan import chunk_of, exact_quantiles, quantiles_of_ranks, value_ranks
-
-# Scores lie in [0, 1]; a value chunk of 1/1024 keeps each chunk small.
-SCORE_CHUNK = 1 / 1024
+from .scan import exact_quantiles, quantiles_of_ranks, value_ranks
 
 
 def _not_blank(text: Column) -> Column:
@@ -73,16 +70,12 @@ def thresholds(
         found = df.groupBy(*keys).agg(F.avg(value).alias("threshold"))
     else:
         p = 0.6 if method == "percentile_60" else 0.5
-        found = exact_quantiles(
-            df, keys, value, {"threshold": p}, chunk_of(F.col(value), SCORE_CHUNK)
-        )
+        found = exact_quantiles(df, keys, value, {"threshold": p})
     if method == "mad":
         away = df.join(found, list(keys)).select(
             *keys, F.abs(F.col(value) - F.col("threshold")).alias("__away")
         )
-        spread = exact_quantiles(
-            away, keys, "__away", {"__mad": 0.5}, chunk_of(F.col("__away"), SCORE_CHUNK)
-        )
+        spread = exact_quantiles(away, keys, "__away", {"__mad": 0.5})
         found = found.join(spread, list(keys)).select(
             *keys, (F.col("threshold") + F.col("__mad")).alias("threshold")
         )
@@ -99,9 +92,7 @@ def flag_significant(
     The rank comes from counts per distinct value, so a group of any size is
     spread over tasks; rows join it by value.
     """
-    ranks = materialize(
-        value_ranks(df, keys, value, chunk_of(F.col(value), SCORE_CHUNK)), "score-ranks"
-    )
+    ranks = materialize(value_ranks(df, keys, value), "score-ranks")
     if method in ("mean", "mad"):
         limits = thresholds(df, keys, value, method)
     else:
@@ -140,7 +131,7 @@ def score_statistics(
         F.max(value).alias("max"),
     )
     wanted = {f"p{p}": p / 100 for p in probabilities}
-    q = exact_quantiles(df, keys, value, wanted, chunk_of(F.col(value), SCORE_CHUNK))
+    q = exact_quantiles(df, keys, value, wanted)
     out = plain.join(q, list(keys), "left")
     columns = [c for c in out.columns if c not in keys]
     return out.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])

@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _CHUNK = "__chunk"
 _GLOBAL = "__all"
 
@@ -119,18 +121,35 @@ def ordered_scan(
     return joined.select(*out)
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, chunk: Column) -> DataFrame:
+RANGE = "__range"
+
+
+def by_ranges(df: DataFrame, order: Sequence[str], name: str = "ranges") -> DataFrame:
+    """``df`` in ranges of ``order`` of about equal size, numbered in ``RANGE``.
+
+    Spark samples the rows for the borders, so values that lie close together
+    are spread like any others. The rows are written once, as another run might
+    draw other borders.
+    """
+    dealt = df.repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id())
+    return materialize(dealt, name)
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, chunk: Column | None = None) -> DataFrame:
     """One row per distinct value: its count, rows below it, and its mean rank.
 
     Equal values are merged map-side first, so ties cost nothing and the result
-    feeds percent ranks, quantiles, AUC and rank correlation alike.
+    feeds percent ranks, quantiles, AUC and rank correlation alike. Values are
+    dealt in ranges drawn from themselves, unless ``chunk`` names others.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n_equal"))
     )
-    ranked = ordered_scan(counts, keys, [value], chunk, sums={"n_below": F.col("n_equal")})
+    if chunk is None:
+        counts, chunk = by_ranges(counts, [*keys, value], "value-counts"), F.col(RANGE)
+    ranked = ordered_scan(counts, keys, [value], chunk, sums={"n_below": F.col("n_equal")}).drop(RANGE)
     return ranked.withColumn("mean_rank", F.col("n_below") + (F.col("n_equal") + 1) / 2)
 
 
@@ -139,7 +158,7 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
-    chunk: Column,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Exact linear quantiles per group, without holding a group in one task."""
     group = list(keys)

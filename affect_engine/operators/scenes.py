@@ -200,7 +200,7 @@ def segment_problems(segments: DataFrame, key: str = "video_id") -> DataFrame:
 
 
 def duration_statistics(
-    df: DataFrame, keys: Sequence[str], duration: str = "duration", width: float = 60.0
+    df: DataFrame, keys: Sequence[str], duration: str = "duration"
 ) -> DataFrame:
     """Count, mean, median, extremes and total of a duration per group."""
     plain = df.groupBy(*keys).agg(
@@ -210,9 +210,7 @@ def duration_statistics(
         F.max(duration).alias("longest"),
         F.sum(duration).alias("total"),
     )
-    middle = exact_quantiles(
-        df, keys, duration, {"median": 0.5}, chunk_of(F.col(duration), width)
-    )
+    middle = exact_quantiles(df, keys, duration, {"median": 0.5})
     return plain.join(middle, list(keys))
 
 

@@ -375,7 +375,5 @@ def segment_statistics(segments: DataFrame, key: str = "video_id") -> DataFrame:
         F.avg(F.when(spoken, n)).alias("average_words"),
         F.avg(F.when(spoken, s)).alias("average_sentences"),
     )
-    middle = exact_quantiles(
-        segments.where(spoken), [key], "word_count", {"median_words": 0.5}, chunk_of(n, 16)
-    )
+    middle = exact_quantiles(segments.where(spoken), [key], "word_count", {"median_words": 0.5})
     return plain.join(middle, key, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import chunk_of, ordered_scan
+from .scan import RANGE, by_ranges, chunk_of, ordered_scan
 
 FRAME_CHUNK = 16384
 
@@ -71,14 +71,14 @@ def silence_regions(
     return runs.where(F.col("end") - F.col("start") >= min_duration - 1e-9).drop("__island")
 
 
-def signal_to_noise(frames: DataFrame, chunk_width: float, key: str = "track") -> DataFrame:
+def signal_to_noise(frames: DataFrame, key: str = "track") -> DataFrame:
     """Ratio of the frame levels at positions int(.9 n) and n // 10, in decibels.
 
     Null up to ten frames or when the quiet level is practically zero.
     """
     counts = frames.groupBy(key, "rms").agg(F.count(F.lit(1)).alias("n"))
     ranked = ordered_scan(
-        counts, [key], ["rms"], chunk_of(F.col("rms"), chunk_width), sums={"below": F.col("n")}
+        by_ranges(counts, [key, "rms"], "level-counts"), [key], ["rms"], F.col(RANGE), sums={"below": F.col("n")}
     )
     totals = frames.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
     located = ranked.join(totals, key)

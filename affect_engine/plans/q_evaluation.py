@@ -180,12 +180,12 @@ AUC = """SELECT {k}, round((sum(r) FILTER (y = 1) - n1 * (n1 + 1) / 2.0) / (n1 *
 
 @query("x12_roc_auc", AUC.format(k="label", s="multi"))
 def _(t):
-    return r6(E.roc_auc(multi(t), ["label"], "p", "y", 1 / 512), "auc")
+    return r6(E.roc_auc(multi(t), ["label"], "p", "y"), "auc")
 
 
 @query("x12_macro_auc", f"SELECT round(avg(auc), 6) AS macro_auc, count(auc) AS groups FROM ({AUC.format(k='label', s='multi').replace('round(', '(').replace(', 6)', ')')})")
 def _(t):
-    return r6(E.macro_auc(E.roc_auc(multi(t), ["label"], "p", "y", 1 / 512)), "macro_auc")
+    return r6(E.macro_auc(E.roc_auc(multi(t), ["label"], "p", "y")), "macro_auc")
 
 
 @query("x12_multilabel_f1", """
@@ -211,7 +211,7 @@ def _(t):
         F.lit("valence").alias("dimension"), F.col("valence").alias("p"), (label == "joy").cast("int").alias("y"))
     arousal = both.where(F.col("arousal").isNotNull() & label.isin("anger", "fear", "surprise", "sadness", "neutral")).select(
         F.lit("arousal").alias("dimension"), F.col("arousal").alias("p"), label.isin("anger", "fear", "surprise").cast("int").alias("y"))
-    return r6(E.roc_auc(valence.unionByName(arousal), ["dimension"], "p", "y", 1 / 512), "auc")
+    return r6(E.roc_auc(valence.unionByName(arousal), ["dimension"], "p", "y"), "auc")
 
 
 def regression_sql(source, k=None, having=""):

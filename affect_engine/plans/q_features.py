@@ -308,14 +308,14 @@ SELECT track, CASE WHEN total > 10 AND noise > 1e-10 AND signal > noise THEN 20*
 
 @query("w19_signal_to_noise", "SELECT track, round(snr_db, 6) AS snr_db FROM snr")
 def _(t):
-    return r6(G.signal_to_noise(t.frames, 0.001), "snr_db")
+    return r6(G.signal_to_noise(t.frames), "snr_db")
 
 
 @query("w19_quality_flags", """
 SELECT track, concat_ws(',', CASE WHEN peak > 0.99 THEN 'clipping' END, CASE WHEN abs(mean) > 0.01 THEN 'dc_offset' END, CASE WHEN level_db < -40 THEN 'too_quiet' END, CASE WHEN snr_db < 20 THEN 'low_snr' END) AS flags
 FROM levels LEFT JOIN snr USING (track)""")
 def _(t):
-    flags = G.quality_flags(G.track_levels(samples(t)), G.signal_to_noise(t.frames, 0.001))
+    flags = G.quality_flags(G.track_levels(samples(t)), G.signal_to_noise(t.frames))
     return flags.select("track", F.array_join("flags", ",").alias("flags"))
 
 

@@ -308,7 +308,7 @@ def _(t):
 SELECT video_id, count(*) AS n, round(avg(duration), 9) AS average, round(min(duration), 9) AS shortest, round(max(duration), 9) AS longest,
   round(sum(duration), 9) AS total, round(quantile_cont(duration, 0.5), 9) AS median FROM shots GROUP BY video_id""")
 def _(t):
-    out = S.duration_statistics(t.shots, ["video_id"], width=10.0)
+    out = S.duration_statistics(t.shots, ["video_id"])
     return out.select("video_id", "n", *[F.round(c, 9).alias(c) for c in ("average", "shortest", "longest", "total", "median")])
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affect_engine.functions.vocab import OVERLAP_STOPWORDS
-from affect_engine.operators import greedy, scan, scenes, segments, timeline
+from affect_engine.operators import evaluation, greedy, scan, scenes, segments, timeline
 
 
 def test_scan_crosses_chunks(spark):
@@ -40,6 +40,29 @@ def test_quantiles_match_numpy(spark):
         assert np.allclose([r.a, r.b, r.c], want)
 
 
+def test_scores_packed_into_a_millionth(spark):
+    """Borders come from the values, so no range holds them all."""
+    rng = np.random.default_rng(6)
+    values = 0.4 + np.round(rng.random(4000) * 1e-6, 12)
+    hit = rng.random(4000) < 0.3
+    rows = [(i % 2, float(v), bool(h)) for i, (v, h) in enumerate(zip(values, hit, strict=True))]
+    df = spark.createDataFrame(rows, "k int, v double, y boolean").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r[1] for r in scan.by_ranges(df, ["v"]).groupBy(scan.RANGE).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2000
+        out = scan.exact_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.5}).collect()
+        area = {r.k: r.auc for r in evaluation.roc_auc(df, ["k"], "v", "y").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for r in out:
+        assert np.allclose([r.a, r.b], np.percentile(values[r.k :: 2], [10, 50]), rtol=0, atol=1e-15)
+    for k, auc in area.items():
+        a, b = values[k::2][hit[k::2]], values[k::2][~hit[k::2]]
+        want = (np.sign(a[:, None] - b[None]).mean() + 1) / 2
+        assert abs(auc - want) < 1e-12
+
+
 @pytest.mark.parametrize("chunk", [3, 2048])
 def test_starts_follow_the_chain(spark, chunk):
     rng = random.Random(3)
