@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, StringIndexer, VectorAssembler, Word2Vec
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sentences import dot, norm
+from ..functions.sentences import norm
 from ..functions.text import let, text_counters, words
 from ..session import materialize
-from .corpus import hash_chunk
+from . import neighbours
 from .scan import chunk_of, ordered_scan
 
 RESERVED_TOKENS = 8
@@ -185,51 +185,14 @@ def embedding_statistics(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
-BLOCK_ROWS = 1024
-
-
-def _blocks(df: DataFrame, key: str, vector: str, names: tuple[str, str]) -> DataFrame:
-    """Rows packed into blocks by the hash of their key, with their unit vectors."""
-    n = max(1, -(-df.count() // BLOCK_ROWS))
-    unit = F.transform(vector, lambda x: F.try_divide(x.cast("double"), norm(F.col(vector))))
-    rows = df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias(names[0]), F.struct(F.col(key).alias("k"), unit.alias("v")).alias("r"))
-    return rows.groupBy(names[0]).agg(F.collect_list("r").alias(names[1]))
-
-
-def _block_pairs(probes: DataFrame, table: DataFrame, key: str, vector: str) -> DataFrame:
-    """Every block of probes beside every block of the table.
-
-    A block holds about ``BLOCK_ROWS`` rows, so a task holds two of them however
-    many probes there are. The table's blocks are sent to each probe block by
-    key; each probe block's number is a key of its own.
-    """
-    p = _blocks(probes, key, vector, ("__pb", "__p"))
-    t = _blocks(table, key, vector, ("__tb", "__t"))
-    # One number per block.
-    numbers = [r[0] for r in p.select("__pb").collect()]
-    sent = t.withColumn("__pb", F.explode(F.lit(numbers).cast("array<bigint>")))
-    return sent.join(p, "__pb")
-
-
 def probe_similarities(probes: DataFrame, table: DataFrame, key: str, vector: str) -> DataFrame:
     """Cosine of every row of ``table`` with each probe, in blocks."""
-    pairs = _block_pairs(probes, table, key, vector)
-    probe = pairs.select("__t", F.explode("__p").alias("p"))
-    rows = probe.select("p", F.explode("__t").alias("t")).where("p.k <> t.k")
-    return rows.select(
-        F.col("p.k").alias("probe"), F.col("t.k").alias("neighbour"), dot(F.col("p.v"), F.col("t.v")).alias("cosine")
-    )
-
+    return neighbours.similarities(probes, table, key, vector)
 
-def nearest(probes: DataFrame, table: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The k rows of ``table`` most similar to each probe.
 
-    The rank limit applies before the shuffle, so at most k rows per probe
-    leave a task however large the table is.
-    """
-    order = Window.partitionBy("probe").orderBy(F.desc("cosine"), "neighbour")
-    scored = probe_similarities(probes, table, key, vector)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def nearest(probes: DataFrame, table: DataFrame, key: str, vector: str, k: int, **options) -> DataFrame:
+    """The k rows of ``table`` most similar to each probe, by the index of ``neighbours``."""
+    return neighbours.nearest(probes, table, key, vector, k, **options).withColumnRenamed("score", "cosine")
 
 
 def class_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -249,34 +212,6 @@ def word_vectors(df: DataFrame, tokens: str, size: int = 100, seed: int = 42, mi
     return Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol=tokens, outputCol="vector", **options).fit(df)
 
 
-def oversample(df: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: str = "42") -> DataFrame:
-    """Fill minority classes with points between seeded neighbours of one class.
-
-    Neighbours are taken along a seeded order inside a label, k steps at most,
-    rather than by exact distance, so no class is compared pairwise. New rows
-    get a null key.
-    """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    top = sizes.agg(F.max("__n").alias("__top"))
-    # One row per class.
-    wanted = sizes.join(F.broadcast(top), how="cross")
-    hashed = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))))
-    ranked = ordered_scan(hashed, [label], ["__h", key], hash_chunk(F.col("__h")), position="__r").join(wanted, label)
-    missing = F.col("__top") - F.col("__n")
-    copies = F.floor(missing / F.col("__n")) + F.when(F.col("__r") <= missing % F.col("__n"), 1).otherwise(0)
-    seeds = ranked.where(copies > 0).select(
-        label, key, "__r", "__n", vector, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("__c")
-    ).withColumn("__o", F.pmod(F.col("__r") + F.pmod(F.col("__c") - 1, F.lit(k)), F.col("__n")) + 1)
-    others = ranked.select(label, F.col("__r").alias("__o"), F.col(vector).alias("__other"))
-    gap = F.pmod(F.xxhash64(key, "__c"), F.lit(1000)) / 1000.0
-    made = seeds.join(others, [label, "__o"]).withColumn("__g", gap).select(
-        F.lit(None).cast(dict(df.dtypes)[key]).alias(key),
-        label,
-        F.zip_with(vector, "__other", lambda a, b: (a + F.col("__g") * (b - a)).cast("float")).alias(vector),
-    )
-    return df.select(key, label, vector).unionByName(made)
-
-
 def train_classifier(df: DataFrame, text: str, label: str, kind: str = "logistic", features: int = 4096):
     """Fit one of three classifiers on hashed word and word-pair counts.
 

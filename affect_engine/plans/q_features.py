@@ -9,6 +9,7 @@ from ..operators import features as M
 from ..operators import signal as G
 from ..operators import timeline as T
 from ..operators.ensemble import align_to_reference, timeline_vote
+from ..operators import neighbours as N
 from ..operators.scan import chunk_of
 from .catalog import query
 from .derived import SQL_CLASSES, SQL_VIEWS, TURN_CHUNK
@@ -156,11 +157,40 @@ def _(t):
     return M.polarity(t.documents.select("doc_id", "text"), "doc_id", "text", lexicon)
 
 
-@query("g10_minority_oversampling", """
-SELECT label, (SELECT max(n) FROM (SELECT count(*) AS n FROM embeddings WHERE vec_id % (label + 2) <> 0 GROUP BY label)) AS n FROM embeddings WHERE vec_id % (label + 2) <> 0 GROUP BY label""")
-def _(t):
-    rows = t.embeddings.where(F.col("vec_id") % (F.col("label") + 2) != 0)
-    return M.oversample(rows, "vec_id", "label", "embedding").groupBy("label").agg(F.count("*").alias("n"))
+_DIFF = "list_sum(list_transform(list_zip(p.v, e.v), lambda x : (x[1] - x[2]) * (x[1] - x[2])))"
+SQL_VIEWS["uneven"] = """
+SELECT vec_id, CASE WHEN vec_id % 10 < 6 THEN 0 WHEN vec_id % 10 < 9 THEN 1 ELSE 2 END AS class, list_transform(embedding, lambda c : c::DOUBLE) AS v FROM embeddings"""
+
+
+def _drawn_sql(name: str) -> str:
+    return f"('0x' || substr(md5(s.vec_id || ':' || copy || ':42:{name}'), 1, 13))::BIGINT"
+
+
+@query("g10_minority_oversampling", f"""
+WITH sized AS (SELECT class, count(*) AS n, max(count(*)) OVER () AS top FROM uneven GROUP BY class),
+seeds AS (SELECT u.*, n, top, row_number() OVER (PARTITION BY u.class ORDER BY md5(vec_id || ':42'), vec_id) - 1 AS place FROM uneven u JOIN sized USING (class) WHERE n < top),
+near AS (
+  SELECT a, list(b ORDER BY rank) AS bs FROM (
+    SELECT p.vec_id AS a, e.vec_id AS b, row_number() OVER (PARTITION BY p.vec_id ORDER BY round({_DIFF}, 12), e.vec_id) AS rank
+    FROM seeds p JOIN seeds e ON e.class = p.class AND e.vec_id <> p.vec_id) WHERE rank <= 5 GROUP BY a),
+made AS (
+  SELECT s.class, copy, s.vec_id AS seed_key, s.v, bs[{_drawn_sql('pick')} % len(bs) + 1] AS b, {_drawn_sql('part')}::DOUBLE / 4503599627370496 AS part
+  FROM (SELECT class, n, unnest(range(top - n)) AS copy FROM sized WHERE n < top) c JOIN seeds s ON s.class = c.class AND s.place = c.copy % c.n JOIN near ON a = s.vec_id)
+SELECT vec_id, class, NULL::BIGINT AS copy, NULL::BIGINT AS seed_key, NULL::BIGINT AS neighbour, round(list_sum(v), 4) AS total,
+  round(list_sum(list_transform(list_zip(v, range(len(v))), lambda x : x[1] * x[2])), 3) AS weighted FROM uneven
+UNION ALL
+SELECT NULL, m.class, copy, seed_key, b, round(list_sum(list_transform(list_zip(m.v, e.v), lambda x : x[1] + part * (x[2] - x[1]))), 4),
+  round(list_sum(list_transform(list_zip(m.v, e.v, range(len(e.v))), lambda x : (x[1] + part * (x[2] - x[1])) * x[3])), 3)
+FROM made m JOIN uneven e ON e.vec_id = b""")
+def _(t):
+    """Three uneven classes; a made vector is compared by its sum and its sum weighted by place."""
+    tens = F.col("vec_id") % 10
+    rows = t.embeddings.select("vec_id", F.when(tens < 6, 0).when(tens < 9, 1).otherwise(2).alias("class"), F.col("embedding").cast("array<double>").alias("v"))
+    full = N.oversample(rows, "vec_id", "class", "v")
+    added = lambda v: F.aggregate(v, F.lit(0.0), lambda s, c: s + c)
+    return full.select(
+        "vec_id", "class", "copy", "seed_key", "neighbour", F.round(added(F.col("v")), 4).alias("total"),
+        F.round(added(F.transform("v", lambda c, i: c * i)), 3).alias("weighted"))
 
 
 SQL_VIEWS["token_counts"] = f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY token"
