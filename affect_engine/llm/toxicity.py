@@ -27,8 +27,8 @@ from .tables import free_name
 from .words import find_words, seeds, slices, text_bytes
 
 BITS = 20
-#: Learning rows at most, the lowest by the hash of their text; of each class.
-MAX_ROWS = 12_000
+#: Learning rows at most, those with the lowest hash of their id.
+MAX_ROWS = 24_000
 SHARDS = 2
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
@@ -95,15 +95,15 @@ def _train(batches):
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """Weights (bias last) from the documents that ``labels (doc_id, label 0/1)`` names.
 
-    Of each class the ``max_rows`` rows with the lowest id hash are used. That
-    bound is a parameter of training only; scoring has none. It also bounds the
-    id list that is broadcast to pick their texts, so no text is shuffled but
-    theirs.
+    The ``max_rows`` rows with the lowest id hash are used, of both classes as
+    they come, so the odds of the classes, and with them what a score means, are
+    those of all labelled rows. That bound is a parameter of training only;
+    scoring has none. It also bounds the id list that is broadcast to pick their
+    texts, so no text is shuffled but theirs.
     """
     rows = labels.filter("label in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label"))
     rows = rows.withColumn("order", F.xxhash64("_id", F.lit(7)))
-    sample = rows.filter("label = 1").orderBy("order").limit(max_rows)
-    sample = sample.unionByName(rows.filter("label = 0").orderBy("order").limit(max_rows))
+    sample = rows.orderBy("order", "label").limit(max_rows)
     texts = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("text"))
     named = texts.join(F.broadcast(sample), F.col("_key") == F.col("_id")).select("text", "label", "order")
     dealt = named.repartition(shards, "order").sortWithinPartitions("order", "label")

@@ -176,3 +176,42 @@ def test_ftrl_weights_are_sparse():
         model.learn(np.array([1, 9]), 0)
     w = model.weights()
     assert w[0] > 0 > w[1] and np.count_nonzero(w[2:9]) == 0
+
+
+def test_a_bound_on_learning_rows_keeps_scores_calibrated(spark, docs):
+    rng = random.Random(2)
+    rows = []
+    for i in range(6000):
+        body = [f"w{rng.randrange(300)}" for _ in range(25)]
+        if i % 10 == 0:
+            body[rng.randrange(25)] = rng.choice(["vile", "rotten"])
+        rows.append((i, " ".join(body)))
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(0, 6000, 2)], "doc_id long, label int")
+    frame = docs(rows)
+    for bound in (700, 2000):
+        scored = toxicity.score(frame, toxicity.fit(frame, labels, max_rows=bound)).filter("doc_id % 2 = 1 OR doc_id % 10 = 0").collect()
+        clean = [r.score < 0.3 for r in scored if r.doc_id % 10]
+        assert sum(clean) / len(clean) >= 0.95
+    caught = [r.score >= 0.3 for r in scored if r.doc_id % 10 == 0]
+    assert sum(caught) / len(caught) >= 0.95
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(3)
+    rows = [(sorted(rng.sample(range(12), rng.randrange(1, 6))), rng.randrange(2)) for _ in range(300)]
+    model = toxicity.Ftrl(12, alpha=0.5, beta=1.5, l1=0.4, l2=0.7)
+    z, n = [0.0] * 12, [0.0] * 12
+
+    def weight(i):
+        if abs(z[i]) <= 0.4:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * 0.4) / ((1.5 + n[i] ** 0.5) / 0.5 + 0.7)
+
+    for at, label in rows:
+        model.learn(np.array(at), label)
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in at:
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * w[i]
+            n[i] += g * g
+    assert np.allclose(model.weights(), [weight(i) for i in range(12)])
