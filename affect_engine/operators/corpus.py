@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..functions.pairs import clean_pair_text
 from ..functions.text import clean_early, clean_late, clean_text, let, words
 from ..functions.vocab import EMOTION_CLASSES
 from .intensity import correlation
-from .scan import exact_quantiles, ordered_scan
+from .scan import RANGE, by_ranges, exact_quantiles, ordered_scan
 
 
 def keep_first(df: DataFrame, keys: Sequence[Column | str], order: str) -> DataFrame:
@@ -132,34 +134,55 @@ def build_multilabel(
     )
 
 
+def greedy_picks(sets: Sequence[tuple[Sequence[str], int]], target: int, seed: str) -> list[int]:
+    """How many rows of each label set a one-by-one greedy pick takes.
+
+    ``sets`` lists (labels, number of rows). Each step takes a row of the set whose
+    labels lack the most rows together; ties are drawn by a seeded hash.
+    """
+    names = {label: i for i, label in enumerate(sorted({x for labels, _ in sets for x in labels}))}
+    has = np.zeros((len(sets), len(names)), np.int64)
+    for i, (labels, _) in enumerate(sets):
+        has[i, [names[x] for x in labels]] = 1
+    left = np.array([n for _, n in sets], np.int64)
+    lacking = np.full(len(names), target, np.int64)
+    taken = np.zeros(len(sets), np.int64)
+    marks = ["|".join(labels) for labels, _ in sets]
+    step = 0
+    while len(sets):
+        score = np.where(left > 0, has @ np.maximum(lacking, 0), 0)
+        best = score.max()
+        if best <= 0:
+            break
+        ties = np.flatnonzero(score == best)
+        pick = min(ties, key=lambda i: hashlib.md5(f"{marks[i]}:{step}:{seed}".encode()).hexdigest())
+        taken[pick] += 1
+        left[pick] -= 1
+        lacking -= has[pick]
+        step += 1
+    return taken.tolist()
+
+
 def balance_multilabel(
     df: DataFrame, key: str, labels: str, target: int, seed: str = "42"
 ) -> DataFrame:
-    """Rows chosen so that every label reaches ``target`` where supply allows.
+    """Rows chosen greedily until every label has ``target`` where supply allows.
 
-    The one-by-one greedy pick is replaced by two whole-table rounds: each
-    round ranks the unused rows of each label that still lacks rows, in a
-    seeded order, and takes as many as are missing. A row is claimed through
-    its scarcest missing label, so one round rarely overshoots another label.
+    A greedy pick takes, one by one, a row whose labels lack the most rows
+    together. Rows with the same labels are as good as each other, so the pick
+    runs on the number of rows per label set, of which there are few whatever
+    the number of rows; each set then gives its first rows in a seeded order.
     """
-    hashed = df.select(key, labels, F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))).alias("__h"))
-    long = hashed.select(key, "__h", F.explode(labels).alias("label"))
-    supply = long.groupBy("label").agg(F.count(F.lit(1)).alias("supply"))
-    # One row per label.
-    claimed = long.join(supply, "label").groupBy(key, "__h").agg(
-        F.min(F.struct("supply", "label")).alias("__first")
-    ).select(key, "__h", F.col("__first.label").alias("label"))
-    ranked = ordered_scan(claimed, ["label"], ["__h", key], hash_chunk(F.col("__h")), position="rank")
-    chosen = ranked.where(F.col("rank") <= target).select(key)
-    picked = long.join(chosen, key, "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("have"))
-    missing = supply.join(picked, "label", "left").select(
-        "label", (F.lit(target) - F.coalesce("have", F.lit(0))).alias("missing")
-    ).where("missing > 0")
-    rest = long.join(chosen, key, "left_anti").join(missing, "label")
-    more = ordered_scan(rest, ["label"], ["__h", key], hash_chunk(F.col("__h")), position="rank").where(
-        F.col("rank") <= F.col("missing")
-    )
-    return df.join(chosen.unionByName(more.select(key)).distinct(), key, "left_semi")
+    spark = df.sparkSession
+    marked = df.select(key, F.array_sort(F.array_distinct(labels)).alias("__set")).where(F.size("__set") > 0)
+    sets = [(list(r["__set"]), r["__n"]) for r in marked.groupBy("__set").agg(F.count(F.lit(1)).alias("__n")).collect()]
+    taken = greedy_picks(sets, target, seed)
+    wanted = spark.createDataFrame([(s, t) for (s, _), t in zip(sets, taken, strict=True) if t], "__set array<string>, __take long")
+    rows = marked.join(wanted, "__set").withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))))
+    name = F.array_join("__set", "\x1f")
+    dealt = by_ranges(rows.select(key, name.alias("__set"), "__h", "__take"), ["__set", "__h", key], "label-sets")
+    ranked = ordered_scan(dealt, ["__set"], ["__h", key], F.col(RANGE), position="rank")
+    return df.join(ranked.where(F.col("rank") <= F.col("__take")).select(key), key, "left_semi")
 
 
 def hash_chunk(digest: Column, digits: int = 3) -> Column:

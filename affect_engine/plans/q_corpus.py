@@ -111,17 +111,33 @@ def _(t):
 
 SQL_VIEWS["label_rows"] = f"""
 SELECT row_id, md5(row_id || '42') AS h, unnest(list_distinct({ANN})) AS label FROM corpus"""
-SQL_VIEWS["label_supply"] = "SELECT label, count(*) AS supply FROM label_rows GROUP BY label"
-SQL_VIEWS["first_claims"] = """
-SELECT row_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, row_id) AS rn FROM (
-  SELECT row_id, h, label FROM label_rows JOIN label_supply USING (label) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY supply, label) = 1)) WHERE rn <= 60"""
+SQL_VIEWS["label_sets"] = """
+SELECT name, count(*) AS n, list(row_id ORDER BY h, row_id) AS ids
+FROM (SELECT row_id, h, string_agg(label, '|' ORDER BY label) AS name FROM label_rows GROUP BY ALL) GROUP BY name"""
 
 
-@query("g5_balanced_downsample", """
-SELECT row_id FROM first_claims UNION
-SELECT row_id FROM (SELECT row_id, missing, row_number() OVER (PARTITION BY label ORDER BY h, row_id) AS rn FROM label_rows JOIN (
-  SELECT label, 60 - count(f.row_id) AS missing FROM label_rows LEFT JOIN first_claims f USING (row_id) GROUP BY label) USING (label)
-  WHERE missing > 0 AND row_id NOT IN (SELECT row_id FROM first_claims)) WHERE rn <= missing""")
+def greedy_sql(target: int) -> str:
+    """The pick one row at a time, its state in lists over label sets and labels."""
+    return f"""
+WITH RECURSIVE names AS (SELECT list(label ORDER BY label) AS labels FROM (SELECT DISTINCT label FROM label_rows)),
+sets AS (
+  SELECT list(name ORDER BY name) AS marks, list(n ORDER BY name) AS sizes, list(ids ORDER BY name) AS ids,
+    list(list_transform(string_split(name, '|'), lambda x : list_position(labels, x)) ORDER BY name) AS has, any_value(len(labels)) AS width
+  FROM label_sets, names
+), pick AS (
+  SELECT 0 AS step, list_transform(marks, lambda x : 0) AS taken, list_transform(range(width), lambda x : {target}) AS lacking FROM sets
+  UNION ALL
+  SELECT step + 1, list_transform(taken, lambda t, i : t + (i = p)::INT), list_transform(lacking, lambda v, j : v - list_contains(has[p], j)::INT)
+  FROM (
+    SELECT *, list_min(list_transform(list_filter(range(1, len(marks) + 1), lambda i : scores[i] = best), lambda i : {{'h': md5(marks[i] || ':' || step || ':42'), 'i': i}})).i AS p
+    FROM (SELECT *, list_max(scores) AS best FROM (
+      SELECT *, list_transform(range(1, len(marks) + 1), lambda i : CASE WHEN sizes[i] > taken[i] THEN list_sum(list_transform(has[i], lambda j : greatest(lacking[j], 0))) ELSE 0 END) AS scores
+      FROM pick, sets)) WHERE best > 0)
+), final AS (SELECT taken FROM pick ORDER BY step DESC LIMIT 1)
+SELECT unnest(own) AS row_id FROM (SELECT unnest(list_transform(ids, lambda x, i : x[1:taken[i]])) AS own FROM final, sets)"""
+
+
+@query("g5_balanced_downsample", greedy_sql(60))
 def _(t):
     rows = t.corpus.select("row_id", F.array_distinct(L.parse_annotations(F.col("labels_source"))).alias("labels"))
     return C.balance_multilabel(rows, "row_id", "labels", 60).select("row_id")

@@ -223,3 +223,27 @@ def test_memory_errors_by_message():
     assert scoring.in_shrinking_batches(score, list("abcde"), 8) == list("ABCDE")
     with pytest.raises(RuntimeError, match="other"):
         scoring.in_shrinking_batches(lambda t: (_ for _ in ()).throw(RuntimeError("other")), ["a"], 4)
+
+
+def test_balanced_rows_equal_a_greedy_pick(spark):
+    rng = random.Random(11)
+    names = "abcdef"
+    rows = [(i, rng.sample(names, k=rng.choice([0, 1, 1, 2, 3]))) for i in range(400)] + [(500, None), (501, ["a", "a", "b"])]
+    df = spark.createDataFrame(rows, "id long, labels array<string>")
+    chosen = {r.id for r in corpus.balance_multilabel(df, "id", "labels", 40).collect()}
+    have = {x: sum(x in set(labels or []) for i, labels in rows if i in chosen) for x in names}
+    # The pick one row at a time, over the rows themselves.
+    lacking, free, picked = dict.fromkeys(names, 40), {i: set(labels) for i, labels in rows if labels}, 0
+    while free:
+        score = {i: sum(max(lacking[x], 0) for x in own) for i, own in free.items()}
+        best = max(score, key=score.get)
+        if score[best] <= 0:
+            break
+        for x in free.pop(best):
+            lacking[x] -= 1
+        picked += 1
+    for x in names:
+        supply = sum(x in set(labels or []) for _, labels in rows)
+        assert have[x] >= min(40, supply) and 40 - lacking[x] >= min(40, supply)
+    assert abs(len(chosen) - picked) <= 6
+    assert corpus.balance_multilabel(df.limit(0), "id", "labels", 40).count() == 0
