@@ -219,11 +219,9 @@ SELECT a.n AS line_no, a.text AS en, b.text AS ru FROM (SELECT row_number() OVER
 JOIN (SELECT row_number() OVER (ORDER BY doc_id DESC) - 1 AS n, source || '/' || doc_id AS text FROM documents) b USING (n)""")
 def _(t):
     path = scratch_path(t.spark, "lines")
-    # A line-aligned file is one file: its order is the order of its lines.
-    flat = F.translate("text", "\n\r", "  ").alias("value")
-    t.documents.repartition(1).sortWithinPartitions("doc_id").select(flat).write.text(f"{path}/en")
-    other = F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("value")
-    t.documents.repartition(1).sortWithinPartitions(F.desc("doc_id")).select(other).write.text(f"{path}/ru")
+    SK.write_lines(t.documents, ["doc_id"], F.col("text"), f"{path}/en")
+    other = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    SK.write_lines(t.documents, [F.desc("doc_id")], other, f"{path}/ru")
     return RD.zip_lines(RD.numbered_lines(t.spark, f"{path}/en"), RD.numbered_lines(t.spark, f"{path}/ru"))
 
 

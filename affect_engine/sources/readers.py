@@ -85,18 +85,24 @@ def table(
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines of a text file with their number.
+    """Non-blank lines of a text file, or of a folder of them, with their number.
 
-    Lines are numbered inside their partition; the partitions' counts, one row
-    each, give the offsets.
+    Files follow each other by part number and name, as ``sinks.write_lines``
+    leaves them. Lines are numbered inside their stretch of a file; a manifest of
+    the stretches' counts, one row each, gives the offsets.
     """
-    lines = spark.read.text(path).where(F.col("value").isNotNull() & (F.col("value") != ""))
-    placed = lines.select(F.monotonically_increasing_id().alias("__m"), F.col("value").alias("text"))
-    placed = placed.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1))
-    counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__p", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__o"))
-    return placed.join(offsets, "__p").select((F.col("__i") + F.col("__o")).alias("line_no"), "text")
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    placed = lines.where(F.col("value").isNotNull() & (F.col("value") != "")).select(
+        F.col("value").alias("text"), "file_path", "file_block_start", F.monotonically_increasing_id().alias("__m")
+    )
+    stretch = ["file_path", "file_block_start"]
+    # The lines of a stretch are read in order by one task.
+    manifest = placed.groupBy(*stretch).agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    name = F.element_at(F.split("file_path", "/"), -1)
+    part = F.coalesce(F.nullif(F.regexp_extract(name, r"^part-(\d+)", 1), F.lit("")).cast("long"), F.lit(0))
+    earlier = Window.orderBy(part, name, "file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = manifest.select(*stretch, "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__o"))
+    return placed.join(offsets, stretch).select((F.col("__m") - F.col("__first") + F.col("__o")).alias("line_no"), "text")
 
 
 def zip_lines(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("en", "ru")) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.export import EXPORT_COLUMNS
@@ -32,6 +34,15 @@ def write_rows_and_statistics(rows: DataFrame, statistics: DataFrame, path: str,
     statistics.write.mode(mode).parquet(f"{path}/statistics")
 
 
+def write_lines(rows: DataFrame, order: Sequence[Column | str], line: Column, path: str, mode: str = "errorifexists") -> None:
+    """One line a row, in order over many files: each file holds a range of ``order``.
+
+    Line breaks inside a value become blanks, as they would add lines.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select(F.translate(line, "\n\r", "  ").alias("value")).write.mode(mode).text(path)
+
+
 def as_documents(rows: DataFrame, key: str, order: str, size: int = 1024) -> DataFrame:
     """JSON documents of at most ``size`` consecutive rows each."""
     fields = [c for c in rows.columns if c != key]

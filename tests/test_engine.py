@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from affect_engine.operators import corpus, ensemble, evaluation, export, scoring, splits
 from affect_engine.session import checkpoint_root
-from affect_engine.sources import readers
+from affect_engine.sources import readers, sinks
 from affect_engine.streaming import progress, text_stream
 
 
@@ -247,3 +247,24 @@ def test_balanced_rows_equal_a_greedy_pick(spark):
         assert have[x] >= min(40, supply) and 40 - lacking[x] >= min(40, supply)
     assert abs(len(chosen) - picked) <= 6
     assert corpus.balance_multilabel(df.limit(0), "id", "labels", 40).count() == 0
+
+
+def test_line_numbers_over_many_files(spark, tmp_path):
+    rows = [(i, f"line {i}\nsecond" if i % 7 else f"{i}" * 50) for i in range(900)]
+    df = spark.createDataFrame(rows, "i long, x string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        sinks.write_lines(df, [F.desc("i")], F.col("x"), str(tmp_path / "down"))
+        sinks.write_lines(df, ["i"], F.col("i").cast("string"), str(tmp_path / "up"))
+        assert len(list((tmp_path / "down").glob("part-*"))) == 13
+        down = {r.line_no: r.text for r in readers.numbered_lines(spark, str(tmp_path / "down")).collect()}
+        up = {r.line_no: r.text for r in readers.numbered_lines(spark, str(tmp_path / "up")).collect()}
+    finally:
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert up == {i: str(i) for i in range(900)}
+    assert down == {899 - i: x.replace("\n", " ") for i, x in rows}
