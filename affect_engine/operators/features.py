@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, StringIndexer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,37 +209,3 @@ def word_vectors(df: DataFrame, tokens: str, size: int = 100, seed: int = 42, mi
     The trainer keeps its vocabulary on the driver; ``min_count`` bounds it.
     """
     return Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol=tokens, outputCol="vector", **options).fit(df)
-
-
-def train_classifier(df: DataFrame, text: str, label: str, kind: str = "logistic", features: int = 4096):
-    """Fit one of three classifiers on hashed word and word-pair counts.
-
-    Returns ``transform(df) -> df with prediction``; labels are indexed in
-    alphabetical order.
-    """
-    kinds = {
-        "logistic": lambda: LogisticRegression(maxIter=20, labelCol="__y", featuresCol="__x"),
-        "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=6, seed=42, labelCol="__y", featuresCol="__x"),
-        "bayes": lambda: NaiveBayes(labelCol="__y", featuresCol="__x"),
-    }
-    if kind not in kinds:
-        raise ValueError(f"unknown classifier {kind!r}")
-    counter = HashingTF(numFeatures=features, inputCol="__t", outputCol="__f")
-    extra = ["n_chars", "n_words", "n_exclamation", "n_question"]
-    gather = VectorAssembler(inputCols=["__f", *extra], outputCol="__x")
-
-    def prepare(rows: DataFrame) -> DataFrame:
-        tokens = dense_features(rows, text).withColumn("__t", ngrams(words(F.lower(text)), (1, 2)))
-        return gather.transform(counter.transform(tokens))
-
-    index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(df)
-    ready = materialize(prepare(index.transform(df)).select("__y", "__x"), "training-rows")
-    model = kinds[kind]().fit(ready)
-    names = F.array(*[F.lit(x) for x in index.labels])
-
-    def predict(rows: DataFrame) -> DataFrame:
-        out = model.transform(prepare(rows))
-        picked = F.get(names, F.col("prediction").cast("int")).alias("predicted")
-        return out.select(*rows.columns, picked)
-
-    return predict

@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vocab import TIMELINE_ORDER
 from ..operators import attribution as A
+from ..operators import classify as K
 from ..operators import features as M
 from ..operators import signal as G
 from ..operators import timeline as T
 from ..operators.ensemble import align_to_reference, timeline_vote
 from ..operators import neighbours as N
 from ..operators.scan import chunk_of
+from ..session import scratch_path
 from .catalog import query
 from .derived import SQL_CLASSES, SQL_VIEWS, TURN_CHUNK
 from .q_evaluation import r6
@@ -126,35 +128,95 @@ def _(t):
     return r6(M.class_centroids(t.embeddings, "label", "embedding"), "mean")
 
 
+SQL_VIEWS["lexicon"] = """
+SELECT word, n % 21 - 10 AS polarity FROM (SELECT word, count(*) AS n FROM (SELECT lower(word) AS word FROM words) WHERE word <> '' GROUP BY word) WHERE n > 3"""
+
+
+@query("m10_polarity", f"""
+SELECT doc_id, coalesce(p, 0) AS polarity FROM documents LEFT JOIN (
+  SELECT doc_id, avg(polarity) AS p FROM (SELECT doc_id, unnest({words_sql('lower(text)')}) AS word FROM documents) JOIN lexicon USING (word) GROUP BY doc_id) USING (doc_id)""")
+def _(t):
+    counts = t.words.select(F.lower("word").alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    lexicon = counts.where("n > 3").select("word", (F.col("n") % 21 - 10).alias("polarity"))
+    return M.polarity(t.documents.select("doc_id", "text"), "doc_id", "text", lexicon)
+
+
+# --- classifiers ---------------------------------------------------------------
+
+HELD_OUT = "substr(md5(row_id || ':fold'), 1, 1) IN ('0', '1', '2')"
+
+
+def classified(t):
+    """Labelled rows in two folds by the hash of their id, and a lexicon."""
+    rows = t.corpus.select("row_id", "text", "lang", (F.col("token_count") % 97).cast("double").alias("confidence"))
+    held = F.substring(F.md5(F.concat(F.col("row_id").cast("string"), F.lit(":fold"))), 1, 1).isin("0", "1", "2")
+    counts = t.words.select(F.lower("word").alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    lexicon = counts.where("n > 3").select("word", (F.col("n") % 21 - 10).alias("polarity"))
+    return rows.where(~held), rows.where(held), lexicon
+
+
+def folds(t, column, shift=0.0):
+    """Vectors of both folds by what the training fold alone has."""
+    train, held, lexicon = classified(t)
+    fitted = K.fit_features(train, "row_id", [column], polarity="text", lexicon=lexicon, shift=shift)
+    vectors = lambda rows: K.as_vectors(fitted.apply(rows, "row_id").join(rows.select("row_id", "lang"), "row_id"))
+    return vectors(train), vectors(held)
+
+
+def predicted(t, kind, column, shift=0.0):
+    train, held = folds(t, column, shift)
+    return K.train(train, "lang", kind)(held).select("row_id", "lang", "predicted")
+
+
 @query("m9_logistic_regression")
 def _(t):
-    rows = t.corpus.select("row_id", "text", "lang")
-    return M.train_classifier(rows, "text", "lang", "logistic", 4096)(rows).select("row_id", "predicted")
+    return predicted(t, "logistic", K.TextColumn("text"))
 
 
 @query("m9_naive_bayes")
 def _(t):
-    rows = t.corpus.select("row_id", "text", "lang")
-    return M.train_classifier(rows, "text", "lang", "bayes", 4096)(rows).select("row_id", "predicted")
+    return predicted(t, "bayes", K.TextColumn("text", min_df=1, max_features=4000, weight="count"), shift=10.0)
 
 
 @query("m9_random_forest")
 def _(t):
-    rows = t.corpus.select("row_id", "text", "lang")
-    return M.train_classifier(rows, "text", "lang", "forest", 4096)(rows).select("row_id", "predicted")
+    return predicted(t, "forest", K.TextColumn("text"))
 
 
-SQL_VIEWS["lexicon"] = """
-SELECT word, n % 21 - 10 AS polarity FROM (SELECT word, count(*) AS n FROM (SELECT lower(word) AS word FROM words) WHERE word <> '' GROUP BY word) WHERE n > 3"""
+VECTORISER = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+SQL_VIEWS["fold_terms"] = f"""
+SELECT row_id, held, term, count(*) AS tf FROM (
+  SELECT row_id, held, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i : w[i] || ' ' || w[i+1]))) AS term
+  FROM (SELECT row_id, {HELD_OUT} AS held, list_filter({VECTORISER}, lambda x : x NOT IN ('la', 'the', 'de')) AS w FROM corpus)) GROUP BY ALL"""
+SQL_VIEWS["fold_idf"] = f"""
+SELECT term, ln((1.0 + n) / (1 + df)) + 1 AS idf, row_number() OVER (ORDER BY term) - 1 AS position FROM (
+  SELECT term, count(*) AS df, sum(tf) AS total, (SELECT count(*) FROM corpus WHERE NOT ({HELD_OUT})) AS n FROM fold_terms WHERE NOT held GROUP BY term
+  HAVING count(*) >= 2 AND count(*) <= (SELECT count(*) FROM corpus WHERE NOT ({HELD_OUT})) * 0.95 ORDER BY total DESC, term LIMIT 1500)"""
 
 
-@query("m10_polarity", f"""
-SELECT doc_id, coalesce(p, 0) AS polarity FROM documents LEFT JOIN (
-  SELECT doc_id, avg(polarity) AS p FROM (SELECT doc_id, unnest({words_sql('lower(text)')}) AS word FROM documents) JOIN lexicon USING (word) GROUP BY doc_id) USING (doc_id)""")
-def _(t):
-    counts = t.words.select(F.lower("word").alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    lexicon = counts.where("n > 3").select("word", (F.col("n") % 21 - 10).alias("polarity"))
-    return M.polarity(t.documents.select("doc_id", "text"), "doc_id", "text", lexicon)
+@query("m4_assembled_vectors", f"""
+SELECT row_id, position::INT AS position, round(value, 6) AS value FROM (
+  SELECT row_id, position, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS value
+  FROM (SELECT row_id, position, (1 + ln(tf)) * idf AS w FROM fold_terms JOIN fold_idf USING (term) WHERE held)
+  UNION ALL
+  SELECT row_id, 1500 + unnest(range(7)) AS position, unnest([(confidence - mean) / CASE WHEN dev > 0 THEN dev ELSE 1 END, n_chars, n_words, n_exclamation, n_question, capital_ratio, p]) AS value
+  FROM (SELECT row_id, (token_count % 97)::DOUBLE AS confidence FROM corpus WHERE {HELD_OUT})
+  CROSS JOIN (SELECT avg((token_count % 97)::DOUBLE) AS mean, stddev_pop((token_count % 97)::DOUBLE) AS dev FROM corpus WHERE NOT ({HELD_OUT}))
+  JOIN (SELECT doc_id AS row_id, length(text)::DOUBLE AS n_chars, len({{words}})::DOUBLE AS n_words, len(regexp_extract_all(text, '!'))::DOUBLE AS n_exclamation,
+    len(regexp_extract_all(text, '\\?'))::DOUBLE AS n_question, len(regexp_extract_all(text, '[A-Z]'))::DOUBLE / length(text) AS capital_ratio FROM documents) USING (row_id)
+  JOIN (SELECT doc_id AS row_id, coalesce(p, 0) AS p FROM documents LEFT JOIN (
+    SELECT doc_id, avg(polarity) AS p FROM (SELECT doc_id, unnest({{low}}) AS word FROM documents) JOIN lexicon USING (word) GROUP BY doc_id) USING (doc_id)) USING (row_id))
+WHERE value <> 0""".replace("{words}", words_sql("text")).replace("{low}", words_sql("lower(text)")))
+def _(t):
+    """Vectors of the held-out rows, cell by cell, by features saved and read again."""
+    train, held, lexicon = classified(t)
+    column = K.TextColumn("text", max_df=0.95, max_features=1500, weight="log tf-idf", stop_words=("la", "the", "de"))
+    fitted = K.fit_features(train, "row_id", [column], numbers=["confidence"], counted=["text"], polarity="text", lexicon=lexicon)
+    path = scratch_path(t.spark, "saved-features")
+    fitted.save(path)
+    found = K.Features.load(t.spark, path).apply(held, "row_id")
+    cells = found.select("row_id", F.inline(F.arrays_zip(F.col("indices").alias("position"), F.col("values").alias("value"))))
+    return r6(cells.toDF("row_id", "position", "value"), "value")
 
 
 _DIFF = "list_sum(list_transform(list_zip(p.v, e.v), lambda x : (x[1] - x[2]) * (x[1] - x[2])))"
