@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,11 +200,3 @@ def class_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
         .groupBy(label, "position")
         .agg(F.avg(F.col("value").cast("double")).alias("mean"))
     )
-
-
-def word_vectors(df: DataFrame, tokens: str, size: int = 100, seed: int = 42, min_count: int = 5, **options):
-    """Train word vectors; transforming averages a document's words.
-
-    The trainer keeps its vocabulary on the driver; ``min_count`` bounds it.
-    """
-    return Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol=tokens, outputCol="vector", **options).fit(df)

@@ -9,6 +9,7 @@ from ..operators import classify as K
 from ..operators import features as M
 from ..operators import signal as G
 from ..operators import timeline as T
+from ..operators import wordvectors as V
 from ..operators.ensemble import align_to_reference, timeline_vote
 from ..operators import neighbours as N
 from ..operators.scan import chunk_of
@@ -86,11 +87,26 @@ def _(t):
     return maps.select("id", F.size("weights").alias("terms"), F.round(total, 4).alias("total"))
 
 
+SQL_VIEWS["near_words"] = f"""
+SELECT doc_id, i, w[i] AS word, w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {words_sql('lower(text)')} AS w FROM documents))"""
+
+
+@query("m6_pair_weights", """
+WITH once AS (SELECT least(word, w[i + d]) AS a, greatest(word, w[i + d]) AS b, count(*) AS n FROM near_words, range(1, 3) r(d) WHERE i + d <= len(w) AND word <> w[i + d] GROUP BY ALL),
+both_ways AS (SELECT a, b, n FROM once UNION ALL SELECT b, a, n FROM once),
+sums AS (SELECT a, sum(n) AS s FROM both_ways GROUP BY a)
+SELECT p.a, p.b, round(ln(n::DOUBLE * (SELECT sum(n) FROM both_ways) / (x.s::DOUBLE * y.s)) - ln(5), 6) AS weight
+FROM both_ways p JOIN sums x ON x.a = p.a JOIN sums y ON y.a = p.b WHERE ln(n::DOUBLE * (SELECT sum(n) FROM both_ways) / (x.s::DOUBLE * y.s)) - ln(5) > 0""")
+def _(t):
+    counts = V.cooccurrences(t.texts.select("text"), X.words(F.lower("text")), window=2)
+    return r6(V.log_weights(counts, shift=5.0), "weight")
+
+
 @query("m6_word_vectors")
 def _(t):
-    rows = t.documents.select("doc_id", X.words(X.clean_for_lemmas(F.col("text"))).alias("tokens"))
-    model = M.word_vectors(rows, "tokens", size=100, maxIter=10, numPartitions=4)
-    return model.transform(rows).select("doc_id", "vector")
+    rows = t.texts.select("doc_id", X.words(X.clean_for_lemmas(F.col("text"))).alias("tokens"))
+    weights = V.log_weights(V.cooccurrences(rows, F.col("tokens"), window=5, min_count=5))
+    return V.text_vectors(rows, "doc_id", F.col("tokens"), V.word_vectors(weights, size=100))
 
 
 @query("m7_nearest_vectors", """
