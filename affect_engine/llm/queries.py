@@ -132,7 +132,7 @@ MIX_SEED = 11
     "op10_source_mix",
     f"""
     WITH RECURSIVE sizes AS (
-      SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source
+      SELECT source, count(*) AS n FROM documents GROUP BY source
     ), rates AS (
       SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE * (SELECT count(*) FROM documents)::DOUBLE / n::DOUBLE AS rate
       FROM sizes
@@ -147,7 +147,7 @@ MIX_SEED = 11
     ), counted AS (
       SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, any_value(d.source) AS source,
              any_value(d.n_chars) AS n_chars, count(*) AS copies
-      FROM drawn d JOIN steps s ON d.source = s.source AND d.u >= s.total GROUP BY d.doc_id
+      FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND d.u >= s.total GROUP BY d.doc_id
     ), copied AS (
       SELECT doc_id, text, lang, source, n_chars, unnest(range(copies))::INT AS copy_no FROM counted
     )
