@@ -39,8 +39,9 @@ def with_views(sql: str) -> str:
     needed: list[str] = []
 
     def visit(text: str) -> None:
+        named = set(re.findall(r"\w+", text))
         for name, body in SQL_VIEWS.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in needed and name in named:
                 visit(body)
                 if name not in needed:
                     needed.append(name)
