@@ -31,6 +31,13 @@ class Limits:
     min_similarity: float = 0.35
 
 
+def sequential_ids(words: DataFrame, out: str = "ordinal", key: str = "video_id") -> DataFrame:
+    """Words ``(key, segment_id, i)`` numbered 0, 1, ... along their recording in ``out``."""
+    chunk = nested_chunk(F.col("segment_id"), F.col("i"), WORD_CHUNK)
+    numbered = ordered_scan(words, [key], ["segment_id", "i"], chunk, position="__pos")
+    return numbered.withColumn(out, F.col("__pos") - 1).drop("__pos")
+
+
 def number_words(words: DataFrame) -> DataFrame:
     """Words of a scene numbered 0, 1, ... in ``w``, with their ``tokens``.
 

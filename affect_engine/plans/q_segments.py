@@ -241,10 +241,7 @@ def _(t):
 @query("w13_sequential_ids", """
 SELECT video_id, segment_id, i, row_number() OVER (PARTITION BY video_id ORDER BY segment_id, i) - 1 AS ordinal FROM words""")
 def _(t):
-    from ..operators.scan import nested_chunk, ordered_scan
-    out = ordered_scan(t.words.select("video_id", "segment_id", "i"), ["video_id"], ["segment_id", "i"],
-                       nested_chunk(F.col("segment_id"), F.col("i"), 4096), position="pos")
-    return out.select("video_id", "segment_id", "i", (F.col("pos") - 1).alias("ordinal"))
+    return G.sequential_ids(t.words.select("video_id", "segment_id", "i"))
 
 
 @query("w2_shot_problems", """
