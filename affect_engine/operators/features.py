@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sentences import norm
-from ..functions.text import let, text_counters, words
+from ..functions.text import text_counters, words
 from ..session import materialize
 from . import neighbours
 from .scan import chunk_of, ordered_scan
@@ -16,28 +20,48 @@ from .scan import chunk_of, ordered_scan
 RESERVED_TOKENS = 8
 
 
-def ngrams(tokens: Column, sizes: Sequence[int]) -> Column:
-    """All runs of the given lengths as space-joined strings."""
+#: Tokens of the rows that are counted together.
+COUNTED_TOKENS = 1_000_000
 
-    def runs(words: Column, n: int) -> Column:
-        starts = F.when(
-            F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-    if list(sizes) == [1]:
-        return tokens
-    return let(tokens, lambda w: F.concat(*[w if n == 1 else runs(w, n) for n in sizes]))
+def _runs(tokens: pa.Array, row: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray]:
+    """Runs of ``n`` tokens of one row, joined by a blank, with their rows."""
+    if n == 1:
+        return tokens, row
+    starts = np.flatnonzero(row[: max(0, len(row) - n + 1)] == row[n - 1 :])
+    return pc.binary_join_element_wise(*(tokens.take(pa.array(starts + i)) for i in range(n)), " "), row[starts]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], key: str, sizes: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        # A null list has no tokens.
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + COUNTED_TOKENS, side="right")))
+            lists = batch.column(1).slice(at, to - at)
+            tokens, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            runs = [_runs(tokens, row, n) for n in sizes]
+            terms = pa.chunked_array([r[0] for r in runs], tokens.type)
+            found = pa.table({"row": np.concatenate([r[1] for r in runs]), "term": terms}).group_by(["row", "term"]).aggregate([([], "count_all")]).combine_chunks()
+            rows = pa.table({key: batch.column(0).slice(at, to - at).take(found["row"]), "term": found["term"], "tf": found["count_all"].cast(pa.int64())})
+            yield from rows.to_batches()
+            at = to
 
 
 def term_counts(df: DataFrame, key: str, tokens: Column, sizes: Sequence[int] = (1,)) -> DataFrame:
-    """Rows (key, term, tf); counted map-side before the shuffle."""
-    return (
-        df.select(key, tokens.alias("__t"))
-        .select(key, F.explode(ngrams(F.col("__t"), sizes)).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """Rows (key, term, tf) of the runs of the given lengths, as space-joined strings.
+
+    A row's terms are counted where it lies. They are added up by key only if a
+    key has several rows, so no hash table holds the terms of many texts.
+    """
+    rows = df.select(F.col(key), tokens.alias("__t"))
+    schema = T.StructType([df.schema[key], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    counts = rows.mapInArrow(lambda it: _counted(it, key, list(sizes)), schema)
+    if df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return counts
+    return counts.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
 def tf_idf(
@@ -59,8 +83,9 @@ def tf_idf(
     number; it joins back by term, where adaptive skew handling splits a
     frequent term's rows.
     """
-    # Read three times below; the counts are far smaller than the texts.
-    counts = materialize(counts, "term-counts")
+    # Counts that are cut to few terms are made again: written, they take three times the texts.
+    if max_features is None:
+        counts = materialize(counts, "term-counts")
     documents = counts.agg(F.count_distinct(key).alias("__n"))
     if corpus is not None:
         documents = corpus.agg(F.count(F.lit(1)).alias("__n"))
@@ -71,6 +96,8 @@ def tf_idf(
     )
     if max_features is not None:
         kept = kept.orderBy(F.desc("__all"), "term").limit(max_features)
+        # Written, so that Spark knows how few they are.
+        kept = materialize(kept, "kept-terms")
     idf = F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1
     tf = F.col("tf").cast("double")
     if binary:
@@ -82,8 +109,8 @@ def tf_idf(
     )
     if binary:
         return weighted.withColumnRenamed("__w", "weight")
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__l"))
-    return weighted.join(norms, key).select(key, "term", (F.col("__w") / F.col("__l")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", (F.col("__w") / length).alias("weight"))
 
 
 def term_maps(weights: DataFrame, key: str, least: float = 0.001) -> DataFrame:
