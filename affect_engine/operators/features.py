@@ -185,8 +185,10 @@ def dense_features(df: DataFrame, text: str) -> DataFrame:
 def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Mean polarity of the words of a text found in a lexicon table, else 0.
 
-    Words are counted per text first; the lexicon joins by word.
+    Words are counted per text first; the lexicon joins by word. It is written
+    first, so that Spark knows its size: one that fits is broadcast.
     """
+    lexicon = materialize(lexicon, "lexicon")
     counts = term_counts(df, key, words(F.lower(text)))
     found = counts.join(lexicon.select(F.col("word").alias("term"), "polarity"), "term")
     scored = found.groupBy(key).agg(

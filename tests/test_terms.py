@@ -30,3 +30,10 @@ def test_rows_of_one_key_are_added_up(spark):
     found = {(r.id, r.term): r.tf for r in features.term_counts(df, "id", F.col("t"), (1, 2)).collect()}
     assert found == {(1, "a"): 2, (1, "b"): 1, (1, "a b"): 1, (2, "a"): 1, (None, "a"): 2}
 
+
+def test_a_small_lexicon_is_broadcast(spark):
+    df = spark.createDataFrame([(1, "Good good bad"), (2, ""), (3, None)], "id long, text string")
+    lexicon = spark.createDataFrame([("good", 4), ("bad", -2)], "word string, polarity int").groupBy("word").agg(F.max("polarity").alias("polarity"))
+    found = features.polarity(df, "id", "text", lexicon)
+    assert "BroadcastHashJoin [term" in plan(found)
+    assert {r.id: r.polarity for r in found.collect()} == {1: 2.0, 2: 0.0, 3: 0.0}
