@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -293,36 +294,55 @@ def cubic(points: DataFrame, marks: DataFrame, key: str = "video_id", chunk: int
     return spans.select(key, "g", *[value(n) for n in names])
 
 
+#: Recordings whose grids are worked on together.
+GRIDS = 256
+
+
+def _grids(values: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """One row a recording, its grid in order. That is ``points`` entries, however long the recording."""
+    return values.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("g", *columns))).alias("__x"))
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Keys of some recordings, row and grid point of their entries, and the entries' columns."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, GRIDS):
+            some = batch.slice(at, GRIDS)
+            fields = some.column(1).flatten().flatten()
+            row = np.repeat(np.arange(some.num_rows), some.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            yield some.column(0), row, fields[0].to_numpy(), fields[1:]
+
+
 def gaussian(values: DataFrame, columns: list[str], points: int, sigma: float = 3.0, key: str = "video_id") -> DataFrame:
     """Gaussian smoothing along the grid, mirrored at the ends, clipped to [0, 1]."""
     radius = int(4 * sigma + 0.5)
-    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    offsets = np.arange(-radius, radius + 1)
+    weights = np.exp(-0.5 * (offsets / sigma) ** 2)
     weights /= weights.sum()
-    taps = F.array(
-        *[F.struct(F.lit(int(o)).alias("o"), F.lit(float(w)).alias("w")) for o, w in zip(range(-radius, radius + 1), weights)]
-    )
-    # Mirrored about the half-sample beyond each end.
-    sources = values.select(key, F.col("g").alias("__s"), *columns)
-    wanted = (
-        values.select(key, "g")
-        .select(key, "g", F.inline(taps))
-        .withColumn("__s", _mirror(F.col("g") + F.col("o"), points))
-    )
-    return (
-        wanted.join(sources, [key, "__s"])
-        .groupBy(key, "g")
-        .agg(
-            *[
-                F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(F.col("w") * F.col(c)))).alias(c)
-                for c in columns
-            ]
-        )
-    )
-
 
-def _mirror(index: Column, points: int) -> Column:
-    wrapped = F.pmod(index, F.lit(2 * points))
-    return F.when(wrapped < points, wrapped).otherwise(2 * points - 1 - wrapped).cast("int")
+    def run(batches):
+        for keys, row, g, fields in _matrices(batches):
+            out = []
+            for field in fields:
+                there = field.is_valid().to_numpy(zero_copy_only=False)
+                grid, known = np.zeros((len(keys), points)), np.zeros((len(keys), points), bool)
+                grid[row[there], g[there]] = field.drop_null().to_numpy(zero_copy_only=False)
+                known[row[there], g[there]] = True
+                total, any_known = np.zeros(grid.shape), np.zeros(grid.shape, bool)
+                for o, w in zip(offsets, weights):
+                    # Mirrored about the half-sample beyond each end.
+                    wrapped = np.mod(np.arange(points) + o, 2 * points)
+                    source = np.where(wrapped < points, wrapped, 2 * points - 1 - wrapped)
+                    total += w * grid[:, source]
+                    any_known |= known[:, source]
+                # NaN counts as larger than any number.
+                clipped = np.where(np.isnan(total), 1.0, np.clip(total, 0.0, 1.0))
+                out.append(pa.array(clipped[row, g], mask=~any_known[row, g]))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(g), *out], names=[key, "g", *columns])
+
+    doubles = [T.StructField(c, T.DoubleType()) for c in columns]
+    grids = _grids(values.select(key, "g", *[F.col(c).cast("double").alias(c) for c in columns]), columns, key)
+    return grids.mapInArrow(run, T.StructType([values.schema[key], values.schema["g"], *doubles]))
 
 
 def smooth_timeline(rows: DataFrame, points: int = 500, key: str = "video_id", order: str = "segment_id") -> DataFrame:
@@ -339,15 +359,26 @@ def label_mix(timeline: DataFrame, points: int, half: int = 15, key: str = "vide
 
     The first and the last point take their own label alone.
     """
-    inner = timeline.where((F.col("g") > 0) & (F.col("g") < points - 1))
-    ends = timeline.where((F.col("g") == 0) | (F.col("g") == points - 1)).select(
-        key, "g", "emotion_id", F.lit(1.0).alias("share")
-    )
-    asked = inner.select(key, "g", F.explode(F.sequence(F.lit(-half), F.lit(half - 1))).alias("o")).withColumn(
-        "__s", F.col("g") + F.col("o")
-    )
-    around = asked.join(timeline.select(key, F.col("g").alias("__s"), "emotion_id"), [key, "__s"])
-    weights = around.groupBy(key, "g", "emotion_id").agg(F.sum(1.0 / (1 + F.abs("o"))).alias("w"))
-    totals = weights.groupBy(key, "g").agg(F.sum("w").alias("total"))
-    mixed = weights.join(totals, [key, "g"]).select(key, "g", "emotion_id", (F.col("w") / F.col("total")).alias("share"))
-    return mixed.unionByName(ends)
+
+    def run(batches):
+        for keys, row, g, (labels,) in _matrices(batches):
+            names = labels.unique()
+            code = pc.index_in(labels, names).to_numpy()
+            own = np.full((len(keys), points), -1)
+            own[row, g] = code
+            mixed = np.zeros((len(names), len(keys), points))
+            for c in range(len(names)):
+                marked = (own == c).astype(float)
+                for o in range(-half, half):
+                    to = slice(max(0, -o), max(0, min(points, points - o)))
+                    mixed[c][:, to] += marked[:, to.start + o : to.stop + o] / (1 + abs(o))
+            ends = np.unique([0, points - 1])
+            mixed[:, :, ends] = own[:, ends] == np.arange(len(names))[:, None, None]
+            mixed[:, own < 0] = 0
+            total = mixed.sum(axis=0)
+            c, r, g = np.nonzero(mixed)
+            share = mixed[c, r, g] / total[r, g]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(r)), pa.array(g.astype(np.int32)), names.take(pa.array(c)), pa.array(share)], names=[key, "g", "emotion_id", "share"])
+
+    fields = [timeline.schema[key], T.StructField("g", T.IntegerType()), timeline.schema["emotion_id"], T.StructField("share", T.DoubleType())]
+    return _grids(timeline, ["emotion_id"], key).mapInArrow(run, T.StructType(fields))
