@@ -212,9 +212,9 @@ def embedding_statistics(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
-def probe_similarities(probes: DataFrame, table: DataFrame, key: str, vector: str) -> DataFrame:
-    """Cosine of every row of ``table`` with each probe, in blocks."""
-    return neighbours.similarities(probes, table, key, vector)
+def probe_similarities(probes: DataFrame, table: DataFrame, key: str, vector: str, best: bool = False) -> DataFrame:
+    """Cosine of every row of ``table`` with each probe, or with its ``best`` one, in blocks."""
+    return neighbours.similarities(probes, table, key, vector, best)
 
 
 def nearest(probes: DataFrame, table: DataFrame, key: str, vector: str, k: int, **options) -> DataFrame:

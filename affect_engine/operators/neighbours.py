@@ -6,9 +6,11 @@ it. Its k-th hit then bounds the rest: a list whose centroid lies further off
 than that hit plus the list's radius can hold nothing better, all others are
 searched too. With ``exact=False`` the first search is the answer.
 
-Lists are cut into blocks of about ``BLOCK_ROWS`` rows, and so are the probes of
-a list, so a task holds two blocks however large a list is; a pair of blocks is
-one matrix product. Vectors that are null, of another length than the sampled
+Lists of the first search are cut into blocks of about ``BLOCK_ROWS`` rows, and so
+are the probes of a list, so a task holds two blocks however large a list is. The
+other lists lie on shelves of about ``SHELF_ROWS`` rows. A probe goes to a shelf once,
+however many of its lists it has to search, and its score so far keeps what can't
+be better from leaving the task. A pair of blocks is a matrix product. Vectors that are null, of another length than the sampled
 ones, hold a null or non-finite component, or (for the cosine) have no length
 are left out. Equal scores go to the smaller key.
 """
@@ -31,6 +33,10 @@ SAMPLE_ROWS = 4096
 LIST_ROWS = 1024
 MOST_LISTS = 1024
 BLOCK_ROWS = 4096
+#: Rows of a shelf, and probes that search it in one task.
+SHELF_ROWS, SHELF_PROBES = 16384, 8192
+#: Rows of a matrix product.
+STEP_ROWS = 1024
 #: Lists a probe searches first.
 FIRST_LISTS = 8
 ROUNDS = 10
@@ -92,8 +98,9 @@ def best_of_block(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(taken & np.isfinite(scores))
 
 
-def _sized(df: DataFrame, group: list[str], name: str) -> DataFrame:
-    return df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias(name))
+def _sized(df: DataFrame, group: list[str], name: str, most: int | None = None) -> DataFrame:
+    # Written, so that Spark knows how few they are.
+    return materialize(df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / (most or BLOCK_ROWS)).alias(name)), "block-counts")
 
 
 def _search(visits: DataFrame, rows: DataFrame, k: int | None, cosine: bool, key_type: T.DataType) -> DataFrame:
@@ -131,6 +138,70 @@ def _search(visits: DataFrame, rows: DataFrame, k: int | None, cosine: bool, key
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(pair, schema)
 
 
+def _shelved(visits: DataFrame, rows: DataFrame, k: int, cosine: bool, key_type: T.DataType) -> DataFrame:
+    """``(probe, neighbour, score)`` that may be among the k best, outside the lists that a probe has seen.
+
+    ``visits (g, shelf, probe, x, seen, kth)``, ``rows (g, shelf, key, x, list)``.
+    """
+    where = ["g", "shelf"]
+    n_rows, n_probes = _sized(rows, where, "__nr", SHELF_ROWS), _sized(visits, where, "__np", SHELF_PROBES)
+    left = visits.join(n_rows, where).join(n_probes, where).select(
+        *where, "probe", "x", "seen", "kth", F.pmod(F.xxhash64("probe"), F.col("__np")).alias("pb"), F.explode(F.sequence(F.lit(0), F.col("__nr") - 1)).alias("rb")
+    )
+    right = rows.join(n_probes, where).join(n_rows, where).select(
+        *where, "key", "x", "list", F.pmod(F.xxhash64("key"), F.col("__nr")).alias("rb"), F.explode(F.sequence(F.lit(0), F.col("__np") - 1)).alias("pb")
+    )
+    schema = T.StructType([T.StructField("probe", key_type), T.StructField("neighbour", key_type), T.StructField("score", T.DoubleType())])
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        probes, at, to, score = a["probe"].combine_chunks(), [], [], []
+        if a.num_rows and b.num_rows:
+            b = b.sort_by("key")
+            keys, x, y, own = b["key"].combine_chunks(), _matrix(a["x"]), _matrix(b["x"]), b["list"].to_numpy()
+            same = pc.index_in(probes, keys).fill_null(-1).to_numpy()
+            kth = a["kth"].combine_chunks().fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            seen = np.zeros((len(probes), int(own.max()) + 1), bool)
+            lists = a["seen"].combine_chunks()
+            row, listed = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
+            here = listed < seen.shape[1]
+            seen[row[here], listed[here]] = True
+            square = (y * y).sum(axis=1)
+            for f in range(0, len(probes), STEP_ROWS):
+                part = slice(f, f + STEP_ROWS)
+                scores = x[part] @ y.T
+                if not cosine:
+                    scores = 2 * scores - (x[part] * x[part]).sum(axis=1)[:, None] - square
+                hit = np.flatnonzero(same[part] >= 0)
+                scores[hit, same[part][hit]] = -np.inf
+                least = kth[part].copy()
+                free = np.flatnonzero(np.isneginf(least))
+                if len(free):
+                    # Without hits so far the block's own k best are the bound.
+                    open_scores = scores if len(free) == len(scores) else scores[free]
+                    if len(row):
+                        open_scores = scores[free] = np.where(seen[part][free][:, own], -np.inf, open_scores)
+                    if scores.shape[1] > k:
+                        least[free] = -np.partition(-open_scores, k - 1, axis=1)[:, k - 1] if k > 1 else open_scores.max(axis=1)
+                # Rounding moves a score by less than this.
+                r, c = np.nonzero(scores >= least[:, None] - 10.0**-DIGITS)
+                new = ~seen[part][r, own[c]]
+                r, c = r[new], c[new]
+                found = np.round(scores[r, c], DIGITS)
+                order = np.lexsort((c, -found, r))
+                r, c, found = r[order], c[order], found[order]
+                start = np.flatnonzero(np.diff(r, prepend=-1))
+                rank = np.arange(len(r)) - np.repeat(start, np.diff([*start, len(r)]))
+                kept = (rank < k) & np.isfinite(found)
+                at.append(r[kept] + f), to.append(c[kept]), score.append(found[kept])
+        if not at:
+            return pa.table({"probe": probes[:0], "neighbour": probes[:0], "score": pa.array([], pa.float64())})
+        at, to = pa.array(np.concatenate(at)), pa.array(np.concatenate(to))
+        return pa.table({"probe": probes.take(at), "neighbour": keys.take(to), "score": pa.array(np.concatenate(score))})
+
+    block = [*where, "pb", "rb"]
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(pair, schema)
+
+
 def _prepared(df: DataFrame, key: str, vector: str, within: str | None, dims: int, cosine: bool, name: str) -> DataFrame:
     """Usable rows ``(g, name, x)``; unit vectors for the cosine."""
     kept = df.where(_usable(F.col(vector)) & (F.size(vector) == dims))
@@ -225,18 +296,45 @@ def nearest(
     kth = best.groupBy("probe").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
     bounded = asked.join(kth, "probe", "left").select("g", "probe", "x", "kth")
 
-    def others(d: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-        score = batch.column(3).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-        reach = np.sqrt(np.maximum(2 - 2 * score if cosine else -score, 0))
-        return (d - radius <= reach[:, None] + 1e-6) & ~near(d)
+    # Neighbouring lists share a shelf; a list is never cut between two.
+    count = np.zeros(len(at), np.int64)
+    for r in rows.groupBy("list").count().collect():
+        count[r.list] = r["count"]
+    line = np.argsort(_distances(at, at[:1])[:, 0], kind="stable")
+    shelf_of = np.zeros(len(at), np.int32)
+    shelf_of[line] = (np.cumsum(count[line]) - count[line]) // SHELF_ROWS
+    shelves = int(shelf_of.max()) + 1
 
-    more = _search(visits(bounded, others, "other-visits"), rows, k, cosine, key_type)
+    def search_more(batches):
+        for b in batches:
+            x = unit(_matrix(b.column(2)))
+            if len(x):
+                d = _distances(x, at)
+                score = b.column(3).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                reach = np.sqrt(np.maximum(2 - 2 * score if cosine else -score, 0))
+                seen = near(d)
+                wanted = (d - radius <= reach[:, None] + 1e-6) & ~seen
+                marked = np.zeros((len(x), shelves), bool)
+                row, listed = np.nonzero(wanted)
+                marked[row, shelf_of[listed]] = True
+                lists = [_lists_of(np.nonzero(m)[1], m.sum(axis=1)) for m in (seen, marked)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _vectors(x), b.column(3), *lists], names=["g", "probe", "x", "kth", "seen", "shelf"])
+
+    numbers = T.ArrayType(T.IntegerType())
+    more = T.StructType([group_type, T.StructField("probe", key_type), visit["x"], T.StructField("kth", T.DoubleType()), T.StructField("seen", numbers), T.StructField("shelf", numbers)])
+    asked_more = materialize(bounded.mapInArrow(search_more, more), "other-visits").withColumn("shelf", F.explode("shelf"))
+    shelf = F.get(F.array(*[F.lit(int(i)) for i in shelf_of]), F.col("list"))
+    more = _shelved(asked_more, rows.select("g", "key", "x", "list", shelf.alias("shelf")), k, cosine, key_type)
     both = best.drop("rank").unionByName(more)
     return both.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
-def similarities(probes: DataFrame, table: DataFrame, key: str, vector: str) -> DataFrame:
-    """``(probe, neighbour, cosine)`` of every row of ``table`` with each probe, in blocks."""
+def similarities(probes: DataFrame, table: DataFrame, key: str, vector: str, best: bool = False) -> DataFrame:
+    """``(probe, neighbour, cosine)`` of every row of ``table`` with each probe, in blocks.
+
+    With ``best`` only a row's most similar probe, so a task gives one row for each
+    of its rows and not one for each pair.
+    """
     lengths = table.where(_usable(F.col(vector))).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     dims = lengths.n if lengths else 0
     key_type = table.schema[key].dataType
@@ -249,7 +347,16 @@ def similarities(probes: DataFrame, table: DataFrame, key: str, vector: str) ->
         return scaled.withColumn("list", F.lit(0))
 
     visits, rows = materialize(units(probes, "probe"), "probes"), materialize(units(table, "key"), "vectors")
-    return _search(visits, rows, None, True, key_type).withColumnRenamed("score", "cosine")
+    if not best:
+        return _search(visits, rows, None, True, key_type).withColumnRenamed("score", "cosine")
+    # The rows of the table ask, the probes answer.
+    none = F.array().cast("array<int>")
+    asking = rows.select("g", F.lit(0).alias("shelf"), F.col("key").alias("probe"), "x", none.alias("seen"), F.lit(None).cast("double").alias("kth"))
+    answering = visits.select("g", F.lit(0).alias("shelf"), F.col("probe").alias("key"), "x", "list")
+    found = _shelved(asking, answering, 1, True, key_type)
+    first = Window.partitionBy("probe").orderBy(F.desc("score"), "neighbour")
+    top = found.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return top.select(F.col("neighbour").alias("probe"), F.col("probe").alias("neighbour"), F.col("score").alias("cosine"))
 
 
 COPIES = 100_000

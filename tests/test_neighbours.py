@@ -90,3 +90,39 @@ def test_made_points_lie_between_neighbours(spark, monkeypatch):
         assert -1e-9 <= way <= 1 and np.allclose(a + way * (b - a), r.v, atol=1e-9)
     used = [r.seed_key for r in made if r.c == "b"]
     assert max(used.count(k) for k in set(used)) - min(used.count(k) for k in set(used)) <= 1
+
+
+def test_shelves_send_a_probe_once(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(700, 8)), 1)
+    x[50:90] = x[10]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    monkeypatch.setattr(neighbours, "SHELF_ROWS", 150)
+    monkeypatch.setattr(neighbours, "SHELF_PROBES", 90)
+    monkeypatch.setattr(neighbours, "STEP_ROWS", 37)
+    sent = []
+    kept = neighbours._shelved
+    monkeypatch.setattr(neighbours, "_shelved", lambda visits, *rest: sent.append(visits) or kept(visits, *rest))
+    for metric in ("cosine", "euclidean"):
+        unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if metric == "cosine" else x
+        scores = unit @ unit.T if metric == "cosine" else -((x[:, None] - x[None]) ** 2).sum(axis=2)
+        scores = np.round(scores, 9)
+        np.fill_diagonal(scores, -np.inf)
+        got = {}
+        for r in neighbours.nearest(df, df, "id", "v", 4, metric=metric, lists=30, first=2).collect():
+            got.setdefault(r.probe, {})[r.rank] = r.score
+        assert all(np.allclose([got[i][n] for n in (1, 2, 3, 4)], np.sort(scores[i])[::-1][:4], atol=1e-8) for i in range(700))
+        most = sent[-1].groupBy("probe").count().agg({"count": "max"}).first()[0]
+        assert most <= 5
+
+
+def test_best_probe_is_the_largest_of_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.round(rng.normal(size=(300, 6)), 1))]
+    rows += [(900, None), (901, [0.0] * 6), (902, [float("nan")] * 6), (903, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    best = neighbours.similarities(df, df, "id", "v", best=True)
+    want = {}
+    for r in neighbours.similarities(df, df, "id", "v").collect():
+        want[r.neighbour] = max(want.get(r.neighbour, (-2, 0)), (r.cosine, -r.probe))
+    assert {r.neighbour: (r.cosine, -r.probe) for r in best.collect()} == want
