@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import collapse_by_priority, literal_map, parse_annotations
 from ..functions.pairs import clean_pair_text
-from ..functions.text import clean_early, clean_late, clean_text, let, words
+from ..functions.text import clean_early, clean_late, let, words
 from ..functions.vocab import EMOTION_CLASSES
+from .cleaning import clean_texts
 from .intensity import correlation
 from .scan import RANGE, by_ranges, exact_quantiles, ordered_scan
 
@@ -80,8 +81,7 @@ def build_funnel(
     sourced = df.withColumn("__kept", kept_source)
     outside = sourced.where(~F.col("__kept")).agg(F.count(F.lit(1)).alias("n"))
     texts = (
-        sourced.where("__kept")
-        .withColumn("__early", clean_early(F.col("text")))
+        clean_texts(sourced.where("__kept").select("row_id", "label", F.col("text").alias("__early")), "__early", clean_early)
         .groupBy("__early")
         .agg(F.count(F.lit(1)).alias("n"), F.min_by("label", "row_id").alias("label"))
     )
@@ -267,7 +267,8 @@ def exposure(df: DataFrame, source: str) -> DataFrame:
 
 def clean_share(df: DataFrame) -> DataFrame:
     """Share of texts the normaliser leaves as they are."""
-    return df.agg(F.avg((clean_text(F.col("text")) == F.col("text")).cast("double")).alias("clean_share"))
+    both = clean_texts(df.select("text", F.col("text").alias("__clean")), "__clean")
+    return both.agg(F.avg((F.col("__clean") == F.col("text")).cast("double")).alias("clean_share"))
 
 
 def label_profile(df: DataFrame, labels: Column) -> DataFrame:
@@ -328,11 +329,9 @@ def script_profile(df: DataFrame) -> DataFrame:
 
 def recleaned_rows(df: DataFrame, placeholders: Sequence[str]) -> DataFrame:
     """Rows a second cleaning changes, by the placeholder they hold."""
-    passes = let(
-        clean_text(F.col("text")),
-        lambda o: F.struct(o.alias("once"), (clean_text(o) != o).alias("changed")),
-    )
-    seen = df.select(passes.alias("__p")).select("__p.once", "__p.changed")
+    once = clean_texts(df.select(F.col("text").alias("once")), "once")
+    twice = clean_texts(once.withColumn("twice", F.col("once")), "twice")
+    seen = twice.select("once", (F.col("twice") != F.col("once")).alias("changed"))
     marks = {p: F.col("changed") & F.contains("once", F.lit(p)) for p in placeholders}
     return pattern_counts(seen, {"all": F.col("changed"), **marks})
 

@@ -7,6 +7,7 @@ from ..functions import pairs as PT
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import splits as P
+from ..operators.cleaning import clean_texts
 from ..session import materialize
 from .catalog import query
 from .derived import SQL_CLASSES, SQL_VIEWS
@@ -32,7 +33,8 @@ def _(t):
 @query("s6_keep_first_cleaned", """
 SELECT min(doc_id) AS doc_id, count(*) AS copies FROM docs_early GROUP BY text""")
 def _(t):
-    return t.texts.groupBy(X.clean_early(F.col("text")).alias("early")).agg(
+    early = clean_texts(t.texts.select("doc_id", F.col("text").alias("early")), "early", X.clean_early)
+    return early.groupBy("early").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("early")
 
 
@@ -223,7 +225,7 @@ def _(t):
 SELECT unnest(['[NUM]','[num]','[URL]','[TAG]','[tag]','[NAME]']) AS name, unnest([count(*) FILTER (contains(text, '[NUM]')), count(*) FILTER (contains(text, '[num]')),
   count(*) FILTER (contains(text, '[URL]')), count(*) FILTER (contains(text, '[TAG]')), count(*) FILTER (contains(text, '[tag]')), count(*) FILTER (contains(text, '[NAME]'))]) AS n FROM marked_early""")
 def _(t):
-    early = marked(t).select(X.clean_early(F.col("text")).alias("text"))
+    early = clean_texts(marked(t).select("text"), "text", X.clean_early)
     return C.pattern_counts(early, {p: F.contains("text", F.lit(p)) for p in ("[NUM]", "[num]", "[URL]", "[TAG]", "[tag]", "[NAME]")})
 
 

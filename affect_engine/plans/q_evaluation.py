@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..functions.vocab import EMOTION_CLASSES
 from ..operators import evaluation as E
+from ..operators.cleaning import clean_texts
 from ..operators import experiments as R
 from .catalog import query
 from .derived import SQL_CLASSES, SQL_VIEWS
@@ -124,7 +124,7 @@ SELECT contains(c.text, '[CAPS]') AS feature, count(*) AS n, round(avg((true_lab
 FROM evals e JOIN marked_clean c USING (doc_id) GROUP BY 1""")
 def _(t):
     from .q_text import marked
-    cleaned = marked(t).select("doc_id", F.contains(X.clean_text(F.col("text")), F.lit("[CAPS]")).alias("caps"))
+    cleaned = clean_texts(marked(t).select("doc_id", "text"), "text").select("doc_id", F.contains("text", F.lit("[CAPS]")).alias("caps"))
     both = t.evals.select("doc_id", "true_label", "pred_label").join(cleaned, "doc_id")
     return r6(E.error_rate_by(both, F.col("caps"), hit()), "error_rate")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import scalar, sentences, text, vocab
 from ..operators import ensemble
+from ..operators.cleaning import clean_texts
 from .catalog import query
 from .derived import SQL_VIEWS
 
@@ -169,12 +170,12 @@ SQL_VIEWS["marked_clean"] = chain_sql(EARLY + LATE + TIDY, "marked")
 
 @query("t11_clean_early", "SELECT * FROM marked_early")
 def _(t):
-    return marked(t).select("doc_id", text.transform_for("clean_early")(F.col("text")).alias("text"))
+    return clean_texts(marked(t).select("doc_id", "text"), "text", text.transform_for("clean_early"))
 
 
 @query("t11_clean_text", "SELECT * FROM marked_clean")
 def _(t):
-    return marked(t).select("doc_id", text.transform_for("clean_text")(F.col("text")).alias("text"))
+    return clean_texts(marked(t).select("doc_id", "text"), "text", text.transform_for("clean_text"))
 
 
 def sentences_sql(x):
