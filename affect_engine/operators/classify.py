@@ -14,9 +14,12 @@ are left out of a vector; a null number counts as the mean.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.linalg import VectorUDT
@@ -63,6 +66,77 @@ def vectoriser_tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
     return F.filter(found, lambda w: ~F.array_contains(stop, w))
 
 
+class _Known:
+    """The terms of a text column as numbers, and the cells they give rows of tokens."""
+
+    def __init__(self, column: TextColumn, rows: Sequence):
+        self.column = column
+        terms = [r.term.split(" ") for r in rows]
+        self.words = pa.array(sorted({w for t in terms for w in t}), pa.string())
+        place = {w: i for i, w in enumerate(self.words.to_pylist())}
+        self.base = max(1, len(place))
+        # A run of words is one number, so it has to fit.
+        self.fits = self.base ** max(column.sizes) < 1 << 62
+        self.runs = {}
+        for n in column.sizes if self.fits else ():
+            own = sorted((self._number([place[w] for w in t]), r.position, r.value) for t, r in zip(terms, rows, strict=True) if len(t) == n)
+            self.runs[n] = tuple(np.array(x, kind) for x, kind in zip(zip(*own, strict=True), (np.int64, np.int64, np.float64), strict=True)) if own else None
+
+    def _number(self, ids):
+        number = 0
+        for i in ids:
+            number = number * self.base + i
+        return number
+
+    def cells(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, position and value of every known term, by row and position."""
+        word = pc.fill_null(pc.index_in(lists.flatten(), self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = [np.zeros((3, 0))]
+        for n, own in self.runs.items():
+            many = len(word) - n + 1
+            if own is None or many <= 0:
+                continue
+            whole = row[:many] == row[n - 1 :]
+            for i in range(n):
+                whole &= word[i : i + many] >= 0
+            at = np.flatnonzero(whole)
+            number = self._number([word[at + i] for i in range(n)])
+            term = np.minimum(np.searchsorted(own[0], number), len(own[0]) - 1)
+            hit = own[0][term] == number
+            pairs, tf = np.unique(row[at[hit]] * len(own[0]) + term[hit], return_counts=True)
+            row_of, term = np.divmod(pairs, len(own[0]))
+            idf = own[2][term]
+            value = {"tf-idf": tf * idf, "log tf-idf": (1 + np.log(tf)) * idf, "count": tf, "binary": np.ones(len(tf))}[self.column.weight]
+            found.append(np.stack([row_of, own[1][term], value]))
+        row_of, position, value = np.concatenate(found, axis=1)
+        row_of, position = row_of.astype(np.int64), position.astype(np.int32)
+        order = np.lexsort((position, row_of))
+        row_of, position, value = row_of[order], position[order], value[order]
+        if "idf" in self.column.weight:
+            value = value / np.sqrt(np.bincount(row_of, value * value, minlength=1))[row_of]
+        return row_of, position, value
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], known: Sequence[_Known]) -> Iterator[pa.RecordBatch]:
+    """Batches ``(key, single numbers, a list of tokens per text column)`` as ``(key, indices, values, single numbers)``."""
+    for batch in batches:
+        lists = batch.columns[2:]
+        ends = np.cumsum(sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + M.COUNTED_TOKENS, side="right")))
+            parts = [k.cells(x.slice(at, to - at)) for k, x in zip(known, lists, strict=True)]
+            row, position, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # Positions rise from column to column.
+            order = np.argsort(row, kind="stable")
+            bounds = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=to - at)))).astype(np.int32))
+            cells = [pa.ListArray.from_arrays(bounds, pa.array(x[order])) for x in (position, value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *cells, batch.column(1).slice(at, to - at)], names=["key", "indices", "values", "singles"])
+            at = to
+
+
 def _kept_terms(df: DataFrame, key: str, column: TextColumn) -> DataFrame:
     """``(term, weight)`` of the terms that stay."""
     counts = column.terms(df, key).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
@@ -147,8 +221,41 @@ class Features:
         mean, deviation = scales[name, "mean"], scales[name, "deviation"]
         return (F.coalesce(F.col(name).cast("double"), F.lit(mean)) - mean) / (deviation or 1.0)
 
+    def _by_row(self, df: DataFrame, key: str, known: list[_Known]) -> DataFrame:
+        """As ``apply`` for rows with a key each: a row's vector is made where it lies."""
+        singles = [c.cast("double") for c in self._singles(df).values()]
+        if self.numbers:
+            scales = {(r.name, r.term): r.value for r in self.table.where("part = 'scale'").collect()}
+            singles = [*[self._scaled(n, scales) for n in self.numbers], *singles]
+        numbers = T.ArrayType(T.DoubleType())
+        schema = T.StructType([df.schema[key], T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", numbers), T.StructField("__s", numbers)])
+        rows = df.select(key, F.array(*singles).cast(numbers).alias("__s"), *[vectoriser_tokens(F.col(t.name), t.stop_words).alias(f"__t{i}") for i, t in enumerate(self.texts)])
+        out = rows.mapInArrow(lambda it: (b.rename_columns(schema.names) for b in _vectors(it, known)), schema)
+        last = F.col("__s")
+        if self.polarity is not None:
+            lexicon = self._part("word", self.polarity).select(F.col("term").alias("word"), F.col("value").alias("polarity"))
+            found = M.polarity(df.select(key, self.polarity), key, self.polarity, lexicon).withColumnRenamed("polarity", "__polarity")
+            out = out.join(found, key, "left")
+            last = F.array_append("__s", F.coalesce("__polarity", F.lit(0.0)) + self.shift)
+        first = sum(t.max_features for t in self.texts)
+        placed = F.transform(last, lambda v, i: F.struct((i + first).cast("int").alias("position"), v.alias("value")))
+        out = out.withColumn("__s", F.filter(placed, lambda x: x["value"] != 0))
+        return out.select(
+            key,
+            F.lit(self.size).alias("size"),
+            F.concat("indices", F.col("__s")["position"]).alias("indices"),
+            F.concat("values", F.col("__s")["value"]).alias("values"),
+        )
+
     def apply(self, df: DataFrame, key: str) -> DataFrame:
-        """``(key, size, indices, values)`` of every row, indices rising."""
+        """``(key, size, indices, values)`` of every row, indices rising.
+
+        Rows of one key are added up, which takes a shuffle of their cells.
+        """
+        # At most max_features rows a column.
+        known = [_Known(t, self._part("term", t.name).collect()) for t in self.texts]
+        if known and all(k.fits for k in known) and df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return self._by_row(df, key, known)
         cells = self.cells(df, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("__c"))
         empty = F.array()
         return df.select(key).join(cells, key, "left").select(

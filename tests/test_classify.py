@@ -75,3 +75,24 @@ def test_wrong_options(spark, folds):
     rows = train.withColumn("x", F.lit(1))
     with pytest.raises(ValueError, match="unknown classifier"):
         classify.train(rows, "label", "tree")
+
+
+@pytest.mark.parametrize("weight", ["tf-idf", "log tf-idf", "count", "binary"])
+def test_rows_with_a_key_each_take_no_shuffle_of_cells(spark, folds, weight):
+    _, train, held = folds
+    lexicon = spark.createDataFrame([("sun", 1.0), ("dark", -1.0)], "word string, polarity double")
+    columns = [classify.TextColumn("text", sizes=(1, 2, 3), max_features=90, weight=weight), classify.TextColumn("label", sizes=(1,), max_features=5)]
+    fitted = classify.fit_features(train, "id", columns, numbers=["confidence"], counted=["text"], polarity="text", lexicon=lexicon)
+    empty = spark.createDataFrame([(900, None, None, None), (901, "", "", 0.5)], held.schema)
+    rows = held.unionByName(empty)
+    want = {}
+    for r in fitted.cells(rows, "id").collect():
+        want.setdefault(r.id, {})[r.position] = r.value
+    out = fitted.apply(rows, "id")
+    assert "WindowExec" not in out._jdf.queryExecution().executedPlan().toString() and "collect_list" not in out._jdf.queryExecution().toString()
+    found = out.collect()
+    assert len(found) == rows.count()
+    for r in found:
+        assert r.indices == sorted(r.indices) and dict(zip(r.indices, r["values"], strict=True)) == pytest.approx(want.get(r.id, {}))
+    twice = fitted.apply(rows.unionByName(rows), "id")
+    assert "collect_list" in twice._jdf.queryExecution().toString()
