@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -457,17 +457,23 @@ def pair_quality(en: Column, ru: Column) -> Column:
     )
 
 
+def _rows_where(df: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """Rows that ``keep`` takes. A plain filter would work out the columns it reads a second time."""
+    return df.select(F.inline(F.filter(F.array(F.struct(*df.columns)), keep)))
+
+
 def build_pairs(
     pairs: DataFrame, key: str, threshold: float = 0.5, low: int = 66, high: int = 313
 ) -> DataFrame:
     """Clean, drop empty sides and later copies, filter by length, keep good pairs."""
     cleaned = pairs.select(
         key, clean_pair_text(F.col("en"), "en").alias("en"), clean_pair_text(F.col("ru"), "ru").alias("ru")
-    ).where((F.col("en") != "") & (F.col("ru") != ""))
+    )
+    cleaned = _rows_where(cleaned, lambda r: (r["en"] != "") & (r["ru"] != ""))
     first = keep_first(cleaned, [F.lower("en"), F.lower("ru")], key)
     fitting = first.where(pair_lengths_ok(F.col("en"), F.col("ru"), low, high))
     scored = fitting.withColumn("score", pair_quality(F.col("en"), F.col("ru")))
-    return scored.where(F.col("score") >= threshold)
+    return _rows_where(scored, lambda r: r["score"] >= threshold)
 
 
 def pair_report(
