@@ -57,12 +57,15 @@ def words_to_scenes(words: DataFrame, scenes: DataFrame, key: str = "video_id")
     join.
     """
     order = ["start", "__kind", "__tie"]
+    # What places a word travels once.
+    tie = ["segment_id", "i"]
+    rest = [c for c in words.columns if c not in (key, "start", *tie)]
     line = words.select(
         key,
         "start",
         F.lit(1).alias("__kind"),
-        F.struct("segment_id", "i").alias("__tie"),
-        F.struct(*words.columns).alias("__word"),
+        F.struct(*tie).alias("__tie"),
+        F.struct(*(rest or [key])).alias("__word"),
         F.lit(None).cast("struct<id:bigint,end:double>").alias("__scene"),
     ).unionByName(
         scenes.select(
@@ -80,7 +83,9 @@ def words_to_scenes(words: DataFrame, scenes: DataFrame, key: str = "video_id")
         line, [key], order, chunk_of(F.col("start"), TIME_CHUNK), carry={"__last": F.col("__scene")}
     ).where("__kind = 1")
     inside = F.col("start") < F.col("__last.end")
-    return seen.select("__word.*", F.when(inside, F.col("__last.id")).alias("global_scene_id"))
+    kept = {c: F.col(f"__tie.{c}").cast(words.schema[c].dataType) for c in tie} | {c: F.col(f"__word.{c}") for c in rest}
+    own = [kept.get(c, F.col(c)).alias(c) for c in words.columns]
+    return seen.select(*own, F.when(inside, F.col("__last.id")).alias("global_scene_id"))
 
 
 def words_to_scenes_by_range(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sentences import CAPITAL, cosine, jaccard, overlap_words
@@ -43,16 +43,26 @@ def number_words(words: DataFrame) -> DataFrame:
 
     ``p`` counts the tokens of the scene before the word, ``prior`` is the last.
     """
-    kept = words.where(F.col("global_scene_id").isNotNull()).withColumn("tokens", _tokens(F.col("word")))
+    whole, cut = F.col("__whole"), F.col("__cut")
+    # Most words are one token and travel as it; only others are cut.
+    parts = _tokens(F.col("word"))
+    plain = F.col("word").rlike(_WHOLE)
+    kept = words.where(F.col("global_scene_id").isNotNull()).select(
+        *SCENE, "segment_id", "i", "start", "end", "probability", F.when(plain, F.col("word")).alias("__whole"), F.when(~plain, parts).alias("__cut")
+    )
     return ordered_scan(
         kept,
         SCENE,
         ["segment_id", "i"],
         nested_chunk(F.col("segment_id"), F.col("i"), WORD_CHUNK),
         position="__pos",
-        sums={"p": F.size("tokens").cast("long")},
-        prior={"prior": F.try_element_at("tokens", F.lit(-1))},
-    ).withColumn("w", F.col("__pos") - 1).drop("__pos")
+        sums={"p": F.when(whole.isNotNull(), 1).otherwise(F.size(cut)).cast("long")},
+        prior={"prior": F.coalesce(whole, F.try_element_at(cut, F.lit(-1)))},
+    ).withColumns({"w": F.col("__pos") - 1, "tokens": F.when(whole.isNotNull(), F.array(whole)).otherwise(cut)}).drop("__pos", "__whole", "__cut")
+
+
+#: A word that is its own token: nothing to part, no dots to replace.
+_WHOLE = r"^[A-Za-zÀ-ÿЀ-ӿ0-9',;:-]+[.!?]?$"
 
 
 def _tokens(word: Column) -> Column:
@@ -183,24 +193,33 @@ def timed_sentences(numbered: DataFrame, max_words: int) -> DataFrame:
     ordered = ordered_scan(
         sentences, SCENE, ["p"], chunk_of(F.col("p"), WORD_CHUNK), position="__pos", sums={"__from": F.col("n_tokens")}
     )
-    spread = ordered.select(
+    # Words and the sentences' first places in one scan; a sentence is told to every chunk that holds words of it.
+    chunk = chunk_of(F.col("__from"), WORD_CHUNK)
+    last = chunk_of(F.col("__from") + F.col("n_tokens") - 1, WORD_CHUNK)
+    told = ordered.select("*", F.explode(F.sequence(chunk, last)).alias("__c"))
+    opening = told.select(
         *SCENE,
-        (F.col("__pos") - 1).alias("s"),
-        "sentence",
+        "__c",
+        F.greatest("__from", F.col("__c") * WORD_CHUNK).alias("w"),
+        F.struct((F.col("__pos") - 1).alias("s"), (F.col("__from") + F.col("n_tokens")).alias("to")).alias("__in"),
+        F.when(F.col("__c") == chunk, F.col("sentence")).alias("sentence"),
         "n_tokens",
-        F.explode(F.sequence(F.col("__from"), F.col("__from") + F.col("n_tokens") - 1)).alias("w"),
     )
+    spoken = numbered.select(*SCENE, chunk_of(F.col("w"), WORD_CHUNK).alias("__c"), "w", "start", "end", "probability", F.col("w").alias("__w"))
+    order = Window.partitionBy(*SCENE, "__c").orderBy("w", F.col("__w").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = opening.unionByName(spoken, allowMissingColumns=True).withColumn("__in", F.last("__in", ignorenulls=True).over(order))
     return (
-        spread.join(numbered.select(*SCENE, "w", "start", "end", "probability"), [*SCENE, "w"])
-        .groupBy(*SCENE, "s")
+        both.where("w < __in.to")
+        .groupBy(*SCENE, F.col("__in.s").alias("s"))
         .agg(
-            F.first("sentence").alias("sentence"),
-            F.first("n_tokens").alias("n_tokens"),
-            F.min_by("start", "w").alias("start"),
-            F.max_by("end", "w").alias("end"),
-            F.count(F.lit(1)).alias("n_words"),
+            F.max("sentence").alias("sentence"),
+            F.max("n_tokens").alias("n_tokens"),
+            F.min_by("start", "__w").alias("start"),
+            F.max_by("end", "__w").alias("end"),
+            F.count("__w").alias("n_words"),
             F.sum("probability").alias("confidence_sum"),
         )
+        .where("n_words > 0")
     )
 
 
@@ -230,30 +249,27 @@ def pack_sentences(sentences: DataFrame, limits: Limits, vector: str | None = No
     Neighbouring sentences are compared by the cosine of their vectors where
     ``vector`` names a column and both have one, else by their shared words.
     """
-    bag = sentences.withColumn("__bag", overlap_words(F.col("sentence")))
-    before = bag.select(*SCENE, (F.col("s") + 1).alias("s"), F.col("__bag").alias("__prev"), *([F.col(vector).alias("__prev_v")] if vector else []))
-    words_alike = jaccard(F.col("__prev"), F.col("__bag"))
-    alike = F.coalesce(cosine(F.col("__prev_v"), F.col(vector)), words_alike) if vector else words_alike
-    seen = bag.join(before, [*SCENE, "s"], "left").withColumn("__sim", F.coalesce(alike, F.lit(0.0)))
     payload = [c for c in sentences.columns if c not in (*SCENE, "s")]
-    ahead = (
-        seen.select(
-            *SCENE,
-            "s",
-            F.col("n_tokens").alias("n"),
-            F.col("__sim").alias("sim"),
-            F.struct(*payload).alias("__own"),
-            F.explode(F.sequence(F.lit(0), F.lit(limits.max_sentences))).alias("off"),
-        )
-        .withColumn("s", F.col("s") - F.col("off"))
-        .where("s >= 0")
-        .groupBy(*SCENE, "s")
-        .agg(
-            F.collect_list(F.struct("off", "n", "sim")).alias("__ahead"),
-            F.first(F.when(F.col("off") == 0, F.col("__own")), ignorenulls=True).alias("__own"),
-        )
+    # Chunks with the sentence before them and those that a segment may reach; bags are made after the shuffle.
+    chunk, place = chunk_of(F.col("s"), WORD_CHUNK), F.col("s") % WORD_CHUNK
+    reached = F.array(
+        chunk,
+        F.when((place < limits.max_sentences) & (chunk > 0), chunk - 1),
+        F.when(place == WORD_CHUNK - 1, chunk + 1),
     )
-    linked = ahead.select(*SCENE, "s", "__own.*", (F.col("s") + _successor(limits)).alias("__next"))
+    dealt = sentences.withColumn("__c", F.explode(F.array_compact(reached))).repartition(*SCENE, "__c")
+    along = Window.partitionBy(*SCENE, "__c").orderBy("s")
+    own = F.struct("s", overlap_words(F.col("sentence")).alias("bag"), *([F.col(vector).alias("v")] if vector else []))
+    seen = dealt.withColumn("__it", own).withColumn("__before", F.lag("__it").over(along))
+    alike = jaccard(F.col("__before.bag"), F.col("__it.bag"))
+    if vector:
+        alike = F.coalesce(cosine(F.col("__before.v"), F.col("__it.v")), alike)
+    alike = F.when(F.col("__before.s") == F.col("s") - 1, alike)
+    ahead = F.struct("s", F.col("n_tokens").alias("n"), F.coalesce(alike, F.lit(0.0)).alias("sim"))
+    found = seen.withColumn("__one", ahead).withColumn("__ahead", F.collect_list("__one").over(along.rangeBetween(0, limits.max_sentences)))
+    offsets = F.transform("__ahead", lambda x: F.struct((x["s"] - F.col("s")).cast("int").alias("off"), x["n"].alias("n"), x["sim"].alias("sim")))
+    kept = found.where(F.col("__c") == chunk).withColumn("__ahead", offsets)
+    linked = kept.select(*SCENE, "s", *payload, (F.col("s") + _successor(limits)).alias("__next"))
     return follow(linked, SCENE, "s", "__next", "seg", payload)
 
 
