@@ -1,26 +1,31 @@
-"""N-gram Jaccard join over token-combination prefixes, exact for any group size.
+"""N-gram Jaccard join over parts that linked sets must have alike, exact for any group size.
 
 A document's set is its distinct word shingles (hashes of 64 bits). Documents
 with equal sets are one node, named by a 64-bit sum of the set. Two sets link
 when ``percent`` of their union lies in their intersection.
 
-*Prefixes.* Shingles are ordered rare ones first, frequent ones last, each class
-by hash. Linked sets share one of the first ``p`` shingles of each, where
-``p = n - need + 1``. If the first one they share is rare, the single shingle is
-a common key. Otherwise all they share is frequent; prefixes are then extended
-to ``2 p``, where they share more than ``p`` frequent shingles, and so two
-neighbouring shared ones at most ``REACH`` places apart in either list: all
-pairs within ``REACH`` are keys. That is linear in the prefix and loses nothing.
+*Parts.* Sets are dealt to bands by their sizes, so that linked sets are in the
+same band or in neighbouring ones. For both cases the sizes bound by how many
+shingles linked sets differ. The range of hashes is cut into more parts than
+that, so at least one part is the same in both sets; the content of a part is a
+key. A key stands for several shingles, so few unlike texts share one.
 
-*Classes* matter for speed only. A shingle is frequent when it comes up
-``FREQUENT`` times in blocks of documents that hold it more than once; the
-``TABLE`` most frequent ones make up the class, which bounds what is broadcast,
-whatever the corpus.
+*Light parts* have less than ``CONTENT`` shingles and would be keys of many
+unlike texts. They are lengthened, to the end of the first following part (after
+the last comes the first) that makes up ``CONTENT``. A differing shingle can so
+spoil its own part and the light parts lengthened over it, and each of these is
+light in both sets: with ``s`` parts in reserve, a common key is left whenever
+one of the sets has at most ``s`` light parts. Sets with more of them give the
+light parts as they are, too.
+
+*Meeting.* Keys travel in blocks of bytes, one per slice and share of the key
+range, a node's once per task. A share gives back the keys that several nodes
+have; all else never becomes a row.
 
 *Groups.* The nodes of a key are not compared pair by pair. In each round a few
 nodes of each group, the hubs, are compared with the others that are not yet in
-their component, and leave the group; groups within one component end. There is
-one hub in the first round, when copies fall together, then more (``HUBS``).
+their component, and leave the group; groups within one component end. There are
+few hubs in the first round, when copies fall together, then more (``HUBS``).
 Pairs that sizes or parities rule out are never verified.
 Only links that a known path already implies are skipped, so components are
 exact. Keys with the same nodes are one group.
@@ -39,13 +44,17 @@ from pyspark.sql import functions as F
 from .tables import components, remove, saved
 from .words import find_words, mix, seeds, shingles, short_sequence, slices, text_bytes
 
-FREQUENT = 8
-TABLE = 1 << 20
-REACH = 5
-HUBS = (1, 8, 64)
+CONTENT = 2
+SHARES = 1024
+BLOCK = 1 << 20
+HUBS = (8, 512)
 PARITY_WORDS = 4
+NONE = np.zeros(0, np.uint64)
 
-_NODE, _LEFT = seeds(2, 4000)
+_NODE, _MEMBER, _BAND = seeds(3, 4000)
+# Filled in each process as sizes come up; functools.cache doesn't travel to executors without the package.
+_BORDERS: dict[int, np.ndarray] = {}
+_PARTS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int]] = {}
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -76,73 +85,137 @@ def parities(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def needed(n: int, percent: int) -> int:
-    """Least number of shared shingles for a set of ``n`` to link with any other."""
-    return -(-n * percent // 100)
+def borders(percent: int) -> np.ndarray:
+    """Least size of each band: linked sets are in one band or in neighbouring ones."""
+    if percent in _BORDERS:
+        return _BORDERS[percent]
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(least[-1] * 100 // percent + 1)
+    return _BORDERS.setdefault(percent, np.array(least))
 
 
-def prefix_keys(members: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set: rare shingles of its prefix, close pairs of frequent ones."""
-    n = len(members)
-    p = n - needed(n, percent) + 1
-    at = np.searchsorted(frequent, members)
-    common = frequent[np.minimum(at, len(frequent) - 1)] == members if len(frequent) else np.zeros(n, bool)
-    rare = members[~common][:p]
-    if len(rare) == p:
-        return rare
-    rest = members[common][: 2 * p - len(rare)]
-    pairs = [mix(rest[:-gap] * (_LEFT | np.uint64(1)) ^ rest[gap:]) for gap in range(1, min(REACH, len(rest) - 1) + 1)]
-    return np.unique(np.concatenate([rare, *pairs]))
-
-
-def frequent_shingles(docs: DataFrame, text: str, size: int, least: int = FREQUENT, most: int = TABLE) -> np.ndarray:
-    """Sorted hashes of the frequent class."""
-
-    def common(batches):
-        for part in slices(batches, text, 16 << 20):
-            sets = {}
-            for one in slices(iter([part]), text):
-                for members in shingle_sets(one.column(text), size):
-                    if len(members):
-                        sets[node_of(members)] = members
-            found, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            keep = counts > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["shingle", "n"]
-            )
+def parts(band: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Least hash of each part for links whose smaller set is in ``band``, the parts' seeds, how many are in reserve."""
+    if (band, percent) in _PARTS:
+        return _PARTS[band, percent]
+    most = int(borders(percent)[band + 1]) - 1
+    differ = (100 - percent) * (most + most * 100 // percent) // (100 + percent)
+    reserve = 2 + differ // 12
+    at = np.arange(differ + 1 + reserve, dtype=np.uint64)
+    least = (at << np.uint64(32)) // np.uint64(len(at)) << np.uint64(32)
+    return _PARTS.setdefault((band, percent), (least, mix(at + (np.uint64(band) << np.uint64(40)) ^ _BAND), reserve))
 
-    counts = docs.select(text).mapInArrow(common, "shingle long, n long")
-    sums = counts.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    rows = sums.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
+def prefix_keys(members: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set, its parts as of the smaller and of the larger set of a link.
 
-def prefix_table(docs: DataFrame, frequent: np.ndarray, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """``(doc_id, node, n, keys, odd)`` of every document; node is null for empty sets."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent)
+    Shingles in ``frequent`` (sorted) do not count as content of a part.
+    """
+    n = len(members)
+    if percent >= 100:
+        return NONE
+    # Places from 0 to 2 n, as windows may run on from the last part to the first.
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.tile(mix(members ^ _MEMBER), 2), dtype=np.uint64)))
+    counts = np.arange(2 * n + 1)
+    if len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)] != members
+        counts = np.concatenate(([0], np.cumsum(np.tile(rare, 2))))
+    band = int(np.searchsorted(borders(percent), n, side="right")) - 1
+    keys = []
+    for lower in range(max(band - 1, 0), band + 1):
+        least, own, reserve = parts(lower, percent)
+        start = np.searchsorted(members, least)
+        end = np.append(start[1:], n)
+        light = counts[end] - counts[start] < CONTENT
+        last = end
+        if light.any():
+            ends = np.concatenate((end, end + n))
+            full = np.searchsorted(counts[ends], counts[start] + CONTENT)
+            last = np.minimum(ends[np.clip(full, np.arange(len(end)), len(ends) - 1)], start + n)
+        keys.append(mix(sums[last] - sums[start] + own))
+        if light.sum() > reserve:
+            keys.append(mix(sums[end] - sums[start] + own)[light])
+    return np.concatenate(keys)
+
+
+def set_table(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``(doc_id, node, n, odd)`` of every document; node is null for empty sets."""
 
     def run(batches):
         for part in slices(batches, "_text"):
             sets = shingle_sets(part.column("_text"), size)
-            keys = [prefix_keys(s, table.value, percent) if len(s) else np.zeros(0, np.uint64) for s in sets]
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(ends, pa.array(flat)),
                     pa.ListArray.from_arrays(
                         np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS,
                         pa.array(np.concatenate([parities(s) for s in sets])),
                     ),
                 ],
-                names=["doc_id", "node", "n", "keys", "odd"],
+                names=["doc_id", "node", "n", "odd"],
             )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, keys array<long>, odd array<long>")
+    return rows.mapInArrow(run, "doc_id long, node long, n long, odd array<long>")
+
+
+def _blocks(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+    """``(share, keys, nodes)``: one row for each share of the key range."""
+    flat = np.concatenate(keys)
+    share = (flat >> np.uint64(32)) * np.uint64(SHARES) >> np.uint64(32)
+    order = np.argsort(share, kind="stable")
+    found, first = np.unique(share[order], return_index=True)
+    ends = pa.py_buffer((np.append(first, len(flat)) * 8).astype(np.int32))
+    bodies = (flat[order], np.concatenate(nodes)[order])
+    columns = [pa.Array.from_buffers(pa.binary(), len(found), [None, ends, pa.py_buffer(b)]) for b in bodies]
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *columns], names=["share", "keys", "nodes"])
+
+
+def key_groups(docs: DataFrame, text: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """``(key, node)`` of the keys that several nodes have."""
+
+    def send(batches):
+        seen: set[int] = set()
+        keys, nodes, held = [], [], 0
+        for part in slices(batches, text):
+            for members in shingle_sets(part.column(text), size):
+                node = node_of(members) if len(members) else None
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                keys.append(prefix_keys(members, frequent, percent))
+                nodes.append(np.full(len(keys[-1]), node, np.int64))
+                held += len(keys[-1])
+                if held >= BLOCK:
+                    yield _blocks(keys, nodes)
+                    keys, nodes, held = [], [], 0
+        if held:
+            yield _blocks(keys, nodes)
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, nodes = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("keys", "nodes"))
+        order = np.argsort(keys, kind="stable")
+        order = order[_alike(keys[order])]
+        order = order[np.lexsort((nodes[order], keys[order]))]
+        keys, nodes = keys[order], nodes[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+        keys, nodes = keys[fresh], nodes[fresh]
+        several = _alike(keys)
+        return pa.table({"key": keys[several], "node": nodes[several]})
+
+    sent = docs.select(text).mapInArrow(send, "share int, keys binary, nodes binary")
+    return sent.groupBy("share").applyInArrow(meet, "key long, node long")
+
+
+def _alike(sorted_keys: np.ndarray) -> np.ndarray:
+    """For each of the sorted keys whether a neighbour equals it."""
+    same = np.zeros(len(sorted_keys) + 1, bool)
+    same[1:-1] = sorted_keys[1:] == sorted_keys[:-1]
+    return same[1:] | same[:-1]
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -183,23 +256,24 @@ def _unlike(groups: DataFrame, folders: list[str]) -> DataFrame:
     return saved(groups.join(kept, "key", "left_semi"), "groups", folders)
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+def link(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, frequent: np.ndarray = NONE
+) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document.
 
     ``component_id`` is the smallest id reachable over links, the document's own
     if there are none. Keys must be unique integers; rows with a null key are
-    components of their own.
+    components of their own. ``frequent``: sorted hashes of shingles, as of a
+    licence, that alone make no key where that can be avoided.
     """
     spark = docs.sparkSession
     folders: list[str] = []
-    table = saved(prefix_table(docs, frequent_shingles(docs, text, size), key, text, size, percent), "prefixes", folders)
+    table = saved(set_table(docs, key, text, size), "sets", folders)
     ids = table.select("doc_id", "node", F.col("n").alias("n_shingles"))
-    rows = table.select(F.explode("keys").alias("key"), "node", "n")
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    groups = _unlike(saved(rows.join(shared, "key").select("key", "node", "n").distinct(), "groups", folders), folders)
+    groups = _unlike(saved(key_groups(docs, text, size, percent, frequent), "groups", folders), folders)
     # The parities of the nodes in groups only; a node's documents have the same.
-    odd = table.select("node", *[F.col("odd")[i].alias(f"o{i}") for i in range(PARITY_WORDS)])
-    odd = odd.groupBy("node").agg(*[F.max(f"o{i}").alias(f"o{i}") for i in range(PARITY_WORDS)])
+    odd = table.select("node", "n", *[F.col("odd")[i].alias(f"o{i}") for i in range(PARITY_WORDS)])
+    odd = odd.groupBy("node").agg(F.max("n").alias("n"), *[F.max(f"o{i}").alias(f"o{i}") for i in range(PARITY_WORDS)])
     groups = saved(groups.join(odd, "node"), "groups", folders)
     columns = ["key", "node", "n", *[f"o{i}" for i in range(PARITY_WORDS)]]
     first = ids.groupBy("node").agg(F.min("doc_id").alias("_id"))

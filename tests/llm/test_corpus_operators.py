@@ -102,6 +102,21 @@ def test_prefix_keys_meet_for_every_linked_pair():
             assert len(np.intersect1d(x, y))
 
 
+def test_unlike_texts_share_few_keys():
+    """Sets with a common shingle or two, of which each was a key of all that have it, and light parts."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    held = Counter()
+    for _ in range(400):
+        own = rng.integers(0, 2**64, 400, dtype=np.uint64)
+        keys = ngram_join.prefix_keys(np.unique(np.concatenate([own, common])), ngram_join.NONE, 85)
+        assert len(keys) < 0.4 * 440
+        held.update(np.unique(keys).tolist())
+    assert max(held.values()) < 8
+
+
 def test_passages_of_over_fifty_words(docs, corpus):
     where = defaultdict(set)
     for i, text in corpus:
