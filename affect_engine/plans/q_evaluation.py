@@ -17,7 +17,13 @@ SIX = ("precision", "recall", "f1")
 
 
 def r6(df, *columns):
-    return df.select(*[F.round(c, 6).alias(c) if c in columns else F.col(c) for c in df.columns])
+    """Six digits, by the double that is 1e6 times the value, as the SQL's ``round`` does.
+
+    ``F.round`` goes by the decimal digits, which is another side for some ties, as 333/640.
+    """
+    double = {c for c, kind in df.dtypes if kind == "double"}
+    digits = lambda c: F.round(F.col(c) * 1e6, 0) / 1e6 if c in double else F.round(c, 6)
+    return df.select(*[digits(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def metrics_sql(source: str, key: str = "") -> str:
