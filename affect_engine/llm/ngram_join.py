@@ -10,13 +10,16 @@ shingles linked sets differ. The range of hashes is cut into more parts than
 that, so at least one part is the same in both sets; the content of a part is a
 key. A key stands for several shingles, so few unlike texts share one.
 
-*Light parts* have less than ``CONTENT`` shingles and would be keys of many
+*Light parts* have less than ``content`` shingles (two, or one where parts are too
+small for that) and would be keys of many
 unlike texts. They are lengthened, to the end of the first following part (after
-the last comes the first) that makes up ``CONTENT``. A differing shingle can so
+the last comes the first) that makes up ``content``. A differing shingle can so
 spoil its own part and the light parts lengthened over it, and each of these is
 light in both sets: with ``s`` parts in reserve, a common key is left whenever
-one of the sets has at most ``s`` light parts. Sets with more of them give the
-light parts as they are, too.
+one of the sets has at most ``s`` light parts. The reserve of a band is as many as
+its smallest sets may be expected to have light. Sets with more light parts all the
+same, as some of few shingles, also give the shingles of their prefix, the least so many that
+two linked sets have one of them in common; no key stands for an empty part.
 
 *Meeting.* Keys travel in blocks of bytes, one per slice and share of the key
 range, a node's once per task. A share gives back the keys that several nodes
@@ -44,17 +47,16 @@ from pyspark.sql import functions as F
 from .tables import components, remove, saved
 from .words import find_words, mix, seeds, shingles, short_sequence, slices, text_bytes
 
-CONTENT = 2
 SHARES = 1024
 BLOCK = 1 << 20
 HUBS = (8, 512)
 PARITY_WORDS = 4
 NONE = np.zeros(0, np.uint64)
 
-_NODE, _MEMBER, _BAND = seeds(3, 4000)
+_NODE, _MEMBER, _BAND, _SINGLE = seeds(4, 4000)
 # Filled in each process as sizes come up; functools.cache doesn't travel to executors without the package.
 _BORDERS: dict[int, np.ndarray] = {}
-_PARTS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int]] = {}
+_PARTS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int, int]] = {}
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -95,16 +97,39 @@ def borders(percent: int) -> np.ndarray:
     return _BORDERS.setdefault(percent, np.array(least))
 
 
-def parts(band: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Least hash of each part for links whose smaller set is in ``band``, the parts' seeds, how many are in reserve."""
+def reserve(least: int, differ: int) -> tuple[int, int]:
+    """How many parts are in reserve, and the content of a part that isn't light.
+
+    Two if a quarter of the parts in reserve, and a few, can be as many as are light, else one.
+    """
+
+    def short(spare: int, content: int) -> float:
+        """Light parts of a set of ``least`` shingles, two deviations above the mean, beyond the reserve."""
+        n = differ + 1 + spare
+        light = (1 - 1 / n) ** least
+        if content > 1:
+            light += least / n * (1 - 1 / n) ** (least - 1)
+        return n * light + 2 * (n * light * (1 - light)) ** 0.5 - spare
+
+    for content, most in ((2, 4 + differ // 4), (1, 4 + differ // 2)):
+        # What is short falls, then rises again.
+        at = np.unique(np.linspace(0, most, 200).astype(int)).tolist()
+        enough = [x for x in at if short(x, content) <= 0]
+        if enough:
+            return enough[0], content
+    return min(at, key=lambda x: short(x, 1)), 1
+
+
+def parts(band: int, percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of links whose smaller set is in ``band``: each part's least hash and seed, how many parts are in reserve, their content."""
     if (band, percent) in _PARTS:
         return _PARTS[band, percent]
-    most = int(borders(percent)[band + 1]) - 1
+    least, most = int(borders(percent)[band]), int(borders(percent)[band + 1]) - 1
     differ = (100 - percent) * (most + most * 100 // percent) // (100 + percent)
-    reserve = 2 + differ // 12
-    at = np.arange(differ + 1 + reserve, dtype=np.uint64)
-    least = (at << np.uint64(32)) // np.uint64(len(at)) << np.uint64(32)
-    return _PARTS.setdefault((band, percent), (least, mix(at + (np.uint64(band) << np.uint64(40)) ^ _BAND), reserve))
+    spare, content = reserve(least, differ)
+    at = np.arange(differ + 1 + spare, dtype=np.uint64)
+    start = (at << np.uint64(32)) // np.uint64(len(at)) << np.uint64(32)
+    return _PARTS.setdefault((band, percent), (start, mix(at + (np.uint64(band) << np.uint64(40)) ^ _BAND), spare, content))
 
 
 def prefix_keys(members: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -117,25 +142,28 @@ def prefix_keys(members: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
         return NONE
     # Places from 0 to 2 n, as windows may run on from the last part to the first.
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.tile(mix(members ^ _MEMBER), 2), dtype=np.uint64)))
-    counts = np.arange(2 * n + 1)
+    counts, rare = np.arange(2 * n + 1), np.ones(n, bool)
     if len(frequent):
         rare = frequent[np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)] != members
         counts = np.concatenate(([0], np.cumsum(np.tile(rare, 2))))
     band = int(np.searchsorted(borders(percent), n, side="right")) - 1
-    keys = []
+    keys, few = [], False
     for lower in range(max(band - 1, 0), band + 1):
-        least, own, reserve = parts(lower, percent)
+        least, own, spare, content = parts(lower, percent)
         start = np.searchsorted(members, least)
         end = np.append(start[1:], n)
-        light = counts[end] - counts[start] < CONTENT
+        light = counts[end] - counts[start] < content
         last = end
         if light.any():
             ends = np.concatenate((end, end + n))
-            full = np.searchsorted(counts[ends], counts[start] + CONTENT)
+            full = np.searchsorted(counts[ends], counts[start] + content)
             last = np.minimum(ends[np.clip(full, np.arange(len(end)), len(ends) - 1)], start + n)
         keys.append(mix(sums[last] - sums[start] + own))
-        if light.sum() > reserve:
-            keys.append(mix(sums[end] - sums[start] + own)[light])
+        few |= light.sum() > spare
+    if few:
+        # Linked sets have percent of either in common, so not all of these can be missing; rare ones come first.
+        prefix = np.concatenate((members[rare], members[~rare]))[: n - -(-percent * n // 100) + 1]
+        keys.append(mix(prefix ^ _SINGLE))
     return np.concatenate(keys)
 
 

@@ -117,6 +117,52 @@ def test_unlike_texts_share_few_keys():
     assert max(held.values()) < 20  # with single shingles as keys: 400
 
 
+def test_keys_of_any_percentage_meet_and_none_is_empty():
+    """At 80 percent a fifth of the parts was light, and empty ones were keys of unlike texts."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    held = Counter()
+    for _ in range(200):
+        held.update(np.unique(ngram_join.prefix_keys(np.unique(fresh(700)), ngram_join.NONE, 80)).tolist())
+    assert max(held.values()) == 1  # 12 with empty parts as keys
+    met = 0
+    for turn in range(1500):
+        percent = (60, 80, 85, 95)[turn % 4]
+        a = np.unique(fresh(int(rng.integers(1, (12, 60, 500)[turn % 3]))))
+        out = rng.permutation(a)[: int(len(a) * rng.random() * (100 - percent) / 100)]
+        b = np.union1d(np.setdiff1d(a, out), fresh(int(len(out) * rng.random())))
+        frequent = np.sort(rng.choice(a, int(len(a) * rng.random()) if turn % 5 == 0 else 0, replace=False))
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            met += 1
+            assert len(np.intersect1d(*(ngram_join.prefix_keys(s, frequent, percent) for s in (a, b))))
+    assert met > 400
+
+
+def test_jaccard_of_eighty_percent_equals_brute_force(docs):
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        words = sentence(rng, rng.choice((6, 12, 40, 150, 700))).split()
+        for j in range(4):
+            rows.append((4 * i + j, " ".join(words)))
+            words = [w if rng.random() > 0.012 else f"{w}{j}" for w in words[rng.randrange(2) :]]
+    cut = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} or {tuple(t.lower().split())} for i, t in rows}
+    root = {i: i for i in cut}
+    changed = True
+    while changed:
+        changed = False
+        for a in cut:
+            for b in cut:
+                if root[a] < root[b] and 100 * len(cut[a] & cut[b]) >= 80 * len(cut[a] | cut[b]):
+                    root = {i: root[a] if r == root[b] else r for i, r in root.items()}
+                    changed = True
+    assert 60 < len(set(root.values())) < 230
+    assert {r.doc_id: r.component_id for r in ngram_join.link(docs(rows), size=5, percent=80).collect()} == root
+
+
 def test_passages_of_over_fifty_words(docs, corpus):
     where = defaultdict(set)
     for i, text in corpus:
