@@ -50,7 +50,7 @@ from .words import find_words, mix, seeds, shingles, short_sequence, slices, tex
 SHARES = 1024
 BLOCK = 1 << 20
 HUBS = (8, 512)
-PARITY_WORDS = 4
+PARITY_WORDS = 16
 NONE = np.zeros(0, np.uint64)
 
 _NODE, _MEMBER, _BAND, _SINGLE = seeds(4, 4000)
@@ -78,12 +78,13 @@ def node_of(members: np.ndarray) -> int:
 
 
 def parities(members: np.ndarray) -> np.ndarray:
-    """For each of 256 classes of hashes whether the set has an odd number of them, as bits.
+    """For each of 64 ``PARITY_WORDS`` classes of hashes whether the set has an odd number of them, as bits.
 
     Classes in which two sets differ hold a hash that only one of them has, so
     the differing bits are at most the symmetric difference.
     """
-    odd = np.bincount((members >> np.uint64(56)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    classes = 64 * PARITY_WORDS
+    odd = np.bincount((members >> np.uint64(65 - classes.bit_length())).astype(np.int64), minlength=classes) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 

@@ -141,6 +141,19 @@ def test_keys_of_any_percentage_meet_and_none_is_empty():
     assert met > 400
 
 
+def test_parities_tell_long_unlike_sets_apart():
+    """With 256 classes the bound on differing bits ruled out no pair of over 580 shingles at 80 percent."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    differ = lambda a, b: sum(int(x ^ y).bit_count() if x ^ y >= 0 else 64 - (int(x ^ y) ^ -1).bit_count() for x, y in zip(ngram_join.parities(a).tolist(), ngram_join.parities(b).tolist(), strict=True))
+    for n in (5, 600, 1500):
+        a, b = (np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(2))
+        assert differ(a, b) * 180 > 20 * (len(a) + len(b))
+        near = np.concatenate((a[n // 10 :], b[: n // 20]))
+        assert differ(a, np.unique(near)) <= n // 10 + n // 20
+
+
 def test_jaccard_of_eighty_percent_equals_brute_force(docs):
     rng = random.Random(21)
     rows = []
